@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import factorisation, near_dedup, packing, quality_rules, suffix_dedup, toxicity
+from . import factorisation, licenses, line_dedup, mixing, near_dedup, packing, quality_rules, spotsigs, suffix_dedup, toxicity
 from .common import table
 
 
@@ -16,11 +16,27 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spotsigs.compare_with_next(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.components(table(spark, sf_dir, "documents"), width=4)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return cut.select("doc_id", F.col("_lines_removed").cast("long").alias("n_removed"), F.length(text).cast("long").alias("n_chars_left"), F.sha2(text, 256).alias("kept_sha256"))
+
+
+def op5_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.probabilities(table(spark, sf_dir, "documents"))
+    return found.withColumn("probability", F.round("probability", 6))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -30,6 +46,10 @@ def op7_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorisation.score(docs, factorisation.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,6 +60,18 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_near_dedup, op6_packing, op7_factorisation_machine, op9_noisy_channel, op10_suffix_array)
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_spotsigs,
+        op3_near_dedup,
+        op4_line_dedup,
+        op5_raking,
+        op6_packing,
+        op7_factorisation_machine,
+        op8_licenses,
+        op9_noisy_channel,
+        op10_suffix_array,
+    )
 }
 ORACLES: dict[str, str] = {}

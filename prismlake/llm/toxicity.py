@@ -30,11 +30,15 @@ TRAIN_ROWS = 20_000
 BITS = 18
 THRESHOLD = 0.5
 PREFIXES = (4, 5, 6, 7)
+#: Features must differ between the classes by this many standard errors.
+LEAST_Z = 4.0
 
 # Signs that stand for letters.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 #: Log-probabilities of the channel: a sign for its letter, an inserted sign, a letter repeated.
-AS_LETTER, INSERTED, REPEATED = -1.0, -5.0, -0.5
+AS_LETTER, INSERTED, REPEATED = -1.0, -6.0, -0.5
+#: A digit is hardly ever inserted between letters.
+DIGIT_INSERTED = -14.0
 
 SYMBOLS = 28  # 0: boundary, 1-26: a-z, 27: any other letter
 _CLASS = np.zeros(256, np.uint8)
@@ -95,9 +99,9 @@ def decode(token: str, model: np.ndarray) -> str:
         if ch.isalpha():
             options = [(ch * n, 0.0)] if n < 3 else [(ch, REPEATED), (ch * 2, REPEATED)]
         else:
-            options = [("", INSERTED)]
+            options = [("", DIGIT_INSERTED if ch.isdigit() else INSERTED)]
             for letter in LOOKS.get(ch, ""):
-                options += [(letter * min(n, 2), AS_LETTER * min(n, 2))] + ([(letter, AS_LETTER + REPEATED)] if n > 1 else [])
+                options += [(letter * n, AS_LETTER)] if n < 3 else [(letter, AS_LETTER + REPEATED), (letter * 2, AS_LETTER + REPEATED)]
         new: dict = {}
         for (a, b), (cost, text) in best.items():
             for letters, price in options:
@@ -170,9 +174,21 @@ class Logistic:
         return float(1 / (1 + np.exp(-np.clip(self.bias + self.weight[idx].sum(), -30, 30))))
 
 
-def train(rows: list[np.ndarray], target: np.ndarray, epochs: int = 3, alpha: float = 0.1, l1: float = 2.0, l2: float = 1.0, seed: int = 3) -> Logistic:
-    """Follow-the-regularised-leader: l1 keeps the weights of chance words at zero."""
+def informative(rows: list[np.ndarray], target: np.ndarray, least_z: float = LEAST_Z) -> np.ndarray:
+    """Features whose share among toxic and other rows differs by at least ``least_z`` standard errors."""
+    n1, n0 = target.sum(), len(target) - target.sum()
+    count = lambda keep: np.bincount(np.concatenate([r for r, k in zip(rows, keep, strict=True) if k] or [np.empty(0, int)]), minlength=1 << BITS)
+    a, b = count(target > 0.5), count(target <= 0.5)
+    p = (a + b) / max(n1 + n0, 1)
+    z = (a / max(n1, 1) - b / max(n0, 1)) / np.sqrt(p * (1 - p) * (1 / max(n1, 1) + 1 / max(n0, 1)) + 1e-12)
+    return (np.abs(z) >= least_z) & (a + b >= 4)
+
+
+def train(rows: list[np.ndarray], target: np.ndarray, epochs: int = 12, alpha: float = 0.3, l1: float = 1.0, l2: float = 0.05, seed: int = 3) -> Logistic:
+    """Follow-the-regularised-leader over the informative features."""
     share = float(np.mean(target)) if len(target) else 0.5
+    chosen = informative(rows, target)
+    rows = [r[chosen[r]] for r in rows]
     bias = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     rng = np.random.default_rng(seed)
