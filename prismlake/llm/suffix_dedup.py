@@ -1,5 +1,7 @@
 """Suffix-array dedup: remove bytes covered by a 50-byte string that starts in an earlier document too.
 
+0. A text equal to that of a smaller document is covered whole; only the first
+   of equal texts goes on.
 1. Winnowing: every LENGTH-byte window of a document selects one GRAM-byte
    anchor that depends on the window's bytes alone. Equal windows thus select
    equal anchors; anchors seen once in the corpus need no further look. A
@@ -31,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialise
-from .linking import with_ids
+from .linking import BROADCAST_ROWS, with_ids
 
 LENGTH = 50
 GRAM = 20
 REACH = LENGTH - GRAM + 1  # grams in a window
 FILTER_BITS = 27
+#: Part of the filter that one row holds, as a power of two of bits.
+CHUNK_BITS = 19
 HOT = 2000
 SHARD_BYTES = 1 << 20
 #: Documents are scanned in groups of about this many bytes.
@@ -312,6 +316,15 @@ def _given(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("version"), text.alias("text"))
 
 
+def _with_copies(given: DataFrame) -> DataFrame:
+    """Adds ``copy``: whether an earlier document has the same whole text (equal hash and size), long enough to go."""
+    sized = given.withColumn("size", F.octet_length("text"))
+    equal = materialise(sized.groupBy("version", "size").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where((F.col("least") < F.col("most")) & (F.col("size") >= LENGTH)).drop("most"), "equal-texts")
+    n = equal.count()
+    marked = sized.join(F.broadcast(equal) if n <= BROADCAST_ROWS // 2 else equal, ["version", "size"], "left")
+    return marked.select("doc", "version", "text", F.coalesce(F.col("least") < F.col("doc"), F.lit(False)).alias("copy"))
+
+
 def _shared_filter(given: DataFrame):
     """A bitmap of FILTER_BITS bits that has the anchors found in two or more rows."""
 
@@ -320,7 +333,7 @@ def _shared_filter(given: DataFrame):
             if not len(pdf):
                 continue
             found = []
-            for at, raw, ends in _joined(_encode(pdf["text"])):
+            for _, raw, ends in _joined(_encode(pdf["text"])):
                 key, lo, _ = segments(raw, ends)
                 if len(key):
                     doc = np.searchsorted(ends, lo, "right")
@@ -330,12 +343,24 @@ def _shared_filter(given: DataFrame):
                 key, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pd.DataFrame({"key": key.view(np.int64), "n": np.minimum(n, 2).astype(np.int8)})
 
+    def chunks(batches):
+        have: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            bit = pdf["key"].to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            at = (bit >> np.uint64(CHUNK_BITS)).astype(np.int64)
+            for c in np.unique(at):
+                bits = have.setdefault(int(c), np.zeros(1 << (CHUNK_BITS - 3), np.uint8))
+                b = bit[at == c] & np.uint64((1 << CHUNK_BITS) - 1)
+                np.bitwise_or.at(bits, (b >> np.uint64(3)).astype(np.int64), np.left_shift(1, (b & np.uint64(7)).astype(np.int64)).astype(np.uint8))
+        if have:
+            yield pd.DataFrame({"chunk": list(have), "bits": [b.tobytes() for b in have.values()]})
+
     keys = given.select("text").mapInPandas(anchors, "key long, n byte")
     shared = keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-    bit = F.shiftrightunsigned("key", 64 - FILTER_BITS)
-    words = shared.groupBy(F.shiftright(bit, 6).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - FILTER_BITS}) & 63 as int))")).alias("bits")).toPandas()
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    dealt = shared.repartition(F.shiftrightunsigned("key", 64 - FILTER_BITS + CHUNK_BITS))
+    bitmap = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in dealt.mapInPandas(chunks, "chunk int, bits binary").toLocalIterator():
+        bitmap[r["chunk"] << (CHUNK_BITS - 3) : (r["chunk"] + 1) << (CHUNK_BITS - 3)] |= np.frombuffer(r["bits"], np.uint8)
     return given.sparkSession.sparkContext.broadcast(bitmap)
 
 
@@ -344,58 +369,68 @@ def _content_key(content: bytes) -> int:
 
 
 def _occurrences(given: DataFrame, shared) -> DataFrame:
-    """Segments of shared anchors: anchor, chash (of their bytes), doc, version, start, size; bytes for the first in a batch only."""
+    """Segments of shared anchors: chash (of their bytes), doc, version, start; anchor, bytes and their count for the first of a batch.
+
+    A segment's bytes determine its anchor, so their hash names it alone.
+    """
 
     def run(batches):
         bitmap = shared.value
-        shift, six = np.uint64(64 - FILTER_BITS), np.uint64(6)
+        shift, three, seven = np.uint64(64 - FILTER_BITS), np.uint64(3), np.uint64(7)
         for pdf in batches:
             if not len(pdf):
                 continue
-            ids, versions = pdf["doc"].to_numpy(), pdf["version"].to_numpy()
-            out, sent = [], {}
+            pdf = pdf.sort_values("doc", ignore_index=True)
+            parts, sent = [], {}
             for at, raw, ends in _joined(_encode(pdf["text"])):
                 key, lo, hi = segments(raw, ends)
                 bit = key >> shift
-                hit = (bitmap[bit >> six] >> (bit & np.uint64(63))) & np.uint64(1) > 0
-                key, lo, hi = key[hit].view(np.int64), lo[hit], hi[hit]
+                hit = (bitmap[bit >> three] >> (bit & seven).astype(np.uint8)) & 1 > 0
+                key, lo, hi = key[hit].view(np.int64), lo[hit], hi[hit] + LENGTH
+                if not len(key):
+                    continue
                 doc = np.searchsorted(ends, lo, "right")
-                first = np.concatenate([[0], ends[:-1]])[doc] if len(doc) else doc
-                for k, a, b, d, f in zip(key.tolist(), lo.tolist(), (hi + LENGTH).tolist(), (doc + at).tolist(), first.tolist(), strict=True):
-                    content = raw[a:b]
-                    c = _content_key(content)
-                    new = sent.get((k, c))
-                    if new is None or ids[d] < new:
-                        sent[k, c] = ids[d]
-                        out.append((k, c, ids[d], versions[d], a - f, content))
+                start = lo - np.concatenate([[0], ends[:-1]])[doc]
+                contents = [raw[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+                hashes = [_content_key(c) for c in contents]
+                for i, c in enumerate(hashes):
+                    if c in sent:
+                        contents[i] = None
+                        sent[c] += 1
                     else:
-                        out.append((k, c, ids[d], versions[d], a - f, None))
-            if out:
-                yield pd.DataFrame(out, columns=["anchor", "chash", "doc", "version", "start", "content"])
+                        sent[c] = 1
+                parts.append(pd.DataFrame({"chash": hashes, "row": doc + at, "start": start, "anchor": key, "content": contents}))
+            if parts:
+                out = pd.concat(parts, ignore_index=True)
+                row = out.pop("row").to_numpy()
+                new = out["content"].notna().to_numpy()
+                n = np.zeros(len(out), np.int64)
+                n[new] = [sent[c] for c in out["chash"].to_numpy()[new].tolist()]
+                yield out.assign(doc=pdf["doc"].to_numpy()[row], version=pdf["version"].to_numpy()[row], n=n)
 
-    return given.mapInPandas(run, "anchor long, chash long, doc long, version long, start long, content binary")
+    return given.select("doc", "version", "text").mapInPandas(run, "chash long, doc long, version long, start long, anchor long, content binary, n long")
 
 
 def _sorted_shards(mixed: DataFrame) -> DataFrame:
     """Runs of windows with their smallest documents, by induced sorting of shards that hold whole anchors."""
 
     def run(batches):
-        have = {"anchor": [], "chash": [], "content": [], "doc": []}
-        size = 0
+        have: dict[str, list] = {"chash": [], "content": [], "doc": []}
+        size, last = 0, None
 
         def flush():
             least = least_documents(have["content"], np.array(have["doc"], np.int64))
-            rows = [(a, c, x, y, m) for a, c, v in zip(have["anchor"], have["chash"], least, strict=True) for x, y, m in zip(*map(np.ndarray.tolist, _runs(v)), strict=True)]
+            rows = [(c, x, y, m) for c, v in zip(have["chash"], least, strict=True) for x, y, m in zip(*map(np.ndarray.tolist, _runs(v)), strict=True)]
             for x in have.values():
                 x.clear()
-            return pd.DataFrame(rows, columns=["anchor", "chash", "first", "last", "least"])
+            return pd.DataFrame(rows, columns=["chash", "first", "last", "least"])
 
         for pdf in batches:
             for a, c, content, d in zip(pdf["anchor"], pdf["chash"], pdf["content"], pdf["doc"], strict=True):
-                if size >= SHARD_BYTES and a != have["anchor"][-1]:
+                if size >= SHARD_BYTES and a != last:
                     yield flush()
                     size = 0
-                have["anchor"].append(a)
+                last = a
                 have["chash"].append(c)
                 have["content"].append(content)
                 have["doc"].append(d)
@@ -406,7 +441,7 @@ def _sorted_shards(mixed: DataFrame) -> DataFrame:
     return mixed.select("anchor", "chash", "content", "doc").repartition("anchor").sortWithinPartitions("anchor").mapInPandas(run, RUNS)
 
 
-RUNS = "anchor long, chash long, first long, last long, least long"
+RUNS = "chash long, first long, last long, least long"
 
 
 def _by_window(hot: DataFrame) -> DataFrame:
@@ -414,34 +449,36 @@ def _by_window(hot: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            rows = [(_content_key(c[i : i + LENGTH]), a, h, i, d) for a, h, c, d in zip(pdf["anchor"], pdf["chash"], pdf["content"], pdf["doc"], strict=True) for i in range(len(c) - LENGTH + 1)]
-            yield pd.DataFrame(rows, columns=["window", "anchor", "chash", "first", "doc"]).astype("int64")
+            rows = [(_content_key(c[i : i + LENGTH]), h, i, d) for h, c, d in zip(pdf["chash"], pdf["content"], pdf["doc"], strict=True) for i in range(len(c) - LENGTH + 1)]
+            yield pd.DataFrame(rows, columns=["window", "chash", "first", "doc"]).astype("int64")
 
-    windows = materialise(hot.select("anchor", "chash", "content", "doc").mapInPandas(run, "window long, anchor long, chash long, first long, doc long"), "windows")
-    least = windows.groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
-    return windows.join(least, "window").select("anchor", "chash", "first", F.col("first").alias("last"), "least")
+    windows = materialise(hot.select("chash", "content", "doc").mapInPandas(run, "window long, chash long, first long, doc long"), "windows")
+    least = materialise(windows.groupBy("window").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "least-windows")
+    shared = windows.join(least, "window").select("chash", "first", F.col("first").alias("last"), "least")
+    # a window of one segment may still stand in several documents of that segment
+    single = windows.join(least, "window", "left_anti").select("chash", "first", F.col("first").alias("last"), F.col("doc").alias("least"))
+    return shared.unionByName(single)
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document with removed bytes: doc, version and spans, its stretches (start, stop), which may overlap."""
-    given = _given(docs, id_col, text_col)
+def removals(given: DataFrame) -> DataFrame:
+    """Per document (doc, version, text) with removed bytes: doc, version and spans, stretches (start, stop) that may overlap."""
     found = materialise(_occurrences(given, _shared_filter(given)), "occurrences")
-    kinds = materialise(
-        found.where("content is not null").groupBy("anchor", "chash").agg(F.min("doc").alias("doc"), F.first("content").alias("content")), "segments"
-    )
-    per = materialise(kinds.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchors")
-    mixed = kinds.join(per.where((F.col("kinds") > 1) & (F.col("kinds") <= HOT)).select("anchor"), "anchor", "left_semi")
-    runs = _sorted_shards(mixed)
+    new = found.where("content is not null")
+    kinds = new.groupBy("chash").agg(F.min("doc").alias("doc"), F.first("anchor").alias("anchor"), F.first("content").alias("content"), F.sum("n").alias("n"))
+    kinds = materialise(kinds, "segments")
+    per = materialise(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("rows")).where("rows > 1").drop("rows"), "anchors")
+    kinds_of = materialise(kinds.join(per, "anchor"), "shared-segments")
     # a segment alone with its anchor is equal in all its documents
-    alone = kinds.join(per.where("kinds = 1").select("anchor"), "anchor", "left_semi")
-    runs = runs.unionByName(alone.select("anchor", "chash", F.lit(0).cast("long").alias("first"), (F.length("content") - LENGTH).cast("long").alias("last"), F.col("doc").alias("least")))
-    if not per.where(F.col("kinds") > HOT).isEmpty():
-        runs = runs.unionByName(_by_window(kinds.join(per.where(F.col("kinds") > HOT).select("anchor"), "anchor", "left_semi")))
+    alone = kinds_of.where("kinds = 1").select("chash", F.lit(0).cast("long").alias("first"), (F.length("content") - LENGTH).cast("long").alias("last"), F.col("doc").alias("least"))
+    runs = _sorted_shards(kinds_of.where((F.col("kinds") > 1) & (F.col("kinds") <= HOT))).unionByName(alone)
+    hot = kinds_of.where(F.col("kinds") > HOT)
+    if not hot.isEmpty():
+        runs = runs.unionByName(_by_window(hot))
     runs = materialise(runs, "runs")
-    hit = found.select("anchor", "chash", "doc", "version", "start").join(runs, ["anchor", "chash"]).where("least < doc")
+    hit = found.select("chash", "doc", "version", "start").join(runs, "chash").where("least < doc")
     spans = hit.select("doc", "version", F.struct((F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + LENGTH).alias("stop")).alias("span"))
-    out = materialise(spans.groupBy("doc", "version").agg(F.collect_set("span").alias("spans")), "removals")
-    for t in (found, kinds, per, runs):
+    out = materialise(spans.groupBy("doc", "version").agg(F.collect_list("span").alias("spans")), "removals")
+    for t in (found, kinds, per, kinds_of, runs):
         discard(t)
     return out
 
@@ -473,12 +510,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 out.append((doc, len(raw), len(raw) - len(left), len(merged), left))
             yield pd.DataFrame(out, columns=[id_col, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    gone = removals(docs, id_col, text_col)
-    given = _given(docs, id_col, text_col)
+    given = _with_copies(_given(docs, id_col, text_col))
+    once = given.where("not copy").select("doc", "version", "text")
+    gone = removals(once)
     rows = gone.count()
-    hit = with_ids(given.withColumn("r", F.struct("doc", "version")), gone.select(F.struct("doc", "version").alias("r")), "r", "left_semi", rows).drop("r")
-    rest = with_ids(given.withColumn("r", F.struct("doc", "version")), gone.select(F.struct("doc", "version").alias("r")), "r", "left_anti", rows).drop("r")
+    keyed = once.withColumn("r", F.struct("doc", "version"))
+    hit = with_ids(keyed, gone.select(F.struct("doc", "version").alias("r")), "r", "left_semi", rows).drop("r")
+    rest = with_ids(keyed, gone.select(F.struct("doc", "version").alias("r")), "r", "left_anti", rows).drop("r")
     changed = hit.join(gone, ["doc", "version"]).select("doc", "text", "spans").mapInPandas(cut, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept binary")
-    raw = F.col("text").cast("binary")
-    same = rest.select(F.col("doc").alias(id_col), F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), raw.alias("kept"))
-    return changed.unionByName(same)
+    size, none = F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long")
+    same = rest.select(F.col("doc").alias(id_col), size, none.alias("n_removed"), none.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
+    copies = given.where("copy").select(F.col("doc").alias(id_col), size, F.octet_length("text").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit("").cast("binary").alias("kept"))
+    return changed.unionByName(same).unionByName(copies)
