@@ -1,6 +1,614 @@
-"""Every registered catalog query and its SQL."""
+"""Every registered catalog query and its SQL over the same tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import bits, channels, color
+from ..operators import catalog, compare, image, metrics, selectors, validate
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _textures(spark: SparkSession, sf: str) -> DataFrame:
+    return catalog.synthetic_textures(_t(spark, sf, "part"))
+
+
+# The synthetic catalog in SQL.
+TEXTURES = """
+textures0 AS (
+  SELECT p_partkey AS texture_id, CAST(p_size * 16 AS BIGINT) AS width,
+    CAST(CASE WHEN p_partkey % 11 = 0 THEN p_size * 16 ELSE (p_partkey % 7 + 1) * 32 END AS BIGINT) AS height,
+    CAST(1 AS BIGINT) AS depth, CAST(CASE WHEN p_partkey % 11 = 0 THEN 6 ELSE 1 END AS BIGINT) AS faces,
+    CAST(1 + p_partkey % 3 AS BIGINT) AS layers,
+    CAST(CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 4 END AS BIGINT) AS block_w,
+    CAST(CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 4 END AS BIGINT) AS block_h,
+    CAST(CASE WHEN p_partkey % 3 = 0 THEN 4 WHEN p_partkey % 3 = 1 THEN 8 ELSE 16 END AS BIGINT) AS block_bytes,
+    CAST(CASE WHEN p_partkey % 5 = 0 THEN 2 ELSE 0 END AS BIGINT) AS sc_scheme
+  FROM part),
+textures AS (SELECT *, CAST(length(bin(greatest(width, height))) AS BIGINT) AS levels FROM textures0)"""
+LEVELS = (
+    TEXTURES
+    + """,
+levels0 AS (
+  SELECT *, greatest(1, width >> CAST(level AS INT)) AS level_width, greatest(1, height >> CAST(level AS INT)) AS level_height
+  FROM (SELECT *, unnest(range(levels)) AS level FROM textures)),
+levels1 AS (
+  SELECT *, ((level_width + block_w - 1) // block_w) * ((level_height + block_h - 1) // block_h) * block_bytes AS image_size FROM levels0),
+levels2 AS (SELECT *, image_size * layers * faces AS level_size FROM levels1),
+levels_ AS (
+  SELECT *, CASE WHEN sc_scheme = 0 THEN (level_size + lcm4 - 1) // lcm4 * lcm4 ELSE level_size END AS padded_size
+  FROM (SELECT *, CASE block_bytes & 3 WHEN 0 THEN block_bytes WHEN 2 THEN block_bytes * 2 ELSE block_bytes * 4 END AS lcm4 FROM levels2))"""
+)
+LOCATED = (
+    LEVELS
+    + """,
+located AS (
+  SELECT *, CAST(coalesce(sum(padded_size) OVER (PARTITION BY texture_id ORDER BY level DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset
+  FROM levels_)"""
+)
+IMAGES = (
+    LOCATED
+    + """,
+images AS (
+  SELECT *, byte_offset + (layer * faces + face) * image_size AS image_offset
+  FROM (SELECT *, unnest(range(faces)) AS face FROM (SELECT *, unnest(range(layers)) AS layer FROM located)))"""
+)
+
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str):
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ------------------------------------------------------------------ catalog
+
+
+@query(f"WITH {LOCATED} SELECT texture_id, level, level_width, level_height, level_size, padded_size, byte_offset FROM located")
+def level_offsets(spark, sf):
+    return catalog.level_offsets(_textures(spark, sf)).select("texture_id", "level", "level_width", "level_height", "level_size", "padded_size", "byte_offset")
+
+
+@query(f"WITH {LEVELS} SELECT texture_id, CAST(sum(padded_size) AS BIGINT) AS data_size, CAST(sum(level_size) AS BIGINT) AS plain_size, CAST(sum(layers * faces) AS BIGINT) AS n_images FROM levels_ GROUP BY texture_id")
+def level_totals(spark, sf):
+    return catalog.level_totals(_textures(spark, sf))
+
+
+@query(f"WITH {IMAGES} SELECT texture_id, level, layer, face, image_offset, image_size FROM images")
+def image_offsets(spark, sf):
+    return catalog.images(catalog.level_offsets(_textures(spark, sf))).select("texture_id", "level", "layer", "face", "image_offset", "image_size")
+
+
+@query(
+    f"WITH {LOCATED} SELECT texture_id, level, (level_width + block_w - 1) // block_w AS blocks_x, (level_height + block_h - 1) // block_h AS blocks_y FROM located"
+)
+def block_grid(spark, sf):
+    return catalog.block_grid(catalog.level_offsets(_textures(spark, sf))).select("texture_id", "level", "blocks_x", "blocks_y")
+
+
+@query(f"WITH {TEXTURES} SELECT texture_id, to_json({{'pixelWidth': width, 'pixelHeight': height, 'levelCount': levels, 'faceCount': faces, 'layerCount': layers}}) AS info FROM textures")
+def info_json(spark, sf):
+    named = [("pixelWidth", "width"), ("pixelHeight", "height"), ("levelCount", "levels"), ("faceCount", "faces"), ("layerCount", "layers")]
+    return _textures(spark, sf).select("texture_id", F.to_json(F.struct(*[F.col(c).alias(n) for n, c in named])).alias("info"))
+
+
+@query(
+    f"""WITH {TEXTURES}, n AS (SELECT texture_id, levels, layers, faces, unnest(range(levels * layers * faces)) AS ordinal FROM textures)
+SELECT texture_id, ordinal, ordinal // (layers * faces) % levels AS level, ordinal // faces % layers AS layer, ordinal % faces AS face FROM n"""
+)
+def input_positions(spark, sf):
+    t = _textures(spark, sf).withColumn("ordinal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("levels") * F.col("layers") * F.col("faces") - 1)))
+    div = lambda a, b: F.floor(a / b).cast("long")
+    n = F.col("ordinal")
+    return t.select(
+        "texture_id", "ordinal", (div(n, F.col("layers") * F.col("faces")) % F.col("levels")).alias("level"), (div(n, F.col("faces")) % F.col("layers")).alias("layer"), (n % F.col("faces")).alias("face")
+    )
+
+
+# ------------------------------------------------------------------ selectors
+
+FRAGMENT = "concat('m=', CAST(texture_id % 3 AS VARCHAR), ',', CAST(texture_id % 3 + 2 AS VARCHAR), CASE WHEN texture_id % 2 = 0 THEN '&a=,2' ELSE '&a=1' END, CASE WHEN texture_id % 5 = 0 THEN '&f=2,' ELSE '' END)"
+_SPARK_FRAGMENT = FRAGMENT.replace("VARCHAR", "STRING")
+
+
+@query(
+    f"""WITH {IMAGES} SELECT texture_id, level, layer, face, image_offset FROM images
+WHERE level >= texture_id % 3 AND level < texture_id % 3 + 2
+  AND CASE WHEN texture_id % 2 = 0 THEN layer < 2 ELSE layer = 1 END
+  AND CASE WHEN texture_id % 5 = 0 THEN face >= 2 ELSE face = 0 END"""
+)
+def fragment_select(spark, sf):
+    found = catalog.images(catalog.level_offsets(_textures(spark, sf))).withColumn("fragment", F.expr(_SPARK_FRAGMENT))
+    return selectors.select(found, F.col("fragment")).select("texture_id", "level", "layer", "face", "image_offset")
+
+
+@query(
+    f"""WITH {TEXTURES}, f AS (SELECT *, {FRAGMENT} AS fragment FROM textures)
+SELECT texture_id, fragment, texture_id % 3 + 2 <= levels AS levels_ok, CASE WHEN texture_id % 2 = 0 THEN 2 <= layers ELSE 1 < layers END AS layers_ok,
+  CASE WHEN texture_id % 5 = 0 THEN 2 < faces ELSE true END AS faces_ok FROM f"""
+)
+def fragment_bounds(spark, sf):
+    t = _textures(spark, sf).withColumn("fragment", F.expr(_SPARK_FRAGMENT))
+    f = F.col("fragment")
+    ok = lambda key, n: selectors.within(selectors.ranges(f, key), F.col(n))
+    return t.select("texture_id", "fragment", ok("m", "levels").alias("levels_ok"), ok("a", "layers").alias("layers_ok"), ok("f", "faces").alias("faces_ok"))
+
+
+@query(
+    """SELECT page_id, coalesce(nullif(regexp_extract(url, '#(.*)$', 1), ''), '') AS fragment,
+  regexp_matches(coalesce(nullif(regexp_extract(url, '#(.*)$', 1), ''), ''), '^$|^([maf]=(\\d+|\\d*,\\d*))(&[maf]=(\\d+|\\d*,\\d*))*$') AS valid FROM pages"""
+)
+def fragment_valid(spark, sf):
+    f = F.regexp_extract("url", "#(.*)$", 1)
+    return _t(spark, sf, "pages").select("page_id", f.alias("fragment"), selectors.valid(f).alias("valid"))
+
+
+# ------------------------------------------------------------------ colour
+
+_KEYS = "l_orderkey, l_linenumber"
+_V = "(l_discount + 0.0)"
+
+
+def _line(spark, sf):
+    return _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") + 0.0).alias("v"), (F.col("l_tax") + 0.0).alias("w"), F.col("l_quantity").cast("long").alias("q"))
+
+
+def _r6(c):
+    return F.round(c, 6) + 0.0
+
+
+@query(f"SELECT {_KEYS}, round(CASE WHEN {_V} < 0.0031308 THEN 12.92 * {_V} ELSE 1.055 * pow({_V}, 1 / 2.4) - 0.055 END, 6) + 0.0 AS code FROM lineitem")
+def srgb_encode(spark, sf):
+    return _line(spark, sf).select("l_orderkey", "l_linenumber", _r6(color.srgb_encode(F.col("v"))).alias("code"))
+
+
+_D = f"({_V} * 10)"
+
+
+@query(f"SELECT {_KEYS}, round(least(greatest(CASE WHEN {_D} < 0.04045 THEN {_D} / 12.92 ELSE pow(({_D} + 0.055) / 1.055, 2.4) END, 0), 1), 6) + 0.0 AS intensity FROM lineitem")
+def srgb_decode(spark, sf):
+    return _line(spark, sf).select("l_orderkey", "l_linenumber", _r6(color.srgb_decode(F.col("v") * 10)).alias("intensity"))
+
+
+_E = color.ITU_EXPAND
+
+
+@query(f"SELECT {_KEYS}, round(CASE WHEN {_V} < 0.018 THEN 4.5 * {_V} ELSE {1 + _E!r} * pow({_V}, 0.45) - {_E!r} END, 6) + 0.0 AS code FROM lineitem")
+def itu_encode(spark, sf):
+    return _line(spark, sf).select("l_orderkey", "l_linenumber", _r6(color.itu_encode(F.col("v"))).alias("code"))
+
+
+@query(f"SELECT {_KEYS}, round(least(greatest(CASE WHEN {_D} < 0.018 * 4.5 THEN {_D} / 4.5 ELSE pow(({_D} + {_E!r}) / {1 + _E!r}, {1 / 0.45!r}) END, 0), 1), 6) + 0.0 AS intensity FROM lineitem")
+def itu_decode(spark, sf):
+    return _line(spark, sf).select("l_orderkey", "l_linenumber", _r6(color.itu_decode(F.col("v") * 10)).alias("intensity"))
+
+
+@query(
+    f"""WITH p AS (SELECT {_KEYS}, pow(greatest({_V}, 0), {color.PQ_M1}) AS y FROM lineitem)
+SELECT {_KEYS}, round(pow(({color.PQ_C1} + {color.PQ_C2} * y) / (1 + {color.PQ_C3} * y), {color.PQ_M2}), 6) + 0.0 AS code FROM p"""
+)
+def pq_encode(spark, sf):
+    return _line(spark, sf).select("l_orderkey", "l_linenumber", _r6(color.pq_encode(F.col("v"))).alias("code"))
+
+
+@query(f"SELECT {_KEYS}, round(least(greatest(pow({_D}, {1 / 2.2!r}), 0), 1), 6) + 0.0 AS code FROM lineitem WHERE {_D} >= 0")
+def gamma_encode(spark, sf):
+    return _line(spark, sf).where("v * 10 >= 0").select("l_orderkey", "l_linenumber", _r6(color.gamma_encode(F.col("v") * 10, 2.2)).alias("code"))
+
+
+def _matrix_sql(source: str, target: str) -> list[str]:
+    names = ("r", "g", "b")
+    return [" + ".join(f"{m!r} * {n}" for m, n in zip(row, names, strict=True)) for row in color.conversion(source, target)]
+
+
+_RGB = f"rgb AS (SELECT {_KEYS}, {_V} AS r, (l_tax + 0.0) AS g, CAST(CAST(l_quantity AS BIGINT) AS DOUBLE) / 255 AS b FROM lineitem)"
+
+
+def _rgb(spark, sf):
+    return _line(spark, sf).select("l_orderkey", "l_linenumber", F.col("v").alias("r"), F.col("w").alias("g"), (F.col("q").cast("double") / 255).alias("b"))
+
+
+@query(f"WITH {_RGB} SELECT {_KEYS}, " + ", ".join(f"round({e}, 6) + 0.0 AS {n}" for e, n in zip(_matrix_sql("bt709", "bt2020"), ("r2", "g2", "b2"), strict=True)) + " FROM rgb")
+def primaries_convert(spark, sf):
+    out = color.convert_primaries([F.col(c) for c in "rgb"], "bt709", "bt2020")
+    return _rgb(spark, sf).select("l_orderkey", "l_linenumber", *[_r6(c).alias(n) for c, n in zip(out, ("r2", "g2", "b2"), strict=True)])
+
+
+def _srgb_sql(e: str) -> str:
+    return f"CASE WHEN {e} < 0.0031308 THEN 12.92 * {e} ELSE 1.055 * pow({e}, 1 / 2.4) - 0.055 END"
+
+
+@query(
+    f"WITH {_RGB}, m AS (SELECT {_KEYS}, "
+    + ", ".join(f"greatest({e}, 0.0) AS {n}" for e, n in zip(_matrix_sql("displayp3", "bt709"), "xyz", strict=True))
+    + f" FROM rgb) SELECT {_KEYS}, "
+    + ", ".join(f"CAST(least(greatest(floor(({_srgb_sql(n)}) * 255 + 0.5), 0), 255) AS BIGINT) AS {o}" for n, o in zip("xyz", ("r8", "g8", "b8"), strict=True))
+    + " FROM m"
+)
+def color_transform(spark, sf):
+    out = color.transform([F.col(c) for c in "rgb"], color.linear, color.srgb_encode, "displayp3", "bt709", 255)
+    return _rgb(spark, sf).select("l_orderkey", "l_linenumber", *[c.alias(n) for c, n in zip(out, ("r8", "g8", "b8"), strict=True)])
+
+
+# ------------------------------------------------------------------ bits
+
+
+def _quantize_sql(v: str, bits_: int) -> str:
+    t = (1 << bits_) - 1
+    return f"CAST(CASE WHEN {v} < 0 THEN 0 WHEN {v} > 1 THEN {t} ELSE floor({v} * {t} + 0.5) END AS BIGINT)"
+
+
+@query(f"SELECT {_KEYS}, {_quantize_sql(_D, 8)} AS code8, {_quantize_sql(_D, 10)} AS code10, {_quantize_sql(_D, 16)} AS code16 FROM lineitem")
+def quantize_unorm(spark, sf):
+    v = F.col("v") * 10
+    return _line(spark, sf).select("l_orderkey", "l_linenumber", *[bits.float_to_unorm(v, b).alias(f"code{b}") for b in (8, 10, 16)])
+
+
+_Q = "CAST(l_quantity AS BIGINT)"
+
+
+@query(
+    f"""WITH q AS (SELECT {_KEYS}, {_Q} * 5 AS q FROM lineitem)
+SELECT {_KEYS}, least((q >> 3) + ((q >> 2) & 1), 31) AS to5, least((q >> 2) + ((q >> 1) & 1), 63) AS to6, (q << 8) | q AS to16, (q << 2) | (q >> 6) AS to10,
+  CAST(round(q / 255.0, 6) AS DOUBLE) AS as_float FROM q"""
+)
+def unorm_rescale(spark, sf):
+    q = F.col("q") * 5
+    return _line(spark, sf).select(
+        "l_orderkey",
+        "l_linenumber",
+        bits.rescale_unorm(q, 8, 5).alias("to5"),
+        bits.rescale_unorm(q, 8, 6).alias("to6"),
+        bits.rescale_unorm(q, 8, 16).alias("to16"),
+        bits.rescale_unorm(q, 8, 10).alias("to10"),
+        F.round(bits.unorm_to_float(q, 8), 6).alias("as_float"),
+    )
+
+
+@query(
+    f"""WITH q AS (SELECT {_KEYS}, {_Q} * 5 AS q FROM lineitem)
+SELECT {_KEYS}, q & 15 AS uint4, (((q >> 7) & 1) << 3) | (q & 7) AS sint4, CASE WHEN q >= 128 THEN q - 256 ELSE q END AS signed8, (q >> 2) & 7 AS field3,
+  CAST(round(greatest((CASE WHEN q >= 128 THEN q - 256 ELSE q END) / 127.0, -1.0), 6) AS DOUBLE) AS snorm FROM q"""
+)
+def integer_rescale(spark, sf):
+    q = F.col("q") * 5
+    signed = bits.sign_extend(q, 8)
+    return _line(spark, sf).select(
+        "l_orderkey", "l_linenumber", bits.rescale_uint(q, 4).alias("uint4"), bits.rescale_sint(q, 8, 4).alias("sint4"), signed.alias("signed8"), bits.field(q, 2, 3).alias("field3"), F.round(bits.snorm_to_float(signed, 8), 6).alias("snorm")
+    )
+
+
+@query(
+    f"""WITH q AS (SELECT {_KEYS}, {_Q} * 5 AS r, (l_orderkey * 7) % 256 AS g, (l_orderkey * 13 + l_linenumber) % 256 AS b FROM lineitem)
+SELECT {_KEYS}, (least((r >> 3) + ((r >> 2) & 1), 31) << 11) | (least((g >> 2) + ((g >> 1) & 1), 63) << 5) | least((b >> 3) + ((b >> 2) & 1), 31) AS packed565,
+  (g << 8) | r AS swapped FROM q"""
+)
+def pack565(spark, sf):
+    t = _line(spark, sf).withColumns({"r": F.col("q") * 5, "g": F.col("l_orderkey") * 7 % 256, "b": (F.col("l_orderkey") * 13 + F.col("l_linenumber")) % 256})
+    parts = [bits.rescale_unorm(F.col(c), 8, n) for c, n in (("r", 5), ("g", 6), ("b", 5))]
+    return t.select("l_orderkey", "l_linenumber", bits.pack(parts, [5, 6, 5]).alias("packed565"), bits.swap_bytes(F.col("r") * 256 + F.col("g"), 2).alias("swapped"))
+
+
+@query(
+    """WITH h AS (SELECT event_id, (event_id * 40503) % 65536 AS h FROM events),
+p AS (SELECT event_id, h, (h >> 10) & 31 AS e, (h & 1023) / 1024.0 AS m, (h >> 15) & 1 AS s FROM h)
+SELECT event_id, h AS code, CAST(round((CASE WHEN s = 1 THEN -1 ELSE 1 END) * (CASE WHEN e = 0 THEN m * pow(2.0, -14) ELSE (1 + m) * pow(2.0, e - 15) END), 6) + 0.0 AS DOUBLE) AS value FROM p WHERE e < 31"""
+)
+def half_decode(spark, sf):
+    t = _t(spark, sf, "events").select("event_id", (F.col("event_id") * 40503 % 65536).alias("code"))
+    return t.where(bits.field(F.col("code"), 10, 5) < 31).select("event_id", "code", _r6(bits.half_to_float(F.col("code"))).alias("value"))
+
+
+# ------------------------------------------------------------------ channels
+
+_CODES = f"c AS (SELECT {_KEYS}, {_Q} * 5 AS r, (l_orderkey * 7) % 256 AS g, (l_orderkey * 13 + l_linenumber) % 256 AS b, (l_orderkey * 3) % 256 AS a FROM lineitem)"
+
+
+def _codes(spark, sf):
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    return _line(spark, sf).select("l_orderkey", "l_linenumber", (F.col("q") * 5).alias("r"), (k * 7 % 256).alias("g"), ((k * 13 + n) % 256).alias("b"), (k * 3 % 256).alias("a"))
+
+
+@query(f"WITH {_CODES} SELECT {_KEYS}, b AS c0, g AS c1, CAST(0 AS BIGINT) AS c2, CAST(255 AS BIGINT) AS c3 FROM c")
+def swizzle(spark, sf):
+    out = channels.swizzle([F.col(c) for c in "rgba"], "bg01", F.lit(255))
+    return _codes(spark, sf).select("l_orderkey", "l_linenumber", *[c.cast("long").alias(f"c{i}") for i, c in enumerate(out)])
+
+
+@query(f"WITH {_CODES} SELECT {_KEYS}, " + ", ".join(_quantize_sql(f"(CAST({c} AS DOUBLE) / 255 * (CAST(a AS DOUBLE) / 255))", 8) + f" AS {c}p" for c in "rgb") + " FROM c")
+def premultiply(spark, sf):
+    out = channels.premultiply([F.col(c) for c in "rgb"], F.col("a"), 8)
+    return _codes(spark, sf).select("l_orderkey", "l_linenumber", *[c.alias(f"{n}p") for c, n in zip(out, "rgb", strict=True)])
+
+
+@query(
+    f"""WITH {_CODES}, v AS (SELECT {_KEYS}, r, g, b, 2 * (CAST(r AS DOUBLE) / 255) - 1 AS x, 2 * (CAST(g AS DOUBLE) / 255) - 1 AS y, 2 * (CAST(b AS DOUBLE) / 255) - 1 AS z FROM c),
+n AS (SELECT *, sqrt(x * x + y * y + z * z) AS s FROM v)
+SELECT {_KEYS}, """
+    + ", ".join(f"CASE WHEN s = 0 THEN {c} ELSE {_quantize_sql(f'(({v} / s + 1) / 2)', 8)} END AS n{c}" for c, v in zip("rgb", "xyz", strict=True))
+    + " FROM n"
+)
+def normalize(spark, sf):
+    out = channels.normalize([F.col(c) for c in "rgb"], 8)
+    return _codes(spark, sf).select("l_orderkey", "l_linenumber", *[c.cast("long").alias(f"n{n}") for c, n in zip(out, "rgb", strict=True)])
+
+
+# ------------------------------------------------------------------ images
+
+_PIXELS = "px AS (SELECT vec_id, CAST(i % 8 AS INT) AS x, CAST(i // 8 AS INT) AS y, CAST(embedding[CAST(i + 1 AS INT)] AS DOUBLE) AS v FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings))"
+
+
+def _pixels(spark, sf):
+    t = _t(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v")).where("i < 64")
+    return t.select("vec_id", (F.col("i") % 8).cast("int").alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), F.col("v").cast("double").alias("v"))
+
+
+@query(f"WITH {_PIXELS} SELECT vec_id, round(min(v), 6) + 0.0 AS min_value, round(max(v), 6) + 0.0 AS max_value FROM px GROUP BY vec_id")
+def channel_range(spark, sf):
+    t = _pixels(spark, sf).groupBy("vec_id").agg(*metrics.channel_range(F.col("v")))
+    return t.select("vec_id", _r6(F.col("min_value")).alias("min_value"), _r6(F.col("max_value")).alias("max_value"))
+
+
+@query(
+    f"""WITH {_PIXELS}, r AS (SELECT *, min(v) OVER (PARTITION BY vec_id) AS lo, max(v) OVER (PARTITION BY vec_id) AS hi FROM px)
+SELECT vec_id, x, y, round(CASE WHEN hi > lo THEN (v - lo) / (hi - lo) ELSE v - lo END, 6) + 0.0 AS mapped FROM r"""
+)
+def range_map(spark, sf):
+    return metrics.auto_range(_pixels(spark, sf), "vec_id", "v").select("vec_id", "x", "y", _r6(F.col("mapped")).alias("mapped"))
+
+
+_CODED = f"{_PIXELS}, two AS (SELECT vec_id, x, y, floor((v + 1) / 2 * 255 + 0.5) AS a, floor(floor((v + 1) / 2 * 255 + 0.5) / 8) * 8 AS b FROM px)"
+
+
+def _coded(spark, sf):
+    a = F.floor((F.col("v") + 1) / 2 * 255 + 0.5).cast("double")
+    return _pixels(spark, sf).select("vec_id", "x", "y", a.alias("a"), (F.floor(a / 8) * 8).cast("double").alias("b"))
+
+
+@query(f"WITH {_CODED}, m AS (SELECT vec_id, avg((a - b) * (a - b)) AS mse FROM two GROUP BY vec_id) SELECT vec_id, CASE WHEN mse > 0 THEN round(10 * log10(65025.0 / mse), 6) END AS psnr FROM m")
+def psnr(spark, sf):
+    return _coded(spark, sf).groupBy("vec_id").agg(F.round(metrics.psnr(F.col("a"), F.col("b")), 6).alias("psnr"))
+
+
+@query(
+    f"""WITH {_CODED}, m AS (SELECT vec_id, x // 4 AS tx, y // 4 AS ty, avg(a) AS ma, avg(b) AS mb, avg(a * a) AS aa, avg(b * b) AS bb, avg(a * b) AS ab FROM two GROUP BY ALL)
+SELECT vec_id, round(avg((2 * ma * mb + 6.5025) * (2 * (ab - ma * mb) + 58.5225) / ((ma * ma + mb * mb + 6.5025) * (aa - ma * ma + bb - mb * mb + 58.5225))), 6) AS ssim FROM m GROUP BY vec_id"""
+)
+def ssim(spark, sf):
+    return metrics.windowed_ssim(_coded(spark, sf), "vec_id", "x", "y", "a", "b", 4).select("vec_id", F.round("ssim", 6).alias("ssim"))
+
+
+@query(f"WITH {_PIXELS}, l AS (SELECT vec_id, v, x, y, unnest(range(4)) AS level FROM px) SELECT vec_id, CAST(level AS INT) AS level, x >> CAST(level AS INT) AS mx, y >> CAST(level AS INT) AS my, round(avg(v), 6) + 0.0 AS value FROM l GROUP BY ALL")
+def box_mip(spark, sf):
+    return image.box_mip(_pixels(spark, sf), "vec_id", "x", "y", "v", 8, 8).withColumn("value", _r6(F.col("value")))
+
+
+@query(f"WITH {_PIXELS} SELECT vec_id, x, 7 - y AS y, round(v, 6) + 0.0 AS v FROM px")
+def flip_y(spark, sf):
+    return _pixels(spark, sf).select("vec_id", "x", image.flip_y(F.col("y"), 8).alias("y"), _r6(F.col("v")).alias("v"))
+
+
+def _weights_sql(name: str, source: int, target: int, kernel: str) -> str:
+    rows = ", ".join(f"({t}, {s}, {w!r})" for t, s, w in image.weights(source, target, kernel))
+    return f"{name}(t, s, w) AS (VALUES {rows})"
+
+
+def _resample_sql(kernel: str, target: int) -> str:
+    return f"""WITH {_PIXELS}, {_weights_sql("k", 8, target, kernel)}
+SELECT vec_id, kx.t AS tx, ky.t AS ty, round(sum(v * CAST(kx.w AS DOUBLE) * CAST(ky.w AS DOUBLE)), 6) + 0.0 AS value FROM px JOIN k kx ON kx.s = x JOIN k ky ON ky.s = y GROUP BY ALL"""
+
+
+def _resample(spark, sf, kernel, target):
+    return image.resample(_pixels(spark, sf), "vec_id", "x", "y", "v", (8, 8), (target, target), kernel).withColumn("value", _r6(F.col("value")))
+
+
+@query(_resample_sql("tent", 4))
+def resample_tent(spark, sf):
+    return _resample(spark, sf, "tent", 4)
+
+
+@query(_resample_sql("lanczos4", 6))
+def resample_lanczos4(spark, sf):
+    return _resample(spark, sf, "lanczos4", 6)
+
+
+# ------------------------------------------------------------------ compare
+
+_META = """meta AS (
+  SELECT p_partkey AS texture_id, 'KTXwriter' AS key, p_brand AS value FROM part WHERE p_partkey % 4 <> 0 UNION ALL
+  SELECT p_partkey, 'KTXorientation', CASE WHEN p_partkey % 9 = 0 THEN 'xx' ELSE 'rd' END FROM part UNION ALL
+  SELECT p_partkey, 'comment', p_name FROM part WHERE p_partkey % 3 = 0 UNION ALL
+  SELECT p_partkey, 'KTXmadeUp', '' FROM part WHERE p_partkey % 17 = 0 UNION ALL
+  SELECT p_partkey, 'KTXwriterScParams', '--x' FROM part WHERE p_partkey % 8 = 0),
+other AS (
+  SELECT texture_id, key, CASE WHEN key = 'KTXwriter' AND texture_id % 5 = 0 THEN concat(value, '!') WHEN key = 'comment' AND texture_id % 6 = 0 THEN '' ELSE value END AS value
+  FROM meta WHERE NOT (key = 'KTXmadeUp' AND texture_id % 2 = 0) UNION ALL
+  SELECT p_partkey, 'added', '' FROM part WHERE p_partkey % 13 = 0)"""
+
+
+def _meta(spark, sf) -> tuple[DataFrame, DataFrame]:
+    _t(spark, sf, "part").createOrReplaceTempView("_part")
+    sql = _META.replace("FROM part", "FROM _part")
+    return tuple(spark.sql(f"WITH {sql} SELECT * FROM {n}") for n in ("meta", "other"))
+
+
+@query(
+    f"""WITH {_META} SELECT coalesce(a.texture_id, b.texture_id) AS texture_id, coalesce(a.key, b.key) AS key,
+  CASE WHEN a.key IS NULL THEN 'right' WHEN b.key IS NULL THEN 'left' ELSE 'changed' END AS kind, a.value AS left_value, b.value AS right_value
+FROM (SELECT * FROM meta WHERE key <> 'comment') a FULL JOIN (SELECT * FROM other WHERE key <> 'comment') b ON a.texture_id = b.texture_id AND a.key = b.key
+WHERE a.value IS DISTINCT FROM b.value"""
+)
+def metadata_diff(spark, sf):
+    left, right = _meta(spark, sf)
+    return compare.metadata(left, right, spark.createDataFrame([("comment",)], "key string"))
+
+
+def _two_catalogs(spark, sf):
+    left = catalog.level_offsets(_textures(spark, sf))
+    changed = F.col("level_size") + F.when(F.col("texture_id") % 23 == 0, 4).otherwise(0)
+    right = left.where("NOT (texture_id % 29 = 0 AND level = levels - 1)").withColumn("level_size", changed)
+    return left, right
+
+
+@query(
+    f"""WITH {LOCATED}, r AS (SELECT *, level_size + CASE WHEN texture_id % 23 = 0 THEN 4 ELSE 0 END AS changed FROM located WHERE NOT (texture_id % 29 = 0 AND level = levels - 1)),
+j AS (SELECT l.texture_id, l.level, l.byte_offset AS lo, r.byte_offset AS ro, l.level_size AS ls, r.changed AS rs, r.texture_id IS NULL AS gone FROM located l LEFT JOIN r ON l.texture_id = r.texture_id AND l.level = r.level)
+SELECT texture_id, level, 'levelIndex' AS section, CASE WHEN gone THEN 'left' ELSE 'both' END AS present, 'byte_offset' AS path, CAST(lo AS VARCHAR) AS left_value, CAST(ro AS VARCHAR) AS right_value FROM j WHERE gone OR lo <> ro
+UNION ALL SELECT texture_id, level, 'levelIndex', CASE WHEN gone THEN 'left' ELSE 'both' END, 'level_size', CAST(ls AS VARCHAR), CAST(rs AS VARCHAR) FROM j WHERE gone OR ls <> rs"""
+)
+def compare_levels(spark, sf):
+    left, right = _two_catalogs(spark, sf)
+    return compare.fields(left, right, ["texture_id", "level"], ["byte_offset", "level_size"], "levelIndex")
+
+
+@query(
+    f"""WITH {TEXTURES}, r AS (SELECT *, CASE WHEN texture_id % 19 = 0 THEN width + 16 ELSE width END AS w2, CASE WHEN texture_id % 7 = 0 THEN 0 ELSE sc_scheme END AS s2 FROM textures)
+SELECT texture_id, 'header' AS section, 'both' AS present, 'pixelWidth' AS path, CAST(width AS VARCHAR) AS left_value, CAST(w2 AS VARCHAR) AS right_value FROM r WHERE width <> w2
+UNION ALL SELECT texture_id, 'header', 'both', 'supercompressionScheme', CAST(sc_scheme AS VARCHAR), CAST(s2 AS VARCHAR) FROM r WHERE sc_scheme <> s2"""
+)
+def compare_headers(spark, sf):
+    t = _textures(spark, sf).withColumns({"pixelWidth": F.col("width"), "supercompressionScheme": F.col("sc_scheme")})
+    other = t.withColumns({"pixelWidth": F.when(F.col("texture_id") % 19 == 0, F.col("width") + 16).otherwise(F.col("width")), "supercompressionScheme": F.when(F.col("texture_id") % 7 == 0, 0).otherwise(F.col("sc_scheme")).cast("long")})
+    return compare.fields(t, other, ["texture_id"], ["pixelWidth", "supercompressionScheme"], "header")
+
+
+@query(
+    f"""WITH {_CODED}, d AS (SELECT vec_id, x, y, a, b, count(*) OVER (PARTITION BY vec_id) AS n_differences, row_number() OVER (PARTITION BY vec_id ORDER BY y, x) AS rank FROM two WHERE a <> b)
+SELECT vec_id, x, y, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, n_differences, CAST(rank AS INT) AS rank FROM d WHERE rank <= 3"""
+)
+def compare_blocks(spark, sf):
+    return compare.first_differences(_coded(spark, sf).where("a <> b"), ["vec_id"], ["y", "x"], 3)
+
+
+@query("SELECT event_id, length(props) AS left_length, CASE WHEN event_id % 3 <> 0 THEN length(concat(props, CASE WHEN event_id % 2 = 0 THEN ' ' ELSE '' END)) END AS right_length, false AS equal FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0")
+def compare_payloads(spark, sf):
+    t = _t(spark, sf, "events")
+    raw = lambda c: c.cast("binary").alias("bytes")
+    right = t.where("event_id % 3 <> 0").select("event_id", raw(F.concat("props", F.when(F.col("event_id") % 2 == 0, " ").otherwise(""))))
+    return compare.payload(t.select("event_id", raw(F.col("props"))), right, ["event_id"])
+
+
+# ------------------------------------------------------------------ validate
+
+_HEADERS = f"""{TEXTURES},
+headers AS (SELECT texture_id, CASE WHEN texture_id % 3 = 0 THEN 37 WHEN texture_id % 3 = 1 THEN 131 ELSE 157 END AS vk_format,
+  CASE WHEN texture_id % 10 = 1 THEN 4 ELSE 1 END AS type_size, CASE WHEN texture_id % 41 = 0 THEN 0 ELSE width END AS width, CASE WHEN texture_id % 37 = 0 THEN 0 ELSE height END AS height,
+  CASE WHEN texture_id % 31 = 0 THEN 4 ELSE 0 END AS depth, layers - 1 AS layers, CASE WHEN texture_id % 43 = 0 THEN 3 ELSE faces END AS faces,
+  CASE WHEN texture_id % 13 = 0 THEN levels + 1 WHEN texture_id % 17 = 0 THEN 0 ELSE levels END AS levels,
+  CASE WHEN texture_id % 53 = 0 THEN 65536 WHEN texture_id % 59 = 0 THEN 9 WHEN texture_id % 61 = 0 THEN 1 ELSE sc_scheme END AS sc_scheme,
+  texture_id % 3 <> 0 AS compressed, texture_id % 4 = 0 AS gltf FROM textures)"""
+
+
+def _headers(spark, sf) -> DataFrame:
+    _textures(spark, sf).createOrReplaceTempView("_textures")
+    return spark.sql("SELECT" + _HEADERS.split("headers AS (SELECT")[1][:-1].replace("FROM textures", "FROM _textures"))
+
+
+_BIG = "greatest(width, height, depth)"
+_RULES = [
+    (3004, "error", "VkFormatAndBasis", "sc_scheme IN (1, 4) AND vk_format <> 0"),
+    (3005, "error", "TypeSizeNotOne", "(vk_format = 0 OR compressed) AND type_size <> 1"),
+    (3006, "error", "WidthZero", "width = 0"),
+    (3007, "error", "BlockCompressedNoHeight", "compressed AND height = 0"),
+    (3008, "error", "CubeHeightWidthMismatch", "faces = 6 AND width <> height"),
+    (3009, "error", "DepthNoHeight", "depth <> 0 AND height = 0"),
+    (3013, "error", "CubeWithDepth", "faces = 6 AND depth <> 0"),
+    (3014, "warning", "ThreeDArray", "depth <> 0 AND layers <> 0"),
+    (3015, "error", "InvalidFaceCount", "faces NOT IN (1, 6)"),
+    (3016, "error", "TooManyMipLevels", f"{_BIG} < (1 << CAST(greatest(levels, 1) - 1 AS INT))"),
+    (3017, "error", "BlockCompressedNoLevel", "compressed AND levels = 0"),
+    (3018, "warning", "VendorSupercompression", "sc_scheme BETWEEN 65536 AND 131071"),
+    (3019, "error", "InvalidSupercompression", "NOT (sc_scheme BETWEEN 0 AND 4) AND NOT (sc_scheme BETWEEN 65536 AND 131071)"),
+    (3101, "error", "InvalidSupercompressionGLTFBU", "gltf AND sc_scheme NOT IN (0, 1, 2)"),
+    (3102, "error", "InvalidTextureTypeGLTFBU", "gltf AND (depth <> 0 OR layers <> 0 OR faces <> 1)"),
+    (3103, "error", "InvalidPixelWidthHeightGLTFBU", "gltf AND (width % 4 <> 0 OR height % 4 <> 0)"),
+    (3104, "error", "InvalidLevelCountGLTFBU", f"gltf AND NOT (levels = 1 OR levels = length(bin(greatest({_BIG}, 1))))"),
+]
+_HEADER_ISSUES = " UNION ALL ".join(f"SELECT texture_id, {i} AS id, '{s}' AS severity, '{r}' AS rule FROM headers WHERE {p}" for i, s, r, p in _RULES)
+
+
+@query(f"WITH {_HEADERS} {_HEADER_ISSUES}")
+def validate_header(spark, sf):
+    return validate.raised(_headers(spark, sf), validate.header_rules(F.col("compressed")), "texture_id")
+
+
+@query(
+    f"""WITH {_HEADERS}, issues AS ({_HEADER_ISSUES})
+SELECT h.texture_id, CAST(count(i.id) FILTER (severity = 'error') AS BIGINT) AS n_errors, CAST(count(i.id) FILTER (severity = 'warning') AS BIGINT) AS n_warnings, count(i.id) FILTER (severity = 'error') = 0 AS valid
+FROM headers h LEFT JOIN issues i ON h.texture_id = i.texture_id GROUP BY h.texture_id"""
+)
+def validate_verdict(spark, sf):
+    headers = _headers(spark, sf)
+    return validate.verdict(headers, validate.raised(headers, validate.header_rules(F.col("compressed")), "texture_id"))
+
+
+_INDEX = f"""{LOCATED},
+idx AS (SELECT texture_id, level, 200 + byte_offset + CASE WHEN texture_id % 19 = 0 AND level = 0 THEN 2 WHEN texture_id % 23 = 0 AND level = 1 THEN 16 ELSE 0 END AS byte_offset,
+  level_size + CASE WHEN texture_id % 7 = 0 AND level = 2 THEN 8 ELSE 0 END AS byte_length, CASE WHEN texture_id % 29 = 0 AND level = 1 THEN 9999999 ELSE level_size END AS uncompressed_length,
+  level_size AS expected_size, CASE WHEN sc_scheme = 0 THEN lcm4 ELSE 1 END AS alignment, CASE WHEN texture_id % 47 = 0 THEN 1 ELSE sc_scheme END AS sc_scheme FROM located)"""
+
+
+@query(
+    f"""WITH {_INDEX}, s AS (SELECT *, lag(uncompressed_length) OVER (PARTITION BY texture_id ORDER BY level) AS lb, lag(byte_offset) OVER (PARTITION BY texture_id ORDER BY level) AS ob,
+  min(byte_offset) OVER (PARTITION BY texture_id) AS f, lag(byte_offset + byte_length) OVER (PARTITION BY texture_id ORDER BY level DESC) AS e FROM idx),
+x AS (SELECT *, CASE WHEN e IS NULL THEN f ELSE (e + alignment - 1) // alignment * alignment END AS expected FROM s)
+SELECT texture_id, level, 4001 AS id, 'error' AS severity, 'IncorrectIndexOrder' AS rule FROM x WHERE uncompressed_length > lb
+UNION ALL SELECT texture_id, level, 4002, 'error', 'IncorrectLevelOrder' FROM x WHERE byte_offset > ob
+UNION ALL SELECT texture_id, level, 4003, 'error', 'IncorrectByteOffsetUnaligned' FROM x WHERE byte_offset % alignment <> 0
+UNION ALL SELECT texture_id, level, 4004, 'error', 'IncorrectByteOffset' FROM x WHERE byte_offset % alignment = 0 AND byte_offset <> expected
+UNION ALL SELECT texture_id, level, 4005, 'error', 'IncorrectByteLength' FROM x WHERE sc_scheme = 0 AND byte_length <> expected_size
+UNION ALL SELECT texture_id, level, 4006, 'error', 'IncorrectUncompressedByteLength' FROM x WHERE sc_scheme = 0 AND uncompressed_length <> expected_size
+UNION ALL SELECT texture_id, level, 4007, 'error', 'NonZeroUBLForBLZE' FROM x WHERE sc_scheme = 1 AND uncompressed_length <> 0"""
+)
+def validate_levels(spark, sf):
+    from ..functions.sizes import lcm4
+
+    k, v = F.col("texture_id"), F.col("level")
+    at = F.col("byte_offset") + 200 + F.when((k % 19 == 0) & (v == 0), 2).when((k % 23 == 0) & (v == 1), 16).otherwise(0)
+    index = catalog.level_offsets(_textures(spark, sf)).select(
+        "texture_id",
+        "level",
+        at.alias("byte_offset"),
+        (F.col("level_size") + F.when((k % 7 == 0) & (v == 2), 8).otherwise(0)).alias("byte_length"),
+        F.when((k % 29 == 0) & (v == 1), 9999999).otherwise(F.col("level_size")).alias("uncompressed_length"),
+        F.col("level_size").alias("expected_size"),
+        F.when(F.col("sc_scheme") == 0, lcm4(F.col("block_bytes"))).otherwise(1).alias("alignment"),
+        F.when(k % 47 == 0, 1).otherwise(F.col("sc_scheme")).alias("sc_scheme"),
+    )
+    return validate.level_issues(index)
+
+
+_KNOWN = ", ".join(f"'{k}'" for k in validate.KNOWN_KEYS)
+
+
+@query(
+    f"""WITH {_META}, o AS (SELECT *, row_number() OVER (PARTITION BY texture_id ORDER BY CASE WHEN texture_id % 21 = 0 THEN length(key) ELSE 0 END, key) AS ordinal FROM meta),
+s AS (SELECT *, lag(key) OVER (PARTITION BY texture_id ORDER BY ordinal) AS before FROM o),
+w AS (SELECT texture_id, max(CASE WHEN key = 'KTXwriter' THEN 1 ELSE 0 END) AS writer, max(CASE WHEN key = 'KTXwriterScParams' THEN 1 ELSE 0 END) AS params FROM meta GROUP BY texture_id)
+SELECT texture_id, key, 7103 AS id, 'error' AS severity, 'OutOfOrder' AS rule FROM s WHERE key < before
+UNION ALL SELECT texture_id, key, 7104, 'error', 'UnknownReservedKey' FROM s WHERE (starts_with(key, 'KTX') OR starts_with(key, 'ktx')) AND key NOT IN ({_KNOWN})
+UNION ALL SELECT texture_id, key, 7105, 'warning', 'CustomKey' FROM s WHERE NOT (starts_with(key, 'KTX') OR starts_with(key, 'ktx'))
+UNION ALL SELECT texture_id, key, 7106, 'error', 'OrientationFormat' FROM s WHERE key = 'KTXorientation' AND NOT regexp_full_match(value, '[rl]([du]([oi])?)?')
+UNION ALL SELECT texture_id, 'KTXwriter', 7201, 'error', 'WriterMissingWithParams' FROM w WHERE writer = 0 AND params = 1
+UNION ALL SELECT texture_id, 'KTXwriter', 7202, 'warning', 'WriterMissing' FROM w WHERE writer = 0 AND params = 0"""
+)
+def validate_metadata(spark, sf):
+    from pyspark.sql import Window
+
+    order = [F.when(F.col("texture_id") % 21 == 0, F.length("key")).otherwise(0), F.col("key")]
+    meta = _meta(spark, sf)[0].withColumn("ordinal", F.row_number().over(Window.partitionBy("texture_id").orderBy(*order)))
+    return validate.metadata_issues(meta)
