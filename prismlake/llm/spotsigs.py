@@ -29,6 +29,8 @@ from .common import materialise, partitions
 
 CHAIN = 2
 THRESHOLD = 0.8
+#: Buckets of neighbouring ids for each partition.
+BUCKETS = 4
 #: Common words of English, French, German and Spanish.
 ANCHORS = frozenset(
     w.encode()
@@ -90,52 +92,44 @@ RESULT_TYPES = "id long, n_chars long, edited_sha256 string, fingerprint string,
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's fingerprint, its edited text's, and likeness to that and to the next document's, by descending id.
 
-    Documents are range-partitioned and sorted once; a partition's first and
-    last documents are kept with their texts and matched across partitions.
+    Documents are dealt once to buckets of neighbouring ids; each bucket also
+    gets the first document of the bucket after it, so that all neighbours
+    meet. Only the buckets' bounds and first ids reach the driver.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    given = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    order = [F.col("id").desc(), F.xxhash64("text")]
-    # the expression keeps two rows of one id in one order and spreads them over partitions where they are many
-    dealt = given.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    key = F.coalesce(F.col("id"), F.lit(-(1 << 63)).cast("long"))
+    given = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("k", key)
+    parts = partitions(spark)
+    n = BUCKETS * parts
+    bounds = np.array(sorted({int(x) for x in given.approxQuantile("k", [i / n for i in range(1, n)], 1 / (4 * n))}), np.int64)
+
+    @F.pandas_udf("int")
+    def bucket(k: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, k.to_numpy(np.int64), "right"), dtype="int32")
+
+    given = given.withColumn("bucket", bucket("k"))
+    heads = sorted(((r["bucket"], r["k"]) for r in given.groupBy("bucket").agg(F.max("k").alias("k")).collect()), reverse=True)
+    following = spark.createDataFrame([(k, b) for (b, _), (_, k) in zip(heads, heads[1:] + heads[:1], strict=True)], "k long, bucket int")
+    order = F.xxhash64("text")
+    first = given.drop("bucket").join(F.broadcast(following), "k").groupBy("k", "bucket").agg(F.min_by("text", order).alias("text"))
+    rows = given.withColumn("after", F.lit(False)).unionByName(first.select(F.lit(None).cast("long").alias("id"), "text", "k", "bucket", F.lit(True).alias("after")))
+    dealt = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "after", F.col("k").desc(), order)
 
     def run(batches):
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        last = None
+        here, last = None, None
         for pdf in batches:
-            rows, edges = [], []
-            for key, text in zip(pdf["id"], pdf["text"], strict=True):
+            out = []
+            for key, text, b, after in zip(pdf["id"], pdf["text"], pdf["bucket"], pdf["after"], strict=True):
+                if b != here:
+                    here, last = b, None
                 sigs = signatures(text)
-                if last is None:
-                    edges.append((key, None, text, None, None, None, None, part, "head"))
-                else:
-                    rows.append((*_compared(*last, text, sigs), part, "row"))
-                last = (key, text, sigs)
-            yield pd.DataFrame(rows + edges, columns=[*RESULT, "part", "kind"])
-        if last is not None:
-            yield pd.DataFrame([(last[0], None, last[1], None, None, None, None, part, "tail")], columns=[*RESULT, "part", "kind"])
-
-    def typed(batches):
-        for pdf in run(batches):
-            yield pdf.astype({"id": "Int64", "n_chars": "Int64", "near_edited": "float64", "near_next": "float64"})
-
-    all_ = materialise(dealt.mapInPandas(typed, f"{RESULT_TYPES}, part int, kind string"), "fingerprints")
-    edges = all_.where("kind <> 'row'")
-    parts = sorted(r["part"] for r in edges.where("kind = 'head'").select("part").collect())  # one number a partition
-    following = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part int, following int")
-    tails = edges.where("kind = 'tail'").select("id", F.col("edited_sha256").alias("text"), "part").join(F.broadcast(following), "part")
-    heads = edges.where("kind = 'head'").select(F.col("part").alias("following"), F.col("edited_sha256").alias("after"))
-
-    def finish(batches):
-        for pdf in batches:
-            rows = [_compared(key, text, signatures(text), after, signatures(after)) for key, text, after in zip(pdf["id"], pdf["text"], pdf["after"], strict=True)]
-            yield pd.DataFrame(rows, columns=RESULT).astype({"id": "Int64", "n_chars": "Int64"})
+                if last is not None:
+                    out.append(_compared(*last, text, sigs))
+                last = None if after else (key, text, sigs)
+            yield pd.DataFrame(out, columns=RESULT).astype({"id": "Int64", "n_chars": "Int64", "near_edited": "float64", "near_next": "float64"})
 
-    ends = tails.join(heads, "following").select("id", "text", "after").mapInPandas(finish, RESULT_TYPES)
-    return all_.where("kind = 'row'").select(*RESULT).unionByName(ends)
+    return dealt.select("id", "text", "bucket", "after").mapInPandas(run, RESULT_TYPES)
 
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
