@@ -1,30 +1,52 @@
-"""The training-text pipeline: five stages over ``documents``."""
+"""The training-text pipeline: five stages over ``documents``.
+
+Each stage takes all that its predecessor kept, written as Parquet and read
+again; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from prismlake.llm import packing, quality_rules
+from prismlake.llm import line_dedup, mixing, near_dedup, packing, quality_rules
 from prismlake.llm.common import materialise, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
+    """Documents that the quality rules reject go."""
     return quality_rules.filter_documents(docs, table(spark, sf_dir, "labels"))
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go; documents stay, with what is left of their text."""
+    cut = line_dedup.dedup(docs).withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long"))
+    return cut.select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays: shingles of five words, similarity of 0.8 or more."""
+    return near_dedup.filter_documents(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are sampled to flattened source, language and topic weights."""
+    return mixing.sample(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents that are left, in sequences of 2048 tokens."""
     return packing.pack(docs)
 
 
-STAGES = [("quality_rules", quality), ("packing", pack)]
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("near_dedup", near_copies), ("mixing", mix), ("packing", pack)]
 
+#: The forest, the SimHash and the tokenizer cannot be expressed in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over ``documents``, each written and read again."""
+    """The stages one after the other over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)

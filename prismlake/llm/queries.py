@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import factorisation, licenses, line_dedup, mixing, near_dedup, packing, quality_rules, spotsigs, suffix_dedup, toxicity
+from . import factorisation, licenses, line_dedup, mixing, near_dedup, oracles, packing, quality_rules, spotsigs, suffix_dedup, toxicity
 from .common import table
 
 
@@ -74,4 +74,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_suffix_array,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_near_dedup": oracles.near_dedup(), "op5_raking": oracles.raking(), "op8_licenses": oracles.licence_scan()}
