@@ -5,12 +5,15 @@ spaced, truncated minima (the larger register is that of the union, so sketches
 merge), whose values agree with a probability near the Jaccard similarity.
 Bands of register values give candidates; similarity is estimated jointly by
 likelihood from the registers that are larger, smaller and equal; what the
-estimate leaves is verified on the full sets. Documents of equal sets form a
+estimate leaves is verified on the full sets (as 64-bit hashes of shingles).
+The pairs of a bucket are never made: each member is compared with the
+bucket's pivot, and only members that the pivot is not linked with are
+compared further, by the few shingles in which they differ from the pivot. Documents of equal sets form a
 class, of which only the smallest id takes part in the search.
 
 BANDS x ROWS registers miss a pair of similarity 0.8 with a probability of
-(1 - 0.8**ROWS)**BANDS = 3e-6; a pair whose estimate lies below the threshold
-less MARGIN (six standard errors) is not verified.
+(1 - 0.8**ROWS)**BANDS = 3e-6; a pivot's pair whose estimate lies below the
+threshold less MARGIN (six standard errors) is not linked.
 
 Defined results: documents without words have an empty set and stay alone;
 rows that repeat are in one class; an empty table gives an empty result. Only
@@ -36,6 +39,8 @@ BASE = 1.001
 RATE = 20.0
 LIMIT = 65534
 MARGIN = 0.2
+#: Members of a family that one task compares at once.
+BLOCK = 2048
 THRESHOLD = 80  # percent
 
 _rng = np.random.default_rng(20240607)
@@ -137,7 +142,7 @@ def sketched(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str
 
 
 def banded(classes: DataFrame) -> DataFrame:
-    """(key, id, size) for each band of each sketch."""
+    """(key, id) for each band of each sketch."""
 
     def run(batches):
         for pdf in batches:
@@ -147,69 +152,141 @@ def banded(classes: DataFrame) -> DataFrame:
             h = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(pdf), 1))
             for i in range(ROWS):
                 h = mixed(h * _PLACE[7] + r[:, :, i])
-            yield pd.DataFrame({"key": h.view(np.int64).ravel(), "id": np.repeat(pdf["id"].to_numpy(), BANDS), "size": np.repeat(pdf["n"].to_numpy(), BANDS)})
+            yield pd.DataFrame({"key": h.view(np.int64).ravel(), "id": np.repeat(pdf["id"].to_numpy(), BANDS)})
 
-    return classes.select("id", "n", "registers").mapInPandas(run, "key long, id long, size long")
+    return classes.select("id", "registers").mapInPandas(run, "key long, id long")
 
 
-def verifier(classes: DataFrame, texts: DataFrame, width: int, percent: int = THRESHOLD):
-    """Pairs (a, b) to links: first by the joint estimate, then on the full sets."""
+def _starred(pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Each member against its family's pivot: pivot, id, n, linked and diff, the hashes that only one of the two sets has.
 
-    def likely(batches):
+    A link takes both: a joint estimate no more than MARGIN below the
+    threshold, then the full sets.
+    """
+
+    def run(batches):
+        hasher, last, have = Hasher(width), None, None
         for pdf in batches:
             if not len(pdf):
                 continue
-            x = np.frombuffer(b"".join(pdf["ra"]), "<u2").reshape(-1, REGISTERS)
-            y = np.frombuffer(b"".join(pdf["rb"]), "<u2").reshape(-1, REGISTERS)
-            est = estimate((x > y).sum(1), (x < y).sum(1), pdf["na"].to_numpy(float), pdf["nb"].to_numpy(float))
-            yield pdf.loc[est >= percent / 100 - MARGIN, ["a", "b"]]
+            x = np.frombuffer(b"".join(pdf["rp"]), "<u2").reshape(-1, REGISTERS)
+            y = np.frombuffer(b"".join(pdf["rx"]), "<u2").reshape(-1, REGISTERS)
+            likely = estimate((x > y).sum(1), (x < y).sum(1), pdf["np"].to_numpy(float), pdf["nx"].to_numpy(float)) >= percent / 100 - MARGIN
+            out = []
+            for pivot, key, tp, tx, maybe in zip(pdf["pivot"], pdf["id"], pdf["tp"], pdf["tx"], likely, strict=True):
+                if pivot != last:
+                    last, have = pivot, hasher(tp)
+                other = hasher(tx)
+                diff = np.setxor1d(have, other, assume_unique=True)
+                total = len(have) + len(other)
+                out.append((pivot, key, len(other), bool(maybe and 100 * (total - len(diff)) >= percent * (total + len(diff))), diff.tobytes()))
+            yield pd.DataFrame(out, columns=["pivot", "id", "n", "linked", "diff"])
+
+    return pairs.mapInPandas(run, "pivot long, id long, n long, linked boolean, diff binary")
+
+
+class Block:
+    """Up to BLOCK members of a family, indexed by the hashes in which they differ from its pivot."""
+
+    def __init__(self, ids, sizes, diffs, linked):
+        self.ids, self.sizes = np.array(ids), np.array(sizes)
+        self.lengths = np.array([len(d) for d in diffs])
+        owner = np.repeat(np.arange(len(ids)), self.lengths)
+        element = np.concatenate(diffs)
+        by = np.argsort(element, kind="stable")
+        self.element, self.owner = element[by], owner[by]
+        self.at = {k: i for i, k in enumerate(ids)}
+        # members linked with the pivot are joined already
+        core = next((i for i, x in enumerate(linked) if x), None)
+        self.up = [core if x else i for i, x in enumerate(linked)]
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def links(self, key: int, size: int, diff: np.ndarray, percent: int) -> list[tuple[int, int]]:
+        """Links of an outer member: one to each part of the block that it joins."""
+        lo, hi = np.searchsorted(self.element, diff, "left"), np.searchsorted(self.element, diff, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        common = np.bincount(self.owner[at], minlength=len(self.ids))
+        total = self.sizes + size
+        apart = self.lengths + len(diff) - 2 * common
+        hits = np.flatnonzero((100 * (total - apart) >= percent * (total + apart)) & (self.ids != key))
+        own = self.root(self.at[key]) if key in self.at else None
+        out = []
+        for i in hits.tolist():
+            r = self.root(i)
+            if r != own:
+                out.append((key, int(self.ids[i])))
+                if own is None:
+                    own = r
+                else:
+                    self.up[r] = own
+        return out
 
-    def exact(batches):
-        last, have = None, None
-        for pdf in batches:
-            keep = np.zeros(len(pdf), bool)
-            for i, (a, ta, tb) in enumerate(zip(pdf["a"], pdf["ta"], pdf["tb"], strict=True)):
-                if a != last:
-                    last, have = a, shingle_set(ta, width)
-                other = shingle_set(tb, width)
-                both = len(have & other)
-                keep[i] = 100 * both >= percent * (len(have) + len(other) - both)
-            yield pdf.loc[keep, ["a", "b"]]
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda c: classes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
-        some = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(likely, "a long, b long")
-        text = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))
-        return some.join(text("b"), "b").join(text("a"), "a").mapInPandas(exact, "a long, b long")
+def _compared(members: DataFrame, percent: int) -> DataFrame:
+    """Links among members of one family that its pivot leaves apart.
 
-    return verify
+    Members that the pivot is not linked with are compared with all members,
+    block by block; a block has at most about BLOCK members, whatever the
+    family's size, and gives at most a spanning forest of links.
+    """
+    sizes = members.groupBy("pivot").agg(F.count("*").alias("g"), F.sum(F.col("linked").cast("int")).alias("l")).where("g > 1 and l < g")
+    sizes = materialise(sizes.select("pivot", F.ceil(F.col("g") / BLOCK).cast("int").alias("blocks")), "families")
+    open_ = members.join(sizes, "pivot")
+    own = open_.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("outer", F.lit(False))
+    outer = open_.where("not linked").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("outer", F.lit(True))
+
+    def run(batches):
+        block, here, parts = None, None, None
+        for pdf in batches:
+            out = []
+            for pivot, b, outer, key, n, linked, diff in zip(*(pdf[c] for c in ("pivot", "block", "outer", "id", "n", "linked", "diff")), strict=True):
+                if (pivot, b) != here:
+                    here, block, parts = (pivot, b), None, ([], [], [], [])
+                d = np.frombuffer(diff, "<u8")
+                if not outer:
+                    for x, v in zip(parts, (key, n, d, linked), strict=True):
+                        x.append(v)
+                elif parts[0]:
+                    block = block or Block(*parts)
+                    out += block.links(key, n, d, percent)
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b"])
+
+    dealt = own.unionByName(outer).select("pivot", "block", "outer", "id", "n", "linked", "diff").repartition("pivot", "block")
+    return dealt.sortWithinPartitions("pivot", "block", "outer", "id").mapInPandas(run, "a long, b long")
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (smallest id reachable)."""
     rows = materialise(sketched(docs, width, id_col, text_col), "sketches")
-    full = rows.where("n > 0")
     # one row for each class of equal sets: its smallest id
-    least = full.groupBy("c1", "c2").agg(F.min("id").alias("id"))
-    classes = materialise(full.join(least, ["c1", "c2", "id"]).dropDuplicates(["c1", "c2"]), "classes")
+    classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers"))
+    classes = materialise(classes, "classes")
+    # the smallest id of each bucket is its pivot; whoever shares a bucket is in one family with its pivot
     bands = materialise(banded(classes), "bands")
-    shared = bands.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key")
-    members = materialise(bands.join(shared, "key"), "shared")
-    discard(bands)
-    ids = materialise(members.select("id").distinct(), "ids")
+    pivots = materialise(bands.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "pivots")
+    family = materialise(bands.join(pivots, "key").where("id <> pivot").select("pivot", "id").distinct(), "family")
+    ids = materialise(family.select("id").union(family.select("pivot")).distinct(), "ids")
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = materialise(linking.with_ids(given, ids, "id").dropDuplicates(["id"]), "texts")
-    involved = materialise(linking.with_ids(classes, ids, "id"), "involved")
-    ratio = percent / 100
-    near = lambda x, y: F.least(x, y) >= ratio * F.greatest(x, y)
-    labels = linking.resolve(members, verifier(involved, texts, width, percent), near)
-    for t in (members, ids):
+    n = ids.count()
+    involved = materialise(linking.with_ids(given, ids, "id", rows=n).dropDuplicates(["id"]).join(linking.with_ids(classes, ids, "id", rows=n), "id"), "involved")
+    side = lambda c, k: involved.select(F.col("id").alias(k), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"), F.col("text").alias(f"t{c}"))
+    members = materialise(_starred(family.join(side("x", "id"), "id").join(side("p", "pivot"), "pivot"), width, percent), "members")
+    links = materialise(members.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")).union(_compared(members, percent)), "near-links")
+    for t in (bands, pivots, family, ids, involved, members):
         discard(t)
     found = classes.select("c1", "c2", F.col("id").alias("rep"))
-    if labels is not None:
-        found = found.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
-    else:
+    if links.isEmpty():
         found = found.withColumnRenamed("rep", "component")
+    else:
+        labels = linking.connected_components(links).select(F.col("id").alias("rep"), "component")
+        found = found.join(labels, "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
     found = materialise(found, "class-components")
     return rows.select("id", "n", "c1", "c2").join(found, ["c1", "c2"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
