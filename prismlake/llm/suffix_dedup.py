@@ -41,8 +41,9 @@ REACH = LENGTH - GRAM + 1  # grams in a window
 FILTER_BITS = 27
 #: Part of the filter that one row holds, as a power of two of bits.
 CHUNK_BITS = 19
-HOT = 2000
-SHARD_BYTES = 1 << 20
+HOT = 20_000
+#: Shards of this size stay in a core's cache while they are sorted.
+SHARD_BYTES = 1 << 17
 #: Documents are scanned in groups of about this many bytes.
 SCAN_BYTES = 1 << 20
 
@@ -240,24 +241,30 @@ def _induce_waves(s, small, lms, heads, tails):
 
 
 def _induce_plain(s, small, lms, heads, tails):
-    """One suffix at a time; for alphabets about as large as the text."""
+    """One suffix at a time; for alphabets about as large as the text.
+
+    ``larger`` and ``smaller`` hold the bucket of the suffix before each one, or
+    -1 where that is of the other type; their last entry serves empty places.
+    The loops run over the array while it is being filled.
+    """
     sa = _place(s, lms, tails).tolist()
-    t, small_ = s.tolist(), small.tolist()
-    head = heads.tolist()
-    for i in range(len(sa)):
-        j = sa[i] - 1
-        if j >= 0 and not small_[j]:
-            c = t[j]
-            sa[head[c]] = j
-            head[c] += 1
-    tail = tails.tolist()
-    for i in range(len(sa) - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and small_[j]:
-            c = t[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
-    sa[0] = len(t) - 1
+    before, kind = np.concatenate([[-1], s[:-1], [-1]]), np.concatenate([[False], small[:-1], [False]])
+    larger = np.where(kind, -1, before).tolist()
+    smaller = np.where(kind, before, -1).tolist()
+    head, tail = heads.tolist(), tails.tolist()
+    for j in sa:
+        c = larger[j]
+        if c >= 0:
+            h = head[c]
+            sa[h] = j - 1
+            head[c] = h + 1
+    for j in reversed(sa):
+        c = smaller[j]
+        if c >= 0:
+            h = tail[c] - 1
+            sa[h] = j - 1
+            tail[c] = h
+    sa[0] = len(s) - 1
     return np.array(sa, np.int64)
 
 
@@ -399,7 +406,7 @@ def _occurrences(given: DataFrame, shared) -> DataFrame:
                         sent[c] += 1
                     else:
                         sent[c] = 1
-                parts.append(pd.DataFrame({"chash": hashes, "row": doc + at, "start": start, "anchor": key, "content": contents}))
+                parts.append(pd.DataFrame({"chash": hashes, "row": doc + at, "start": start, "size": hi - lo, "anchor": key, "content": contents}))
             if parts:
                 out = pd.concat(parts, ignore_index=True)
                 row = out.pop("row").to_numpy()
@@ -408,7 +415,7 @@ def _occurrences(given: DataFrame, shared) -> DataFrame:
                 n[new] = [sent[c] for c in out["chash"].to_numpy()[new].tolist()]
                 yield out.assign(doc=pdf["doc"].to_numpy()[row], version=pdf["version"].to_numpy()[row], n=n)
 
-    return given.select("doc", "version", "text").mapInPandas(run, "chash long, doc long, version long, start long, anchor long, content binary, n long")
+    return given.select("doc", "version", "text").mapInPandas(run, "chash long, doc long, version long, start long, size long, anchor long, content binary, n long")
 
 
 def _sorted_shards(mixed: DataFrame) -> DataFrame:
@@ -427,6 +434,8 @@ def _sorted_shards(mixed: DataFrame) -> DataFrame:
 
         for pdf in batches:
             for a, c, content, d in zip(pdf["anchor"], pdf["chash"], pdf["content"], pdf["doc"], strict=True):
+                if a == last and c == have["chash"][-1]:
+                    continue  # the same segment from another batch; its smallest document came first
                 if size >= SHARD_BYTES and a != last:
                     yield flush()
                     size = 0
@@ -438,7 +447,7 @@ def _sorted_shards(mixed: DataFrame) -> DataFrame:
         if size:
             yield flush()
 
-    return mixed.select("anchor", "chash", "content", "doc").repartition("anchor").sortWithinPartitions("anchor").mapInPandas(run, RUNS)
+    return mixed.select("anchor", "chash", "content", "doc").repartition("anchor").sortWithinPartitions("anchor", "chash", "doc").mapInPandas(run, RUNS)
 
 
 RUNS = "chash long, first long, last long, least long"
@@ -452,7 +461,8 @@ def _by_window(hot: DataFrame) -> DataFrame:
             rows = [(_content_key(c[i : i + LENGTH]), h, i, d) for h, c, d in zip(pdf["chash"], pdf["content"], pdf["doc"], strict=True) for i in range(len(c) - LENGTH + 1)]
             yield pd.DataFrame(rows, columns=["window", "chash", "first", "doc"]).astype("int64")
 
-    windows = materialise(hot.select("chash", "content", "doc").mapInPandas(run, "window long, chash long, first long, doc long"), "windows")
+    once = hot.groupBy("chash").agg(F.min("doc").alias("doc"), F.first("content").alias("content"))
+    windows = materialise(once.select("chash", "content", "doc").mapInPandas(run, "window long, chash long, first long, doc long"), "windows")
     least = materialise(windows.groupBy("window").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "least-windows")
     shared = windows.join(least, "window").select("chash", "first", F.col("first").alias("last"), "least")
     # a window of one segment may still stand in several documents of that segment
@@ -462,23 +472,23 @@ def _by_window(hot: DataFrame) -> DataFrame:
 
 def removals(given: DataFrame) -> DataFrame:
     """Per document (doc, version, text) with removed bytes: doc, version and spans, stretches (start, stop) that may overlap."""
-    found = materialise(_occurrences(given, _shared_filter(given)), "occurrences")
+    found = materialise(_occurrences(given, _shared_filter(given)), "occurrences", "zstd")
     new = found.where("content is not null")
-    kinds = new.groupBy("chash").agg(F.min("doc").alias("doc"), F.first("anchor").alias("anchor"), F.first("content").alias("content"), F.sum("n").alias("n"))
+    kinds = new.groupBy("chash").agg(F.min("doc").alias("doc"), F.first("anchor").alias("anchor"), F.first("size").alias("size"), F.sum("n").alias("n"))
     kinds = materialise(kinds, "segments")
     per = materialise(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("rows")).where("rows > 1").drop("rows"), "anchors")
-    kinds_of = materialise(kinds.join(per, "anchor"), "shared-segments")
     # a segment alone with its anchor is equal in all its documents
-    alone = kinds_of.where("kinds = 1").select("chash", F.lit(0).cast("long").alias("first"), (F.length("content") - LENGTH).cast("long").alias("last"), F.col("doc").alias("least"))
-    runs = _sorted_shards(kinds_of.where((F.col("kinds") > 1) & (F.col("kinds") <= HOT))).unionByName(alone)
-    hot = kinds_of.where(F.col("kinds") > HOT)
+    alone = kinds.join(per.where("kinds = 1").select("anchor"), "anchor", "left_semi").select("chash", F.lit(0).cast("long").alias("first"), (F.col("size") - LENGTH).alias("last"), F.col("doc").alias("least"))
+    contents = new.select("anchor", "chash", "content", "doc")
+    runs = _sorted_shards(with_ids(contents, per.where((F.col("kinds") > 1) & (F.col("kinds") <= HOT)).select("anchor"), "anchor")).unionByName(alone)
+    hot = per.where(F.col("kinds") > HOT).select("anchor")
     if not hot.isEmpty():
-        runs = runs.unionByName(_by_window(hot))
+        runs = runs.unionByName(_by_window(with_ids(contents, hot, "anchor")))
     runs = materialise(runs, "runs")
     hit = found.select("chash", "doc", "version", "start").join(runs, "chash").where("least < doc")
     spans = hit.select("doc", "version", F.struct((F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + LENGTH).alias("stop")).alias("span"))
     out = materialise(spans.groupBy("doc", "version").agg(F.collect_list("span").alias("spans")), "removals")
-    for t in (found, kinds, per, kinds_of, runs):
+    for t in (found, kinds, per, runs):
         discard(t)
     return out
 
