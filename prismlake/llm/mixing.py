@@ -50,13 +50,14 @@ def layout_topic(text: Column, tokens: Column) -> Column:
     )
 
 
-def described(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with _source, _lang, _topic and _tokens."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    docs = docs.withColumn("_tokens", token_count(text))
-    topic = F.col("topic") if "topic" in docs.columns else layout_topic(text, F.col("_tokens"))
-    known = {"_source": F.col("source"), "_lang": F.col("lang"), "_topic": topic}
-    return docs.withColumns({n: F.coalesce(c.cast("string"), F.lit(_NONE)) for n, c in known.items()})
+def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, id, source, lang, topic, tokens); row holds all columns of ``docs``, so that no name clashes."""
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.coalesce(F.col("row")[text_col].cast("string"), F.lit(""))
+    counted = row.withColumn("tokens", token_count(text))
+    topic = F.col("row")["topic"] if "topic" in docs.columns else layout_topic(text, F.col("tokens"))
+    known = {"source": F.col("row")["source"], "lang": F.col("row")["lang"], "topic": topic}
+    return counted.select("row", F.col("row")[id_col].alias("id"), *[F.coalesce(c.cast("string"), F.lit(_NONE)).alias(n) for n, c in known.items()], "tokens")
 
 
 def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
@@ -69,7 +70,7 @@ def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None,
     out = cells.where("tokens > 0")
     total = cells.agg(F.sum("tokens").alias("t")).first()["t"] or 0
     if not total:
-        return cells.withColumn("probability", F.lit(1.0))
+        return cells.select(*DIMENSIONS, F.lit(1.0).alias("probability"))
     for d in DIMENSIONS:
         if targets and d in targets:
             given = spark.createDataFrame([(k, float(v)) for k, v in targets[d].items()], f"{d} string, _t{d} double")
@@ -95,23 +96,21 @@ def draw(id_col: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
-def weighted(docs: DataFrame, rows: DataFrame, targets: dict | None = None, keep: float = KEEP) -> DataFrame:
-    """``docs`` (described) with probability and kept; ``rows`` has the described columns of all documents."""
-    cells = materialise(rows.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("_tokens").alias("tokens")), "cells")
-    fitted = raked(cells, targets, keep).select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "probability")
+def weighted(given: DataFrame, rows: DataFrame, targets: dict | None = None, keep: float = KEEP) -> DataFrame:
+    """``given`` (described) with probability and kept; ``rows`` has dimensions and tokens of all documents."""
+    cells = materialise(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "cells")
+    fitted = raked(cells, targets, keep)
     n = fitted.count()
-    return docs.join(F.broadcast(fitted) if n <= BROADCAST_CELLS else fitted, [f"_{d}" for d in DIMENSIONS])
+    return given.join(F.broadcast(fitted) if n <= BROADCAST_CELLS else fitted, list(DIMENSIONS)).withColumn("kept", draw(F.col("id")) < F.col("probability"))
 
 
 def probabilities(docs: DataFrame, targets: dict | None = None, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, source, lang, topic, tokens, probability, kept."""
-    rows = materialise(described(docs, text_col).select(F.col(id_col).alias("_id"), *[f"_{d}" for d in DIMENSIONS], "_tokens"), "mix-rows")
-    out = weighted(rows, rows, targets, keep)
-    return out.select(F.col("_id").alias(id_col), *[F.col(f"_{d}").alias(d) for d in DIMENSIONS], F.col("_tokens").alias("tokens"), "probability", (draw(F.col("_id")) < F.col("probability")).alias("kept"))
+    rows = materialise(described(docs, id_col, text_col).drop("row"), "mix-rows")
+    return weighted(rows, rows, targets, keep).select(F.col("id").alias(id_col), *DIMENSIONS, "tokens", "probability", "kept")
 
 
 def sample(docs: DataFrame, targets: dict | None = None, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The sampled documents with all their columns."""
-    given = described(docs, text_col)
-    out = weighted(given, given.select(*[f"_{d}" for d in DIMENSIONS], "_tokens"), targets, keep)
-    return out.where(draw(F.col(id_col)) < F.col("probability")).select(*docs.columns)
+    given = described(docs, id_col, text_col)
+    return weighted(given, given.drop("row"), targets, keep).where("kept").select("row.*")

@@ -191,7 +191,7 @@ def test_line_dedup(spark, docs, texts, clashing, empty):
     for x in range(len(places)):
         for y in range(x):
             a, b = places[x][2], places[y][2]
-            if a == b or bin((sims[x] ^ sims[y]) & (2**64 - 1)).count("1") <= 3 and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and edits(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+            if a == b or bin((sims[x] ^ sims[y]) & (2**64 - 1)).count("1") <= 3 and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and edits(a, b) <= min(64, int(0.2 * max(len(a), len(b)) + 1e-9)):
                 links.append((x, y))
     group = joined(len(places), links)
     gone = {places[x][:2] for x in range(len(places)) if group[x] != x}
