@@ -4,7 +4,8 @@ Two rows are candidates if they share a bucket. A bucket can be huge (a family
 of near copies), so its pairs are never all made: rounds of pivots compare a
 few central rows of each bucket with all others, rows that land in one
 component need no further comparison, and what is left between components is
-compared directly once it is no more than ``FAN`` pairs a row. A pivot leaves
+compared directly once it is no more than ``fan`` pairs a row (FIRST_FAN before
+anything is joined). A pivot leaves
 its bucket after it was compared with every row there, so the rounds end and
 no link between components is lost.
 """
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialise
 
 FAN = 32
+FIRST_FAN = 8
 PIVOTS = 8
 #: Ids up to this many (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -31,21 +33,33 @@ def with_ids(df: DataFrame, ids: DataFrame, on: str, how: str = "left_semi", row
 
 
 def connected_components(links: DataFrame) -> DataFrame:
-    """Links (a, b) to (id, component), component being the smallest id reachable. Labels spread and jump by turns."""
-    both = materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
-    labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("least"))
-        spread = labels.join(near, "id").select("id", F.least("component", "least").alias("to"), "component")
-        # the label of the label: chains shorten by half each round
-        jump = labels.select(F.col("id").alias("to"), F.col("component").alias("next"))
-        new = materialise(spread.join(jump, "to", "left").select("id", F.least("to", F.coalesce("next", "to")).alias("component"), F.col("component").alias("was")), "labels")
-        done = new.where("component <> was").isEmpty()
-        discard(labels)
-        labels = new
-        if done:
-            discard(both)
-            return labels.select("id", "component")
+    """Links (a, b) to (id, component), component being the smallest id reachable.
+
+    Each round points every node at its smallest neighbour, follows that
+    pointer once more, and contracts the links to those targets; parts at least
+    halve in number. Pointers lead to smaller ids only, so the last one is the
+    smallest of its component.
+    """
+    edges = materialise(links.select("a", "b").where("a <> b").distinct(), "links")
+    labels = None
+    while not edges.isEmpty():
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = materialise(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("to")), "step")
+        jump = step.join(step.select(F.col("id").alias("to"), F.col("to").alias("next")), "to").select("id", F.col("next").alias("to"))
+        jump = materialise(jump, "jump")
+        if labels is None:
+            new = jump.withColumnRenamed("to", "component")
+        else:
+            new = labels.join(jump.select(F.col("id").alias("component"), "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+        new = materialise(new, "labels")
+        end = lambda c: jump.select(F.col("id").alias(c), F.col("to").alias(f"t{c}"))
+        left = materialise(edges.join(end("a"), "a").join(end("b"), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b")).where("a <> b").distinct(), "links")
+        for t in (edges, step, jump, *([labels] if labels is not None else [])):
+            discard(t)
+        labels, edges = new, left
+    if labels is None:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return labels
 
 
 def relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
@@ -63,11 +77,12 @@ def relabel(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return materialise(known.unionByName(fresh), "components")
 
 
-def resolve(members: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable | None = None) -> DataFrame | None:
+def resolve(members: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable | None = None, fan: int = FAN, pivots: int = PIVOTS) -> DataFrame | None:
     """Members (key, id, size) to labels (id, component) of the ids that have links, or None without links.
 
     ``verify`` takes distinct pairs (a, b) and returns those that are links;
-    ``near(size_a, size_b)`` is a cheap condition that every link meets.
+    ``near(size_a, size_b)`` is a cheap condition that every link meets; the more
+    it rules out, the larger ``fan`` may be.
     """
     near = near or (lambda a, b: F.lit(True))
     labels, tested = None, None
@@ -85,7 +100,7 @@ def resolve(members: DataFrame, verify: Callable[[DataFrame], DataFrame], near:
             here = active.join(labels, "id", "left").select("key", "id", "size", "central", F.coalesce("component", "id").alias("c"))
         by_part = here.groupBy("key", "c").agg(F.count("*").alias("n"))
         by_key = by_part.groupBy("key").agg(F.sum("n").alias("g"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"), F.count("*").alias("parts"), F.max("n").alias("most"))
-        open_ = by_key.where("parts > 1").select("key", ((F.col("g").cast("double") * F.col("g") - F.col("squares")) / 2 > FAN * F.col("g")).alias("large"))
+        open_ = by_key.where("parts > 1").select("key", ((F.col("g").cast("double") * F.col("g") - F.col("squares")) / 2 > (FIRST_FAN if labels is None and tested is None else fan) * F.col("g")).alias("large"))
         here = materialise(here.join(open_, "key"), "open")
         discard(active)
         if here.isEmpty():
@@ -96,13 +111,13 @@ def resolve(members: DataFrame, verify: Callable[[DataFrame], DataFrame], near:
         right = small.select("key", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("c").alias("cb"))
         pairs = left.join(right, "key").where((F.col("ca") < F.col("cb")) & near(F.col("sa"), F.col("sb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         large = here.where("large")
-        pivots = None
+        chosen = None
         if not large.isEmpty():
             order = F.struct((-F.col("central")).alias("o"), F.col("id"))
-            # of each component the most central row; of those the PIVOTS most central
+            # of each component the most central row; of those the few most central
             best = large.groupBy("key", "c").agg(F.min(F.struct(order.alias("o"), "size")).alias("p"))
-            pivots = materialise(_first(best), "pivots")
-            star = large.join(pivots, "key").where((F.col("id") != F.col("pid")) & (F.col("c") != F.col("pc")) & near(F.col("size"), F.col("psize"))).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b"))
+            chosen = materialise(_first(best, pivots), "pivots")
+            star = large.join(chosen, "key").where((F.col("id") != F.col("pid")) & (F.col("c") != F.col("pc")) & near(F.col("size"), F.col("psize"))).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b"))
             pairs = pairs.union(star)
         pairs = pairs.distinct()
         if tested is not None:
@@ -113,13 +128,13 @@ def resolve(members: DataFrame, verify: Callable[[DataFrame], DataFrame], near:
         tested = pairs if tested is None else tested.union(pairs)
         # small buckets are done; pivots were compared with their whole bucket
         active = large.select("key", "id", "size", "central")
-        if pivots is not None:
-            active = active.join(pivots.select("key", F.col("pid").alias("id")), ["key", "id"], "left_anti")
+        if chosen is not None:
+            active = active.join(chosen.select("key", F.col("pid").alias("id")), ["key", "id"], "left_anti")
         active = materialise(active, "members")
         discard(here)
 
 
-def _first(best: DataFrame) -> DataFrame:
-    """The PIVOTS most central rows of each bucket."""
+def _first(best: DataFrame, pivots: int) -> DataFrame:
+    """The most central rows of each bucket."""
     top = Window.partitionBy("key").orderBy("p")
-    return best.withColumn("r", F.row_number().over(top)).where(F.col("r") <= PIVOTS).select("key", F.col("p.o.id").alias("pid"), F.col("c").alias("pc"), F.col("p.size").alias("psize"))
+    return best.withColumn("r", F.row_number().over(top)).where(F.col("r") <= pivots).select("key", F.col("p.o.id").alias("pid"), F.col("c").alias("pc"), F.col("p.size").alias("psize"))

@@ -167,7 +167,7 @@ def test_linking_large_bucket(spark):
 # ------------------------------------------------------------- 4
 
 
-def test_line_dedup(spark, docs, texts, clashing, empty):
+def test_line_dedup(monkeypatch, spark, docs, texts, clashing, empty):
     import re
 
     def norm(line):
@@ -200,6 +200,10 @@ def test_line_dedup(spark, docs, texts, clashing, empty):
     got = line_dedup.dedup(clashing)
     assert got.columns == [*clashing.columns, "_lines_removed"]
     assert {r.doc_id: r.text or "" for r in got.collect()} == want
+    # beyond the broadcast bound the lines come by a shuffle
+    monkeypatch.setattr(line_dedup, "BROADCAST_DOCS", 0)
+    monkeypatch.setattr(linking, "BROADCAST_ROWS", 0)
+    assert {r.doc_id: r.text or "" for r in line_dedup.dedup(clashing).collect()} == want
     assert line_dedup.dedup(empty).count() == 0
     assert line_dedup.dedup(docs.union(docs)).count() == 2 * len(texts)
 
