@@ -376,7 +376,7 @@ def _content_key(content: bytes) -> int:
 
 
 def _occurrences(given: DataFrame, shared) -> DataFrame:
-    """Segments of shared anchors: chash (of their bytes), doc, version, start; anchor, bytes and their count for the first of a batch.
+    """Segments of shared anchors: chash (of their bytes), doc, version, start, size, anchor; bytes for the first of a batch only.
 
     A segment's bytes determine its anchor, so their hash names it alone.
     """
@@ -388,7 +388,7 @@ def _occurrences(given: DataFrame, shared) -> DataFrame:
             if not len(pdf):
                 continue
             pdf = pdf.sort_values("doc", ignore_index=True)
-            parts, sent = [], {}
+            ids, versions, sent = pdf["doc"].to_numpy(), pdf["version"].to_numpy(), set()
             for at, raw, ends in _joined(_encode(pdf["text"])):
                 key, lo, hi = segments(raw, ends)
                 bit = key >> shift
@@ -403,19 +403,11 @@ def _occurrences(given: DataFrame, shared) -> DataFrame:
                 for i, c in enumerate(hashes):
                     if c in sent:
                         contents[i] = None
-                        sent[c] += 1
                     else:
-                        sent[c] = 1
-                parts.append(pd.DataFrame({"chash": hashes, "row": doc + at, "start": start, "size": hi - lo, "anchor": key, "content": contents}))
-            if parts:
-                out = pd.concat(parts, ignore_index=True)
-                row = out.pop("row").to_numpy()
-                new = out["content"].notna().to_numpy()
-                n = np.zeros(len(out), np.int64)
-                n[new] = [sent[c] for c in out["chash"].to_numpy()[new].tolist()]
-                yield out.assign(doc=pdf["doc"].to_numpy()[row], version=pdf["version"].to_numpy()[row], n=n)
+                        sent.add(c)
+                yield pd.DataFrame({"chash": hashes, "doc": ids[doc + at], "version": versions[doc + at], "start": start, "size": hi - lo, "anchor": key, "content": contents})
 
-    return given.select("doc", "version", "text").mapInPandas(run, "chash long, doc long, version long, start long, size long, anchor long, content binary, n long")
+    return given.select("doc", "version", "text").mapInPandas(run, "chash long, doc long, version long, start long, size long, anchor long, content binary")
 
 
 def _sorted_shards(mixed: DataFrame) -> DataFrame:
@@ -473,13 +465,12 @@ def _by_window(hot: DataFrame) -> DataFrame:
 def removals(given: DataFrame) -> DataFrame:
     """Per document (doc, version, text) with removed bytes: doc, version and spans, stretches (start, stop) that may overlap."""
     found = materialise(_occurrences(given, _shared_filter(given)), "occurrences", "zstd")
-    new = found.where("content is not null")
-    kinds = new.groupBy("chash").agg(F.min("doc").alias("doc"), F.first("anchor").alias("anchor"), F.first("size").alias("size"), F.sum("n").alias("n"))
+    kinds = found.groupBy("chash").agg(F.min("doc").alias("doc"), F.first("anchor").alias("anchor"), F.first("size").alias("size"), F.count("*").alias("n"))
     kinds = materialise(kinds, "segments")
     per = materialise(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("rows")).where("rows > 1").drop("rows"), "anchors")
     # a segment alone with its anchor is equal in all its documents
     alone = kinds.join(per.where("kinds = 1").select("anchor"), "anchor", "left_semi").select("chash", F.lit(0).cast("long").alias("first"), (F.col("size") - LENGTH).alias("last"), F.col("doc").alias("least"))
-    contents = new.select("anchor", "chash", "content", "doc")
+    contents = found.where("content is not null").select("anchor", "chash", "content", "doc")
     runs = _sorted_shards(with_ids(contents, per.where((F.col("kinds") > 1) & (F.col("kinds") <= HOT)).select("anchor"), "anchor")).unionByName(alone)
     hot = per.where(F.col("kinds") > HOT).select("anchor")
     if not hot.isEmpty():
