@@ -54,16 +54,16 @@ def test_reserved_keys_are_refused():
 def test_spark_source_and_sink(spark, tmp_path):
     datasource.register(spark)
     out = str(tmp_path / "out")
-    spark.createDataFrame([("a.ktx2", made()), ("b.ktx2", made(container.ZSTD)), ("c.bin", b"no")], "name string, content binary").write.format("texture").mode("append").save(out)
-    assert sorted(os.listdir(out)) == ["a.ktx2", "b.ktx2", "c.bin"]
+    spark.createDataFrame([("a.tex", made()), ("b.tex", made(container.ZSTD)), ("c.bin", b"no")], "name string, content binary").write.format("texture").mode("append").save(out)
+    assert sorted(os.listdir(out)) == ["a.tex", "b.tex", "c.bin"]
     for df in (spark.read.format("texture").load(out), container.read(spark, out)):
-        assert {os.path.basename(r.path): r.status for r in df.collect()} == {"a.ktx2": "ok", "b.ktx2": "ok", "c.bin": "unknown identifier"}
+        assert {os.path.basename(r.path): r.status for r in df.collect()} == {"a.tex": "ok", "b.tex": "ok", "c.bin": "unknown identifier"}
         assert container.levels_of(df).where("bytes is not null").count() == 6 and container.metadata_of(df).count() == 6 and container.samples_of(df).count() == 8
     lazy = spark.read.format("texture").option("payload", "false").load(out)
     assert container.levels_of(lazy).where("bytes is not null").count() == 0
     # equal payloads, whatever the compression
-    files = {n: container.levels_of(spark.read.format("texture").load(f"{out}/{n}")).drop("path") for n in ("a.ktx2", "b.ktx2")}
-    assert compare.payload(files["a.ktx2"], files["b.ktx2"], ["level"]).count() == 0
+    files = {n: container.levels_of(spark.read.format("texture").load(f"{out}/{n}")).drop("path") for n in ("a.tex", "b.tex")}
+    assert compare.payload(files["a.tex"], files["b.tex"], ["level"]).count() == 0
 
 
 def test_deflate_columns(spark):
@@ -82,11 +82,11 @@ def test_section_rules_hold_for_built_files(spark):
 def test_stream_of_dropped_files(spark, tmp_path):
     drop, seen = tmp_path / "drop", []
     drop.mkdir()
-    (drop / "a.ktx2").write_bytes(made())
-    (drop / "b.ktx2").write_bytes(b"nothing")
+    (drop / "a.tex").write_bytes(made())
+    (drop / "b.tex").write_bytes(b"nothing")
     q = incoming.issues(incoming.files(spark, str(drop))).writeStream.foreachBatch(lambda df, _: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert {(os.path.basename(r.path), r.id, r.severity) for r in seen} == {("b.ktx2", 2001, "fatal")}
+    assert {(os.path.basename(r.path), r.id, r.severity) for r in seen} == {("b.tex", 2001, "fatal")}
 
 
 def version1(order="<"):
