@@ -215,6 +215,22 @@ def test_fuzzy_lines_are_linked(spark):
     assert {r.doc_id: r._lines_removed for r in line_dedup.dedup(df).collect()} == {1: 0, 2: 1, 3: 0}
 
 
+@pytest.mark.parametrize("change", ["word", "typo", "dropped"])
+def test_lines_with_a_changed_word_are_linked(spark, change):
+    rng = np.random.default_rng(8)
+    make = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(5, 10)))
+    given = []
+    for n in (6, 8, 10, 13, 16, 20, 40, 100):
+        for _ in range(20):
+            w = [make() for _ in range(n)]
+            at = min(range(n), key=lambda k: len(w[k]))
+            new = {"word": [make()[:5]], "typo": [w[at][:2] + "zq"[w[at][2] == "z"] + w[at][3:]], "dropped": []}[change]
+            given += [" ".join(w), " ".join([*w[:at], *new, *w[at + 1 :]])]
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    got = {r.doc_id: r._lines_removed for r in line_dedup.dedup(df).collect()}
+    assert [got[i] for i in range(len(given))] == [i % 2 for i in range(len(given))]
+
+
 # ------------------------------------------------------------- 5
 
 
