@@ -231,6 +231,15 @@ def test_lines_with_a_changed_word_are_linked(spark, change):
     assert [got[i] for i in range(len(given))] == [i % 2 for i in range(len(given))]
 
 
+def test_long_lines_keep_the_proportional_bound(spark):
+    w = [f"word{i}again" for i in range(400)]
+    near = [y for i, x in enumerate(w) for y in ([x, "addition"] if i % 40 == 7 else [x])]
+    far = [x if i % 2 else f"other{i}thing" for i, x in enumerate(w)]
+    df = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert 64 < 10 * len("addition ") < 0.2 * len(" ".join(w))
+    assert {r.doc_id: r._lines_removed for r in line_dedup.dedup(df).collect()} == {1: 0, 2: 1, 3: 0}
+
+
 # ------------------------------------------------------------- 5
 
 
