@@ -1,10 +1,11 @@
-"""License scans: a positional index of rare licence words. DataFrame functions only.
+"""License scans: a positional index of licence words. DataFrame functions only.
 
 The words of the licence templates get their inverse document frequency over
-all documents. Of each file the RARE licence words of highest frequency rank
-are looked up; their places are intersected with the templates' postings by
-relative position, and a template counts where its mandatory key phrases stand
-at the places that the alignment gives them.
+all documents. Of each file that has all words of some template's mandatory key
+phrases, however frequent they are, the places of the licence words are
+intersected with the templates' postings by relative position, and a template
+counts where its mandatory key phrases stand at the places that the alignment
+gives them.
 
 Base: places where a phrase's words stand consecutively.
 
@@ -46,9 +47,8 @@ TEMPLATES = [
     ("gpl", "general public license", ["general public license"]),
     ("cc-by", "cc by", ["cc by"]),
 ]
-#: Licence words looked up in each file.
+#: Bounds of the comparison SQL only (``oracles.licence_scan``); the scan has none.
 RARE = 12
-#: Words found in more than this share of the documents are not looked up.
 MAX_SHARE = 0.2
 #: Share of a template's weight that must align.
 LEAST = 0.6
@@ -95,7 +95,7 @@ def _postings(spark: SparkSession, idf: dict[str, float]) -> DataFrame:
 
 
 def _templates(spark: SparkSession, idf: dict[str, float]) -> DataFrame:
-    """(template, label, needed places, weight, rare words needed)."""
+    """(template, label, needed places, weight)."""
     rows = []
     for t, (label, notice, keys) in enumerate(TEMPLATES):
         own = notice.split()
@@ -121,24 +121,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     total = rows.count()
     df = {r["word"]: r["n"] for r in rows.select(F.explode("here").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}  # at most the vocabulary
     idf = {w: log((1 + total) / (1 + df.get(w, 0))) + 0.01 for w in vocabulary}
-    by_rarity = sorted((w for w in vocabulary if df.get(w, 0) <= MAX_SHARE * total), key=lambda w: (-idf[w], w))
-    found = None
-    if by_rarity:
-        looked_up = F.slice(F.array_intersect(F.array(*map(F.lit, by_rarity)), F.col("here")), 1, RARE)
-        # a template needs two of its rare words; only such files are opened again
-        seed = rows.select("doc", "version", looked_up.alias("rare")).where(F.size("rare") >= 2).distinct()
-        seed = materialise(seed, "license-files")
-        n = seed.count()
-        again = given.join(F.broadcast(seed) if n <= 500_000 else seed, ["doc", "version"]).dropDuplicates(["doc", "version"])
-        spots = again.select("doc", "version", "rare", F.posexplode(words(F.lower("text"))).alias("place", "word")).where(F.col("word").isin(vocabulary))
-        aligned = (
-            spots.join(F.broadcast(_postings(spark, idf)), "word")
-            .groupBy("doc", "version", "template", (F.col("place") - F.col("at")).alias("shift"))
-            .agg(F.collect_set("at").alias("got"), F.sum("weight").alias("weight"), F.sum(F.array_contains("rare", F.col("word")).cast("int")).alias("rare_hits"))
-        )
-        checked = aligned.join(F.broadcast(_templates(spark, idf)), "template").where((F.col("rare_hits") >= 2) & (F.col("weight") >= LEAST * F.col("total")) & (F.size(F.array_except("need", "got")) == 0))
-        found = checked.groupBy("doc", "version").agg(F.collect_set("label").alias("more"), F.max(F.round(F.col("weight") / F.col("total"), 6)).alias("score"))
-    out = rows.join(found, ["doc", "version"], "left") if found is not None else rows.withColumns({"more": F.array().cast("array<string>"), "score": F.lit(0.0)})
+    # a template needs all words of its key phrases; only such files are opened again
+    needed = {tuple(sorted({w for key in keys for w in key.split()})) for _, _, keys in TEMPLATES}
+    some = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.array_contains("here", w) for w in ws]) for ws in sorted(needed)])
+    seed = materialise(rows.where(some).select("doc", "version").distinct(), "license-files")
+    n = seed.count()
+    again = given.join(F.broadcast(seed) if n <= 500_000 else seed, ["doc", "version"]).dropDuplicates(["doc", "version"])
+    spots = again.select("doc", "version", F.posexplode(words(F.lower("text"))).alias("place", "word")).where(F.col("word").isin(vocabulary))
+    aligned = (
+        spots.join(F.broadcast(_postings(spark, idf)), "word")
+        .groupBy("doc", "version", "template", (F.col("place") - F.col("at")).alias("shift"))
+        .agg(F.collect_set("at").alias("got"), F.sum("weight").alias("weight"))
+    )
+    checked = aligned.join(F.broadcast(_templates(spark, idf)), "template").where((F.col("weight") >= LEAST * F.col("total")) & (F.size(F.array_except("need", "got")) == 0))
+    found = checked.groupBy("doc", "version").agg(F.collect_set("label").alias("more"), F.max(F.round(F.col("weight") / F.col("total"), 6)).alias("score"))
+    out = rows.join(found, ["doc", "version"], "left")
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     score = F.when(F.size("base_set") > 0, F.lit(1.0)).otherwise(F.least(F.coalesce("score", F.lit(0.0)), F.lit(1.0)))
     return out.select(

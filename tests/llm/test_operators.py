@@ -421,6 +421,19 @@ def test_licenses(spark, texts, empty):
     assert licenses.scan(df.union(df)).count() == 2 * len(given)
 
 
+def test_licences_of_frequent_words(spark):
+    notices = {"mit": "released under the MIT License", "apache-2.0": "Licensed under the Apache License, Version 2.0", "cc-by-4.0": "Licensed under CC BY 4.0", "mpl-2.0": "subject to the terms of the Mozilla Public License, v. 2.0"}
+    # in a third of all rows, in all rows, and in one row
+    for given in ([x for v in notices.values() for x in (v, "plain text", "more text")], list(notices.values()) * 2, [notices["apache-2.0"]]):
+        got = rows(licenses.scan(spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")))
+        for i, t in enumerate(given):
+            assert {k for k, v in notices.items() if v == t} <= set(got[i].labels.split(",")), t
+    # more notices in one file than it has rare words
+    every = " ; ".join(x for _, x, _ in licenses.TEMPLATES)
+    df = spark.createDataFrame([(0, every)] + [(i, "plain text") for i in range(1, 20)], "doc_id long, text string")
+    assert set(rows(licenses.scan(df))[0].labels.split(",")) == {k for k, _, _ in licenses.TEMPLATES}
+
+
 # ------------------------------------------------------------- 10
 
 
