@@ -2,7 +2,8 @@
 
 Tokens with look-alike signs, long repetitions or letters spaced apart become
 character lattices; a Viterbi search decodes them under a character trigram
-model whose counts come from all documents. The restored words are scored by a
+model whose counts come from all documents. Between letters spaced apart a word
+may end; such stretches count as one word and as the words found in them. The restored words are scored by a
 sparse logistic model (FTRL) over hashed words and word beginnings, fitted on at
 most TRAIN_ROWS labelled rows.
 
@@ -39,6 +40,8 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
 AS_LETTER, INSERTED, REPEATED = -1.0, -6.0, -0.5
 #: A digit is hardly ever inserted between letters.
 DIGIT_INSERTED = -14.0
+#: Two separators where a word goes on; between words, one or two are free.
+WIDE_GAP = -4.0
 
 SYMBOLS = 28  # 0: boundary, 1-26: a-z, 27: any other letter
 _CLASS = np.zeros(256, np.uint8)
@@ -86,22 +89,20 @@ def _code(ch: str) -> int:
     return ord(ch) - 96 if "a" <= ch <= "z" else 27 if ch.isalpha() else 0
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest letters behind a lower-case token.
+def _options(ch: str, n: int) -> list[tuple[str, float]]:
+    """Letters that n equal signs may stand for, and their prices."""
+    if ch.isalpha():
+        return [(ch * n, 0.0)] if n < 3 else [(ch, REPEATED), (ch * 2, REPEATED)]
+    options = [("", DIGIT_INSERTED if ch.isdigit() else INSERTED)]
+    for letter in LOOKS.get(ch, ""):
+        options += [(letter * n, AS_LETTER)] if n < 3 else [(letter, AS_LETTER + REPEATED), (letter * 2, AS_LETTER + REPEATED)]
+    return options
 
-    Letters stand for themselves; a run of three or more may be one or two;
-    signs stand for the letters they look like or were inserted.
-    """
-    runs = re.findall(r"((.)\2*)", token, re.S)
+
+def _search(lattice: list[list[tuple[str, float]]], model: np.ndarray) -> str:
+    """The likeliest way through a lattice; a space in it is the end of a word."""
     best = {(0, 0): (0.0, "")}
-    for run, ch in runs:
-        n = len(run)
-        if ch.isalpha():
-            options = [(ch * n, 0.0)] if n < 3 else [(ch, REPEATED), (ch * 2, REPEATED)]
-        else:
-            options = [("", DIGIT_INSERTED if ch.isdigit() else INSERTED)]
-            for letter in LOOKS.get(ch, ""):
-                options += [(letter * n, AS_LETTER)] if n < 3 else [(letter, AS_LETTER + REPEATED), (letter * 2, AS_LETTER + REPEATED)]
+    for options in lattice:
         new: dict = {}
         for (a, b), (cost, text) in best.items():
             for letters, price in options:
@@ -117,11 +118,41 @@ def decode(token: str, model: np.ndarray) -> str:
     return end[1]
 
 
+def decode(token: str, model: np.ndarray) -> str:
+    """The likeliest letters behind a lower-case token.
+
+    Letters stand for themselves; a run of three or more may be one or two;
+    signs stand for the letters they look like or were inserted.
+    """
+    return _search([_options(ch, len(run)) for run, ch in re.findall(r"((.)\2*)", token, re.S)], model)
+
+
+def segment(stretch: str, model: np.ndarray) -> list[str]:
+    """The likeliest words behind lower-case signs spaced apart."""
+    lattice: list = []
+    for run, _, _ in re.findall(r"((?:[ .\-_*]*([^ .\-_*]))(?:[ .\-_*]\2){2,}|[ .\-_*]*([^ .\-_*]))", stretch):
+        gap = len(run) - len(run.lstrip(" .-_*"))
+        signs = re.sub(r"[ .\-_*]", "", run)
+        if lattice:
+            lattice.append([(" ", 0.0), ("", WIDE_GAP if gap > 1 else 0.0)])
+        lattice.append(_options(signs[0], len(signs)))
+    return _search(lattice, model).split()
+
+
 _STRIP = "\"'.,;:?()[]{}<>#*%&_-~^/\\"
 _JUNK_END = re.compile(r"([^\w\s])\1{2,}$|!+$")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])(?:[ .\-_*]{1,2}(?:[^\W_]|[@$!|+])){3,}(?![^\W_])")
 _ODD = re.compile(r"[^\W\d_]")
 _RUN = re.compile(r"(.)\1\1")
+_RUNS = re.compile(r"(.)\1{2,}")
+#: Once their runs are cut short, longer tokens are looked at as identifiers.
+LONG_TOKEN = 24
+
+
+def identifier(w: str) -> bool:
+    """Whether a long token is a code: hexadecimal digits, or digits for a third of it."""
+    w = _RUNS.sub(r"\1\1", w)
+    return len(w) > LONG_TOKEN and (not set(w) - set("0123456789abcdefx-") or 3 * sum(c.isdigit() for c in w) >= len(w))
 
 
 class Restorer:
@@ -136,22 +167,23 @@ class Restorer:
         w = _JUNK_END.sub("", w.strip(_STRIP)).strip(_STRIP)
         if w.isalpha() and not _RUN.search(w):
             return w
-        # without two letters it is a number or a mark, and with long digit strings an identifier
-        if len(w) > 24 or len(_ODD.findall(w)) < 1 or not (set(w) & LOOKS.keys() or _RUN.search(w)):
+        # without a letter it is a number or a mark
+        if identifier(w) or len(_ODD.findall(w)) < 1 or not (set(w) & LOOKS.keys() or _RUN.search(w)):
             return "".join(c for c in w if c.isalpha())
         return decode(w, self.model)
 
     def words(self, text: str | None) -> set[str]:
         """The distinct restored words of a whole text."""
         text = (text or "").lower()
-        joined = {re.sub(r"[ .\-_*]", "", m[0]) for m in _SPACED.finditer(text)}
+        spaced = {m[0] for m in _SPACED.finditer(text) if _ODD.search(m[0])}
+        joined = {re.sub(r"[ .\-_*]", "", m) for m in spaced}
         known = self.known
         if len(known) > self.keep:
             known.clear()
         tokens = set(text.split()) | joined
         for w in tokens.difference(known):
             known[w] = self.token(w)
-        return {known[w] for w in tokens}
+        return {known[w] for w in tokens}.union(*(segment(m, self.model) for m in spaced))
 
 
 def indices(words: set[str]) -> np.ndarray:

@@ -373,6 +373,18 @@ def test_deobfuscation():
     assert r.words(None) == set() and r.words("") == set()
 
 
+def test_long_and_spaced_tokens():
+    n = np.zeros(toxicity.SYMBOLS**3)
+    for _ in range(30):
+        n += toxicity.trigram_counts(b"the idiot said that you are the moron and the loser are stupid people in this house of worthless trash")
+    r = toxicity.Restorer(toxicity.smoothed(n))
+    assert r.token("st" + "u" * 40 + "pid") == "stupid" and r.token("1d10" + "t" * 40) in ("idiot", "idiott")
+    assert {"you", "idiot"} <= r.words("so y o u i d i o t") and {"you", "idiot"} <= r.words("y o u  i d i o t")
+    assert {"you", "idiot"} <= r.words("y.o.u.1.d.1.0.t") and {"stupid", "people"} <= r.words("s t u u u u p i d p e o p l e")
+    code = "3f2a9c4b7d1e8056aa31c4de99b07f12"
+    assert r.token(code) == "".join(c for c in code if c.isalpha())
+
+
 def test_toxicity(spark, docs, labels, texts, empty):
     bad = [(i, f"{t or ''} you {'1d10t' if i % 4 == 1 and i % 3 else 'idiot' if i % 4 == 1 else 'friend'}") for i, t in enumerate(texts)]
     df = spark.createDataFrame(bad, "doc_id long, text string")
