@@ -34,9 +34,9 @@ class Encoder:
     """Ids of the public byte-level vocabulary.
 
     Texts within Latin-1 go through the rank table of the same vocabulary,
-    which gives the same ids four times as fast; all others go through the
-    tokenizer file itself, whose character classes may be of another Unicode
-    version there.
+    which gives the same ids four times as fast; all others, and those that
+    hold one of the file's added tokens, go through the tokenizer file itself,
+    whose character classes may be of another Unicode version there.
     """
 
     def __init__(self, folder: str | None = None, name: str = VOCABULARY):
@@ -52,15 +52,20 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.whole = Tokenizer.from_file(at(f"{name}.json"))
-        self.whole.encode_special_tokens = True
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
-    def ids(self, text: str) -> np.ndarray:
+    def _plain(self, text: str) -> bool:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            ids = self.whole.encode(text, add_special_tokens=False).ids
-        else:
+            return False
+        return not any(t in text for t in self.added)
+
+    def ids(self, text: str) -> np.ndarray:
+        if self._plain(text):
             ids = self.fast.encode_ordinary(text)
+        else:
+            ids = self.whole.encode(text, add_special_tokens=False).ids
         return np.array([*ids, END], "<u4")
 
 

@@ -306,6 +306,14 @@ def test_packing(docs, texts, clashing, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_added_tokens_get_their_ids(spark):
+    df = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "α <|endoftext|>"), (3, "a b")], "doc_id long, text string")
+    enc = packing.encoder()
+    assert enc.ids("a <|endoftext|> b").tolist() == [64, 220, 50256, 275, 1] and enc.ids("α <|endoftext|>").tolist()[-2:] == [50256, 1]
+    got = {r.doc_id: r for r in packing.pack(df).collect()}
+    assert got[1].doc_tokens == 5 and got[1].ids_crc32 == zlib.crc32(np.array([64, 220, 50256, 275, 1], "<u4").tobytes())
+
+
 def test_shortest_pack_first():
     rng = np.random.default_rng(4)
     histogram = {int(n): int(rng.integers(1, 400)) for n in rng.choice(np.arange(1, 2049), 300, replace=False)}
