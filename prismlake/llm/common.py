@@ -16,18 +16,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset and all runs on this machine."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="prismlake-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="prismlake-"))
     return sc.getCheckpointDir()
 
 
+def _hadoop(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialise(df: DataFrame, name: str = "t", codec: str = "snappy") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends there."""
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends there.
+
+    What ``discard`` does not delete before, as results may still read it, goes
+    when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=codec)
+    at, files = _hadoop(spark, path)
+    files.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -35,9 +49,8 @@ def materialise(df: DataFrame, name: str = "t", codec: str = "snappy") -> DataFr
 
 def discard(df: DataFrame) -> None:
     """Delete a table that ``materialise`` wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    at, files = _hadoop(df.sparkSession, df._scratch)
+    files.delete(at, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -29,7 +29,7 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup.dedup(table(spark, sf_dir, "documents"))
     text = F.coalesce("text", F.lit(""))
-    return cut.select("doc_id", F.col("_lines_removed").cast("long").alias("n_removed"), F.length(text).cast("long").alias("n_chars_left"), F.sha2(text, 256).alias("kept_sha256"))
+    return cut.select("doc_id", F.col(cut.columns[-1]).cast("long").alias("n_removed"), F.length(text).cast("long").alias("n_chars_left"), F.sha2(text, 256).alias("kept_sha256"))
 
 
 def op5_raking(spark: SparkSession, sf_dir: str) -> DataFrame:

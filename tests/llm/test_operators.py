@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on the edge cases."""
 
 import hashlib
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -167,47 +168,100 @@ def test_linking_large_bucket(spark):
 # ------------------------------------------------------------- 4
 
 
-def test_line_dedup(monkeypatch, spark, docs, texts, clashing, empty):
-    import re
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
 
-    def norm(line):
-        return re.sub(r"[\W_]+", " ", line.lower()).strip()
+def normal(line):
+    import re
 
-    places = [(i, k, norm(x)) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n"))]
-    places = [p for p in places if len(p[2].split(" ")) >= 5]
-    found = {(r.doc, r.line_no): r for r in line_dedup.lines(docs).collect()}
-    assert set(found) == {p[:2] for p in places}
-    sims = [found[p[:2]].sim for p in places]
+    return re.sub(r"[\W_]+", " ", line.lower()).strip()
 
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, old = [i], row
-            for j, y in enumerate(b, 1):
-                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
-        return row[-1]
 
-    links = []
+def test_line_dedup(monkeypatch, docs, texts, clashing, empty):
+    places = [(i, k, normal(x)) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n"))]
+    places = [p for p in places if p[2]]
+    assert {(r.doc.id, r.line_no) for r in line_dedup.lines(docs).collect()} == {p[:2] for p in places}
+    links, fuzzy = [], 0
     for x in range(len(places)):
         for y in range(x):
             a, b = places[x][2], places[y][2]
-            if a == b or bin((sims[x] ^ sims[y]) & (2**64 - 1)).count("1") <= 3 and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and edits(a, b) <= min(64, int(0.2 * max(len(a), len(b)) + 1e-9)):
+            if a == b:
                 links.append((x, y))
+            elif min(a.count(" "), b.count(" ")) >= 4 and min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and edits(a, b) <= 0.2 * max(len(a), len(b)):
+                links.append((x, y))
+                fuzzy += 1
+    assert fuzzy > 20
     group = joined(len(places), links)
     gone = {places[x][:2] for x in range(len(places)) if group[x] != x}
-    assert gone
     want = {i: "\n".join(x for k, x in enumerate((t or "").split("\n")) if (i, k) not in gone) for i, t in enumerate(texts)}
     got = line_dedup.dedup(clashing)
     assert got.columns == [*clashing.columns, "_lines_removed"]
     assert {r.doc_id: r.text or "" for r in got.collect()} == want
-    # beyond the broadcast bound the lines come by a shuffle
+    # a column of the result's name passes through
+    named = line_dedup.dedup(docs.withColumn("_lines_removed", F.lit(9)))
+    assert named.columns == [*docs.columns, "_lines_removed", "__lines_removed"]
+    assert all(r._lines_removed == 9 and r.text == t.text for r, t in zip(named.orderBy("doc_id").collect(), got.orderBy("doc_id").collect(), strict=True))
+    # beyond the broadcast bound the lines come by a shuffle; blocks of three lines are large
     monkeypatch.setattr(line_dedup, "BROADCAST_DOCS", 0)
     monkeypatch.setattr(linking, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(line_dedup, "FAN", 2)
     assert {r.doc_id: r.text or "" for r in line_dedup.dedup(clashing).collect()} == want
     assert line_dedup.dedup(empty).count() == 0
     assert line_dedup.dedup(docs.union(docs)).count() == 2 * len(texts)
 
 
+def test_lines_of_null_and_short(spark):
+    df = spark.createDataFrame([(None, "one two\n---\n\nkeep me"), (2, "One, two!\n---\n\nand me"), (3, None), (4, "one two")], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r._lines_removed) for r in line_dedup.dedup(df).collect()}
+    assert got == {None: ("one two\n---\n\nkeep me", 0), 2: ("---\n\nand me", 1), 3: (None, 0), 4: ("", 1)}
+
+
+def test_simhash_is_the_majority_of_bits(spark):
+    rng = np.random.default_rng(5)
+    given = [rng.integers(-(2**63), 2**63, n).tolist() for n in (1, 2, 7, 127, 128, 1000)]
+    got = spark.createDataFrame(list(enumerate(given)), "i int, h array<bigint>").select("i", line_dedup.simhash(F.col("h")).alias("s")).collect()
+    for r in got:
+        h = np.array(given[r.i])
+        want = sum(1 << k for k in range(64) if 2 * int(((h >> k) & 1).sum()) > len(h))
+        assert r.s & (2**64 - 1) == want
+
+
+@pytest.mark.parametrize("fan", [16, 2])
+def test_large_blocks_of_strangers(spark, monkeypatch, fan):
+    """Lines that share a template of half their words, and pairs of them that are alike."""
+    monkeypatch.setattr(line_dedup, "FAN", fan)
+    rng = np.random.default_rng(9)
+    make = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7))
+    template = [make() for _ in range(10)]
+    given = []
+    for _ in range(150):
+        w = [x for t in template for x in (t, make())]
+        given += [" ".join(w), " ".join([*w[:3], make(), *w[4:]])]
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    got = {r.doc_id: r._lines_removed for r in line_dedup.dedup(df).collect()}
+    assert [got[i] for i in range(len(given))] == [i % 2 for i in range(len(given))]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the given tables are not here")
+def test_recall_of_fuzzy_lines(spark):
+    """Lines of documents whose id is divisible by 50, against all lines, by plain edit similarity."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    line = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", line_dedup.word_list(F.col("line")).alias("w")).where("size(w) >= 5")
+    line = line.select("doc_id", F.xxhash64("w").alias("h"), F.array_join("w", " ").alias("t")).withColumn("n", F.length("t")).cache()
+    a, b = line.where("doc_id % 50 = 0").dropDuplicates(["h"]).toDF("i", "a", "ta", "na"), line.dropDuplicates(["h"]).toDF("j", "b", "tb", "nb")
+    far = F.expr("levenshtein(ta, tb, cast(floor(0.2 * greatest(na, nb) + 1e-9) as int)) >= 0")
+    true = a.join(b, (F.col("a") != F.col("b")) & (F.col("nb") * 5 >= F.col("na") * 4) & (F.col("na") * 5 >= F.col("nb") * 4) & far).select("a", "b").collect()
+    part = {r.id: r.component for r in line_dedup.groups(line_dedup.lines(docs), docs).collect()}
+    caught = sum(r.a in part and part[r.a] == part.get(r.b) for r in true)
+    assert len(true) > 10 and caught >= 0.95 * len(true)
+
+
 def test_fuzzy_lines_are_linked(spark):
     base = " ".join(f"word{i} again" for i in range(150))
     near = base.replace("word77 ", "word7 ")
@@ -215,6 +269,22 @@ def test_fuzzy_lines_are_linked(spark):
     assert {r.doc_id: r._lines_removed for r in line_dedup.dedup(df).collect()} == {1: 0, 2: 1, 3: 0}
 
 
+@pytest.mark.parametrize("length", [(5, 6, 7), (8, 10, 13), (16, 20, 30), (40, 100)])
+def test_recall_with_a_fifth_of_the_words_replaced(spark, length):
+    rng = np.random.default_rng(11)
+    make = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10)))
+    given, base = [], [make() for _ in range(3000)]
+    while len(given) < 400:
+        w = rng.choice(base, rng.choice(length)).tolist()
+        near = list(w)
+        for at in rng.choice(len(w), max(1, round(0.18 * len(w))), replace=False):
+            near[at] = make()[: len(w[at])]
+        if sum(max(len(x), len(y)) for x, y in zip(w, near, strict=True) if x != y) <= 0.2 * len(" ".join(w)):
+            given += [" ".join(w), " ".join(near)]
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    assert sum(r._lines_removed for r in line_dedup.dedup(df).collect()) >= 0.9 * 200
+
+
 @pytest.mark.parametrize("change", ["word", "typo", "dropped"])
 def test_lines_with_a_changed_word_are_linked(spark, change):
     rng = np.random.default_rng(8)
