@@ -33,12 +33,18 @@ def synthetic_textures(part: DataFrame) -> DataFrame:
 
 
 def levels(textures: DataFrame) -> DataFrame:
-    """One row per mip level with its image, level and padded sizes."""
-    exploded = textures.withColumn("level", F.explode(F.sequence(F.lit(0).cast("long"), F.col("levels") - 1)))
-    w, h = at_level(F.col("width"), F.col("level")), at_level(F.col("height"), F.col("level"))
-    sized = exploded.withColumns({"level_width": w, "level_height": h})
+    """One row per mip level with its image, level and padded sizes.
+
+    A header may say 0: levels (one, the rest is made when loaded), layers (no
+    array) and depth (not 3D) count as one. Depth halves with each level;
+    ``block_d``, if there, is the depth of a block.
+    """
+    one = F.lit(1).cast("long")
+    exploded = textures.withColumn("level", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("levels"), one) - 1)))
+    w, h, d = (at_level(F.col(c), F.col("level")) for c in ("width", "height", "depth"))
+    sized = exploded.withColumns({"level_width": w, "level_height": h, "level_depth": ceil_div(d, F.col("block_d")) if "block_d" in textures.columns else d})
     image = image_bytes(F.col("level_width"), F.col("level_height"), F.col("block_w"), F.col("block_h"), F.col("block_bytes"))
-    sized = sized.withColumn("image_size", image).withColumn("level_size", F.col("image_size") * F.col("layers") * F.col("faces") * F.greatest(F.col("depth"), F.lit(1)))
+    sized = sized.withColumn("image_size", image).withColumn("level_size", F.col("image_size") * F.greatest(F.col("layers"), one) * F.col("faces") * F.col("level_depth"))
     return sized.withColumn("padded_size", align(F.col("level_size"), F.when(F.col("sc_scheme") == 0, lcm4(F.col("block_bytes"))).otherwise(F.lit(1))))
 
 
@@ -53,14 +59,16 @@ def level_totals(textures: DataFrame) -> DataFrame:
     return (
         levels(textures)
         .groupBy("texture_id")
-        .agg(F.sum("padded_size").cast("long").alias("data_size"), F.sum("level_size").cast("long").alias("plain_size"), F.sum(F.col("layers") * F.col("faces")).cast("long").alias("n_images"))
+        .agg(F.sum("padded_size").cast("long").alias("data_size"), F.sum("level_size").cast("long").alias("plain_size"), F.sum(F.greatest(F.col("layers"), F.lit(1)) * F.col("faces") * F.col("level_depth")).cast("long").alias("n_images"))
     )
 
 
 def images(located: DataFrame) -> DataFrame:
-    """One row per image (level, layer, face) of located levels, with its own offset."""
-    each = located.withColumn("layer", F.explode(F.sequence(F.lit(0).cast("long"), F.col("layers") - 1))).withColumn("face", F.explode(F.sequence(F.lit(0).cast("long"), F.col("faces") - 1)))
-    return each.withColumn("image_offset", F.col("byte_offset") + (F.col("layer") * F.col("faces") + F.col("face")) * F.col("image_size"))
+    """One row per image (level, layer, face, and depth slice of 3D textures) of located levels, with its own offset."""
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1).cast("long")) - 1))
+    each = located.withColumn("layer", upto(F.col("layers"))).withColumn("face", upto(F.col("faces"))).withColumn("slice", upto(F.col("level_depth")))
+    before = (F.col("layer") * F.col("faces") + F.col("face")) * F.col("level_depth") + F.col("slice")
+    return each.withColumn("image_offset", F.col("byte_offset") + before * F.col("image_size"))
 
 
 def image_position(n: int, levels_: int, layers: int, faces: int) -> tuple[int, int, int]:

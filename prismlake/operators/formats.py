@@ -2,7 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Fixed values of the public numbering: the first extension number, 4:2:2 and multi-planar formats, and formats of three-dimensional blocks.
+FIRST_EXTENSION = 1000001000
+PVRTC = (1000054000, 1000054007)
+ASTC_FLOAT = (1000066000, 1000066013)
+YCBCR = (1000156000, 1000156033)
+YCBCR_444 = (1000330000, 1000330003)
+A4_PACKED = (1000340000, 1000340001)
+FIXED_16 = (1000464000, 1000464000)
+A1_A8 = (1000470000, 1000470001)
+ASTC_3D = (1000288000, 1000288029)
+#: Of YCBCR those of one plane, which are not prohibited.
+ONE_PLANE = [0, 1, 7, 8, 9, 10, 11, 17, 18, 19, 20, 21, 27, 28]
+
+
+def _within(vk_format: Column, ends: tuple[int, int]) -> Column:
+    return vk_format.between(*ends)
+
+
+def known_extension(vk_format: Column) -> Column:
+    """Whether a number beyond the table is one of the public extension formats."""
+    return reduce(lambda a, b: a | b, [_within(vk_format, e) for e in (PVRTC, ASTC_FLOAT, YCBCR, ASTC_3D, YCBCR_444, A4_PACKED, FIXED_16, A1_A8)])
+
+
+def prohibited_extension(vk_format: Column) -> Column:
+    """Formats of several planes."""
+    return (_within(vk_format, YCBCR) & ~(vk_format - YCBCR[0]).isin(ONE_PLANE)) | _within(vk_format, YCBCR_444)
+
+
+def block_3d(vk_format: Column) -> Column:
+    return _within(vk_format, ASTC_3D)
+
 
 _INT = ["UNORM", "SNORM", "USCALED", "SSCALED", "UINT", "SINT"]
 _ASTC = [(4, 4), (5, 4), (5, 5), (6, 5), (6, 6), (8, 5), (8, 6), (8, 8), (10, 5), (10, 6), (10, 8), (10, 10), (12, 10), (12, 12)]
@@ -62,5 +98,23 @@ def rows() -> list[tuple]:
 
 
 def table(spark: SparkSession) -> DataFrame:
-    """Bounded by the numbering (185 rows), so safe to broadcast."""
-    return spark.createDataFrame(rows(), "format int, name string, channels int, block_w int, block_h int, block_bytes int, type_size int, compressed boolean, srgb boolean")
+    """Bounded by the numbering (185 rows), so safe to broadcast.
+
+    Numeric scaled formats are prohibited; sRGB twins and the facts that rules
+    read follow from the names.
+    """
+    names = {r[1] for r in rows()}
+    twin = lambda n: any(n != t and n.replace(k, "SRGB") == t for k in _INT for t in names if k in n)
+    out = [(*r, "SCALED" in r[1], bool(re.match(r"(X8_)?[DS]\d", r[1])), not r[8] and twin(r[1]), r[1].startswith("ASTC")) for r in rows()]
+    return spark.createDataFrame(
+        out,
+        "format int, name string, channels int, block_w int, block_h int, block_bytes int, type_size int, compressed boolean, srgb boolean, "
+        "prohibited boolean, depth_stencil boolean, srgb_twin boolean, astc_ldr boolean",
+    )
+
+
+def facts(headers: DataFrame) -> DataFrame:
+    """Adds ``fact``, the row of the format table as a struct (null where the number is not in it)."""
+    known = table(headers.sparkSession)
+    packed = known.select(F.col("format").cast("long").alias("vk_format"), F.struct(*[c for c in known.columns if c != "format"]).alias("fact"))
+    return headers.join(F.broadcast(packed), "vk_format", "left")

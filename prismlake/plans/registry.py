@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits, channels, color
-from ..operators import catalog, compare, image, metrics, selectors, validate
+from ..operators import catalog, compare, descriptor, formats, image, metadata, metrics, selectors, validate
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,6 +83,51 @@ def level_offsets(spark, sf):
     return catalog.level_offsets(_textures(spark, sf)).select("texture_id", "level", "level_width", "level_height", "level_size", "padded_size", "byte_offset")
 
 
+def _parsed_headers(spark, sf) -> DataFrame:
+    """The catalog as headers state it: no layers where it is no array, no levels where they are made later, and 3D textures."""
+    k = F.col("texture_id")
+    zero = F.lit(0).cast("long")
+    t = _textures(spark, sf)
+    solid = (k % 4 == 1) & (F.col("faces") == 1)
+    return t.withColumns(
+        {
+            "depth": F.when(solid, k % 9 + 1).otherwise(zero),
+            "layers": F.when(F.col("layers") == 1, zero).otherwise(F.col("layers")),
+            "levels": F.when(k % 5 == 2, zero).otherwise(F.least(F.col("levels"), F.lit(4))),
+        }
+    )
+
+
+# Sizes as in the survey: at least one level, layer and slice; each dimension halves with the level.
+HEADERS_3D = (
+    TEXTURES
+    + """,
+headers3 AS (
+  SELECT texture_id, width, height, CASE WHEN texture_id % 4 = 1 AND faces = 1 THEN texture_id % 9 + 1 ELSE 0 END AS depth, faces, CASE WHEN layers = 1 THEN 0 ELSE layers END AS layers,
+    CASE WHEN texture_id % 5 = 2 THEN 0 ELSE least(levels, 4) END AS levels, block_w, block_h, block_bytes, sc_scheme FROM textures),
+levels3 AS (
+  SELECT *, CAST(ceil(greatest(width // (1 << level), 1) / block_w) * ceil(greatest(height // (1 << level), 1) / block_h) AS BIGINT) * block_bytes AS image_size, greatest(depth // (1 << level), 1) AS level_depth
+  FROM (SELECT *, CAST(unnest(range(greatest(levels, 1))) AS INT) AS level FROM headers3)),
+sized3 AS (SELECT *, image_size * level_depth * faces * greatest(layers, 1) AS level_size FROM levels3),
+located3 AS (
+  SELECT *, CAST(coalesce(sum(CASE WHEN sc_scheme = 0 THEN ceil(level_size / lcm(block_bytes, 4)) * lcm(block_bytes, 4) ELSE level_size END)
+    OVER (PARTITION BY texture_id ORDER BY level DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM sized3)"""
+)
+
+
+@query(f"WITH {HEADERS_3D} SELECT texture_id, CAST(level AS BIGINT) AS level, CAST(level_depth AS BIGINT) AS level_depth, CAST(level_size AS BIGINT) AS level_size, byte_offset FROM located3")
+def header_level_offsets(spark, sf):
+    return catalog.level_offsets(_parsed_headers(spark, sf)).select("texture_id", "level", "level_depth", "level_size", "byte_offset")
+
+
+@query(
+    f"""WITH {HEADERS_3D}, n AS (SELECT *, unnest(range(CAST(greatest(layers, 1) * faces * level_depth AS BIGINT))) AS i FROM located3)
+SELECT texture_id, CAST(level AS BIGINT) AS level, CAST(i // (faces * level_depth) AS BIGINT) AS layer, CAST(i // level_depth % faces AS BIGINT) AS face, CAST(i % level_depth AS BIGINT) AS slice, CAST(byte_offset + i * image_size AS BIGINT) AS image_offset FROM n"""
+)
+def header_image_offsets(spark, sf):
+    return catalog.images(catalog.level_offsets(_parsed_headers(spark, sf))).select("texture_id", "level", "layer", "face", "slice", "image_offset")
+
+
 @query(f"WITH {LEVELS} SELECT texture_id, CAST(sum(padded_size) AS BIGINT) AS data_size, CAST(sum(level_size) AS BIGINT) AS plain_size, CAST(sum(layers * faces) AS BIGINT) AS n_images FROM levels_ GROUP BY texture_id")
 def level_totals(spark, sf):
     return catalog.level_totals(_textures(spark, sf))
@@ -426,6 +471,22 @@ def resample_lanczos4(spark, sf):
     return _resample(spark, sf, "lanczos4", 6)
 
 
+# The kernel in SQL: sinc times sinc over four lobes; weights of a target position sum to 1, edges repeat.
+_LANCZOS4 = "CASE WHEN d = 0 THEN 1.0 WHEN abs(d) < 4 THEN sin(pi() * d) / (pi() * d) * sin(pi() * d / 4) / (pi() * d / 4) ELSE 0.0 END"
+
+
+@query(
+    f"""WITH {_PIXELS}, target AS (SELECT CAST(level AS INT) AS level, CAST(unnest(range(8 >> CAST(level AS INT))) AS INT) AS t FROM range(1, 4) r(level)),
+tap AS (SELECT level, t, i, (i - ((t + 0.5) * (1 << level) - 0.5)) / (1 << level) AS d FROM (SELECT level, t, unnest(range(-40, 48)) AS i FROM target)),
+raw AS (SELECT level, t, least(greatest(i, 0), 7) AS s, {_LANCZOS4} AS w FROM tap),
+k AS (SELECT level, t, CAST(s AS INT) AS s, sum(w) / sum(sum(w)) OVER (PARTITION BY level, t) AS w FROM raw GROUP BY level, t, s)
+SELECT vec_id, 0 AS level, x AS tx, y AS ty, round(CAST(v AS DOUBLE), 6) + 0.0 AS value FROM px
+UNION ALL SELECT vec_id, kx.level, kx.t, ky.t, round(sum(v * kx.w * ky.w), 6) + 0.0 FROM px JOIN k kx ON kx.s = x JOIN k ky ON ky.s = y AND ky.level = kx.level GROUP BY ALL"""
+)
+def mip_lanczos4(spark, sf):
+    return image.mip_pyramid(_pixels(spark, sf), "vec_id", "x", "y", "v", 8, 8).withColumn("value", _r6(F.col("value")))
+
+
 # ------------------------------------------------------------------ compare
 
 _META = """meta AS (
@@ -547,68 +608,283 @@ def validate_header(spark, sf):
 
 
 @query(
-    f"""WITH {_HEADERS}, issues AS ({_HEADER_ISSUES})
-SELECT h.texture_id, CAST(count(i.id) FILTER (severity = 'error') AS BIGINT) AS n_errors, CAST(count(i.id) FILTER (severity = 'warning') AS BIGINT) AS n_warnings, count(i.id) FILTER (severity = 'error') = 0 AS valid
-FROM headers h LEFT JOIN issues i ON h.texture_id = i.texture_id GROUP BY h.texture_id"""
+    f"""WITH {_HEADERS}, f AS (SELECT texture_id, type_size, CASE WHEN texture_id % 7 = 0 THEN 124 WHEN texture_id % 11 = 0 THEN 11 WHEN texture_id % 13 = 0 THEN 185 WHEN texture_id % 17 = 0 THEN 1000156003
+    WHEN texture_id % 19 = 0 THEN 1000288002 WHEN texture_id % 23 = 0 THEN 1000999999 WHEN texture_id % 29 = 0 THEN 70 ELSE 37 END AS vk_format, depth FROM headers)
+SELECT texture_id, 3001 AS id, 'error' AS severity, 'ProhibitedFormat' AS rule FROM f WHERE vk_format IN (11, 1000156003)
+UNION ALL SELECT texture_id, 3002, 'error', 'InvalidFormat' FROM f WHERE vk_format = 185
+UNION ALL SELECT texture_id, 3003, 'warning', 'UnknownFormat' FROM f WHERE vk_format = 1000999999
+UNION ALL SELECT texture_id, 3010, 'error', 'DepthBlockCompressedNoDepth' FROM f WHERE vk_format = 1000288002 AND depth = 0
+UNION ALL SELECT texture_id, 3011, 'error', 'DepthStencilFormatWithDepth' FROM f WHERE vk_format = 124 AND depth <> 0
+UNION ALL SELECT texture_id, 3012, 'error', 'TypeSizeMismatch' FROM f WHERE (vk_format IN (124, 70) AND type_size <> 2) OR (vk_format IN (11, 37) AND type_size <> 1)"""
 )
-def validate_verdict(spark, sf):
-    headers = _headers(spark, sf)
-    return validate.verdict(headers, validate.raised(headers, validate.header_rules(F.col("compressed")), "texture_id"))
+def validate_formats(spark, sf):
+    k = F.col("texture_id")
+    number = F.when(k % 7 == 0, 124).when(k % 11 == 0, 11).when(k % 13 == 0, 185).when(k % 17 == 0, 1000156003).when(k % 19 == 0, 1000288002).when(k % 23 == 0, 1000999999).when(k % 29 == 0, 70).otherwise(37)
+    headers = formats.facts(_headers(spark, sf).withColumn("vk_format", number.cast("long")))
+    return validate.raised(headers, validate.format_rules(F.col("fact")), "texture_id")
 
 
+# The payload begins after sections that end at byte 205; some payloads are shifted as a whole, some files have no known format.
 _INDEX = f"""{LOCATED},
-idx AS (SELECT texture_id, level, 200 + byte_offset + CASE WHEN texture_id % 19 = 0 AND level = 0 THEN 2 WHEN texture_id % 23 = 0 AND level = 1 THEN 16 ELSE 0 END AS byte_offset,
-  level_size + CASE WHEN texture_id % 7 = 0 AND level = 2 THEN 8 ELSE 0 END AS byte_length, CASE WHEN texture_id % 29 = 0 AND level = 1 THEN 9999999 ELSE level_size END AS uncompressed_length,
-  level_size AS expected_size, CASE WHEN sc_scheme = 0 THEN lcm4 ELSE 1 END AS alignment, CASE WHEN texture_id % 47 = 0 THEN 1 ELSE sc_scheme END AS sc_scheme FROM located)"""
-
-
-@query(
-    f"""WITH {_INDEX}, s AS (SELECT *, lag(uncompressed_length) OVER (PARTITION BY texture_id ORDER BY level) AS lb, lag(byte_offset) OVER (PARTITION BY texture_id ORDER BY level) AS ob,
-  min(byte_offset) OVER (PARTITION BY texture_id) AS f, lag(byte_offset + byte_length) OVER (PARTITION BY texture_id ORDER BY level DESC) AS e FROM idx),
-x AS (SELECT *, CASE WHEN e IS NULL THEN f ELSE (e + alignment - 1) // alignment * alignment END AS expected FROM s)
-SELECT texture_id, level, 4001 AS id, 'error' AS severity, 'IncorrectIndexOrder' AS rule FROM x WHERE uncompressed_length > lb
-UNION ALL SELECT texture_id, level, 4002, 'error', 'IncorrectLevelOrder' FROM x WHERE byte_offset > ob
-UNION ALL SELECT texture_id, level, 4003, 'error', 'IncorrectByteOffsetUnaligned' FROM x WHERE byte_offset % alignment <> 0
-UNION ALL SELECT texture_id, level, 4004, 'error', 'IncorrectByteOffset' FROM x WHERE byte_offset % alignment = 0 AND byte_offset <> expected
-UNION ALL SELECT texture_id, level, 4005, 'error', 'IncorrectByteLength' FROM x WHERE sc_scheme = 0 AND byte_length <> expected_size
-UNION ALL SELECT texture_id, level, 4006, 'error', 'IncorrectUncompressedByteLength' FROM x WHERE sc_scheme = 0 AND uncompressed_length <> expected_size
-UNION ALL SELECT texture_id, level, 4007, 'error', 'NonZeroUBLForBLZE' FROM x WHERE sc_scheme = 1 AND uncompressed_length <> 0"""
-)
+idx0 AS (SELECT *, CASE WHEN sc_scheme = 0 THEN lcm4 ELSE 1 END AS alignment, CASE WHEN texture_id % 47 = 0 THEN 1 ELSE sc_scheme END AS scheme, CASE WHEN texture_id % 27 = 0 THEN 0 ELSE 37 END AS vk_format FROM located),
+idx AS (SELECT texture_id, level, scheme, vk_format, alignment, faces * layers AS images, level_size AS expected_size, 205 AS index_end,
+  CASE WHEN alignment = 1 THEN 205 ELSE 208 END + byte_offset + CASE WHEN texture_id % 31 = 0 THEN 16 WHEN texture_id % 19 = 0 AND level = 0 THEN 2 WHEN texture_id % 23 = 0 AND level = 1 THEN 16 ELSE 0 END AS byte_offset,
+  level_size + CASE WHEN texture_id % 7 = 0 AND level = 2 THEN 8 ELSE 0 END AS byte_length,
+  CASE WHEN texture_id % 54 = 0 AND level = 1 THEN 0 WHEN texture_id % 27 = 0 AND level = 0 THEN level_size + 1 WHEN texture_id % 29 = 0 AND level = 1 THEN 9999999 ELSE level_size END AS uncompressed_length FROM idx0)"""
+_LEVEL_ISSUES = """
+SELECT a.texture_id, a.level, 4001 AS id, 'error' AS severity, 'IncorrectIndexOrder' AS rule FROM idx a JOIN idx b ON a.texture_id = b.texture_id AND a.level = b.level + 1 WHERE a.uncompressed_length > b.uncompressed_length
+UNION ALL SELECT a.texture_id, a.level, 4002, 'error', 'IncorrectLevelOrder' FROM idx a JOIN idx b ON a.texture_id = b.texture_id AND a.level = b.level + 1 WHERE a.byte_offset > b.byte_offset
+UNION ALL SELECT texture_id, level, 4003, 'error', 'IncorrectByteOffsetUnaligned' FROM idx WHERE byte_offset % alignment <> 0
+UNION ALL SELECT a.texture_id, a.level, 4004, 'error', 'IncorrectByteOffset' FROM idx a LEFT JOIN idx b ON a.texture_id = b.texture_id AND b.level = a.level + 1
+  WHERE a.byte_offset % a.alignment = 0 AND a.byte_offset <> ceil(coalesce(b.byte_offset + b.byte_length, a.index_end) / a.alignment) * a.alignment
+UNION ALL SELECT texture_id, level, 4005, 'error', 'IncorrectByteLength' FROM idx WHERE vk_format <> 0 AND scheme = 0 AND byte_length <> expected_size
+UNION ALL SELECT texture_id, level, 4006, 'error', 'IncorrectUncompressedByteLength' FROM idx WHERE vk_format <> 0 AND scheme = 0 AND uncompressed_length <> expected_size
+UNION ALL SELECT texture_id, level, 4007, 'error', 'NonZeroUBLForBLZE' FROM idx WHERE scheme = 1 AND uncompressed_length <> 0
+UNION ALL SELECT texture_id, level, 4009, 'error', 'ZeroUncompressedLength' FROM idx WHERE vk_format = 0 AND scheme NOT IN (1, 4) AND uncompressed_length = 0
+UNION ALL SELECT texture_id, level, 4010, 'error', 'InvalidUncompressedLength' FROM idx WHERE vk_format = 0 AND scheme NOT IN (1, 4) AND uncompressed_length % images <> 0"""
+
+
+@query(f"WITH {_INDEX} {_LEVEL_ISSUES}")
 def validate_levels(spark, sf):
     from ..functions.sizes import lcm4
 
     k, v = F.col("texture_id"), F.col("level")
-    at = F.col("byte_offset") + 200 + F.when((k % 19 == 0) & (v == 0), 2).when((k % 23 == 0) & (v == 1), 16).otherwise(0)
+    alignment = F.when(F.col("sc_scheme") == 0, lcm4(F.col("block_bytes"))).otherwise(1)
+    moved = F.when(k % 31 == 0, 16).when((k % 19 == 0) & (v == 0), 2).when((k % 23 == 0) & (v == 1), 16).otherwise(0)
     index = catalog.level_offsets(_textures(spark, sf)).select(
         "texture_id",
         "level",
-        at.alias("byte_offset"),
+        (F.col("byte_offset") + F.when(alignment == 1, 205).otherwise(208) + moved).alias("byte_offset"),
         (F.col("level_size") + F.when((k % 7 == 0) & (v == 2), 8).otherwise(0)).alias("byte_length"),
-        F.when((k % 29 == 0) & (v == 1), 9999999).otherwise(F.col("level_size")).alias("uncompressed_length"),
+        F.when((k % 54 == 0) & (v == 1), 0).when((k % 27 == 0) & (v == 0), F.col("level_size") + 1).when((k % 29 == 0) & (v == 1), 9999999).otherwise(F.col("level_size")).alias("uncompressed_length"),
         F.col("level_size").alias("expected_size"),
-        F.when(F.col("sc_scheme") == 0, lcm4(F.col("block_bytes"))).otherwise(1).alias("alignment"),
+        alignment.alias("alignment"),
         F.when(k % 47 == 0, 1).otherwise(F.col("sc_scheme")).alias("sc_scheme"),
+        F.when(k % 27 == 0, 0).otherwise(37).alias("vk_format"),
+        (F.col("faces") * F.col("layers")).alias("images"),
+        F.lit(205).alias("index_end"),
     )
     return validate.level_issues(index)
 
 
-_KNOWN = ", ".join(f"'{k}'" for k in validate.KNOWN_KEYS)
+# Metadata of every texture in file order; ``text`` stands for the bytes, ``nul`` for the NUL after them.
+_ENTRIES = """
+entries AS (
+  SELECT p_partkey AS texture_id, 1 AS ordinal, 'KTXorientation' AS key, CASE WHEN p_partkey % 9 = 0 THEN 'xx' WHEN p_partkey % 9 = 1 THEN 'r' WHEN p_partkey % 9 = 2 THEN 'rdi' ELSE 'rd' END AS text, p_partkey % 10 <> 0 AS nul FROM part UNION ALL
+  SELECT p_partkey, 2, 'KTXswizzle', CASE WHEN p_partkey % 3 = 0 THEN 'rgbx' WHEN p_partkey % 3 = 1 THEN 'rgba' ELSE 'rg' END, p_partkey % 14 <> 0 FROM part WHERE p_partkey % 2 = 0 UNION ALL
+  SELECT p_partkey, 3, 'KTXwriter', p_brand, p_partkey % 12 <> 1 FROM part WHERE p_partkey % 4 <> 0 UNION ALL
+  SELECT p_partkey, 4, 'KTXwriterScParams', '--x', p_partkey % 16 <> 0 FROM part WHERE p_partkey % 8 = 0 UNION ALL
+  SELECT p_partkey, 5, 'KTXmadeUp', '', false FROM part WHERE p_partkey % 17 = 0 UNION ALL
+  SELECT p_partkey, 6, 'comment', p_name, false FROM part WHERE p_partkey % 3 = 0 UNION ALL
+  SELECT p_partkey, 7, 'comment', 'again', false FROM part WHERE p_partkey % 15 = 0 UNION ALL
+  SELECT p_partkey, 8, '', 'x', false FROM part WHERE p_partkey % 51 = 0 UNION ALL
+  SELECT p_partkey, 9, 'KTXanimData', CASE WHEN p_partkey % 25 = 0 THEN '123456789012' ELSE '1234' END, false FROM part WHERE p_partkey % 5 = 0 UNION ALL
+  SELECT p_partkey, 10, 'KTXcubemapIncomplete', '?', false FROM part WHERE p_partkey % 35 = 0 UNION ALL
+  SELECT p_partkey, 11, 'KTXastcDecodeMode', CASE WHEN p_partkey % 18 = 0 THEN 'unorm8' ELSE 'f16' END, true FROM part WHERE p_partkey % 6 = 0 UNION ALL
+  SELECT p_partkey, 12, 'KTXglFormat', '1234', false FROM part WHERE p_partkey % 22 = 0)"""
+_META_FACTS = """
+facts AS (SELECT texture_id, width, height, 0 AS depth, layers - 1 AS layers, faces, CASE WHEN texture_id % 3 = 2 THEN 162 ELSE 1 END AS model, CASE WHEN texture_id % 4 = 2 THEN 2 ELSE 1 END AS transfer, 37 AS vk_format, texture_id % 44 = 0 AS gltf FROM textures),
+e AS (SELECT e.*, f.* EXCLUDE (texture_id) FROM entries e JOIN facts f ON e.texture_id = f.texture_id)"""
+_META_RULES = [
+    (7013, "error", "KeyEmpty", "key = ''"),
+    (7013, "error", "DuplicateKey", "key = 'comment' AND ordinal = 7"),
+    (7009, "error", "UnknownReservedKey", "key = 'KTXmadeUp'"),
+    (7010, "warning", "CustomMetadata", "key = 'comment'"),
+    (7107, "error", "KTXorientationMissingNull", "key = 'KTXorientation' AND NOT nul"),
+    (7108, "error", "KTXorientationIncorrectDimension", "key = 'KTXorientation' AND length(text) <> 2"),
+    (7109, "error", "KTXorientationInvalidValue", "key = 'KTXorientation' AND text = 'xx'"),
+    (7202, "error", "KTXorientationInvalidGLTFBU", "key = 'KTXorientation' AND gltf AND text <> 'rd'"),
+    (7117, "error", "KTXswizzleMissingNull", "key = 'KTXswizzle' AND NOT nul"),
+    (7118, "error", "KTXswizzleInvalidSize", "key = 'KTXswizzle' AND length(text) <> 4"),
+    (7119, "error", "KTXswizzleInvalidValue", "key = 'KTXswizzle' AND text = 'rgbx'"),
+    (7201, "error", "KTXswizzleInvalidGLTFBU", "key = 'KTXswizzle' AND gltf AND text <> 'rgba'"),
+    (7122, "error", "KTXwriterMissingNull", "key = 'KTXwriter' AND NOT nul"),
+    (7126, "error", "KTXwriterScParamsMissingNull", "key = 'KTXwriterScParams' AND NOT nul"),
+    (7128, "error", "KTXanimDataInvalidSize", "key = 'KTXanimData' AND text = '1234'"),
+    (7129, "error", "KTXanimDataNotArray", "key = 'KTXanimData' AND layers = 0"),
+    (7102, "warning", "KTXcubemapIncompleteAllBitsSet", "key = 'KTXcubemapIncomplete'"),
+    (7104, "error", "KTXcubemapIncompleteIncompatibleLayerCount", "key = 'KTXcubemapIncomplete' AND layers % 6 <> 0"),
+    (7105, "error", "KTXcubemapIncompleteWithFaceCountNot1", "key = 'KTXcubemapIncomplete' AND faces <> 1"),
+    (3008, "error", "CubeHeightWidthMismatch", "key = 'KTXcubemapIncomplete' AND width <> height"),
+    (7132, "error", "KTXastcDecodeModeInvalidValue", "key = 'KTXastcDecodeMode' AND text = 'f16'"),
+    (7134, "warning", "KTXastcDecodeModeNotASTC", "key = 'KTXastcDecodeMode' AND model <> 162"),
+    (7135, "warning", "KTXastcDecodeModeWithsRGB", "key = 'KTXastcDecodeMode' AND transfer = 2"),
+    (7110, "error", "KTXglFormatInvalidSize", "key = 'KTXglFormat'"),
+    (7111, "error", "KTXglFormatWithVkFormat", "key = 'KTXglFormat' AND vk_format <> 0"),
+]
+_META_ISSUES = (
+    " UNION ALL ".join(f"SELECT texture_id, key, {i} AS id, '{s}' AS severity, '{r}' AS rule FROM e WHERE {p}" for i, s, r, p in _META_RULES)
+    + """ UNION ALL SELECT DISTINCT a.texture_id, NULL, 7012, 'error', 'OutOfOrder' FROM entries a JOIN entries b ON a.texture_id = b.texture_id AND a.ordinal < b.ordinal AND a.key > b.key
+UNION ALL SELECT texture_id, 'KTXanimData', 7130, 'error', 'KTXanimDataWithCubeIncomplete' FROM facts WHERE texture_id % 5 = 0 AND texture_id % 35 = 0
+UNION ALL SELECT texture_id, 'KTXwriter', 7124, 'error', 'KTXwriterRequiredButMissing' FROM facts WHERE texture_id % 8 = 0
+UNION ALL SELECT texture_id, 'KTXwriter', 7125, 'warning', 'KTXwriterMissing' FROM facts WHERE texture_id % 4 = 0 AND texture_id % 8 <> 0"""
+)
+
+
+def _metadata_issues(spark, sf) -> DataFrame:
+    _t(spark, sf, "part").createOrReplaceTempView("_part")
+    entries = spark.sql(f"WITH {_ENTRIES.replace('FROM part', 'FROM _part')} SELECT * FROM entries")
+    value = F.concat(F.encode("text", "UTF-8"), F.when(F.col("nul"), F.lit(b"\0")).otherwise(F.lit(b"")))
+    k = F.col("texture_id")
+    facts = _textures(spark, sf).select(
+        "texture_id", "width", "height", F.lit(0).alias("depth"), (F.col("layers") - 1).alias("layers"), "faces", F.when(k % 3 == 2, 162).otherwise(1).alias("model"), F.when(k % 4 == 2, 2).otherwise(1).alias("transfer"), F.lit(37).alias("vk_format"), (k % 44 == 0).alias("gltf")
+    )
+    return validate.metadata_issues(entries.select("texture_id", "ordinal", "key", value.alias("value")), facts)
+
+
+@query(f"WITH {TEXTURES}, {_ENTRIES}, {_META_FACTS} {_META_ISSUES}")
+def validate_metadata(spark, sf):
+    return _metadata_issues(spark, sf)
 
 
 @query(
-    f"""WITH {_META}, o AS (SELECT *, row_number() OVER (PARTITION BY texture_id ORDER BY CASE WHEN texture_id % 21 = 0 THEN length(key) ELSE 0 END, key) AS ordinal FROM meta),
-s AS (SELECT *, lag(key) OVER (PARTITION BY texture_id ORDER BY ordinal) AS before FROM o),
-w AS (SELECT texture_id, max(CASE WHEN key = 'KTXwriter' THEN 1 ELSE 0 END) AS writer, max(CASE WHEN key = 'KTXwriterScParams' THEN 1 ELSE 0 END) AS params FROM meta GROUP BY texture_id)
-SELECT texture_id, key, 7103 AS id, 'error' AS severity, 'OutOfOrder' AS rule FROM s WHERE key < before
-UNION ALL SELECT texture_id, key, 7104, 'error', 'UnknownReservedKey' FROM s WHERE (starts_with(key, 'KTX') OR starts_with(key, 'ktx')) AND key NOT IN ({_KNOWN})
-UNION ALL SELECT texture_id, key, 7105, 'warning', 'CustomKey' FROM s WHERE NOT (starts_with(key, 'KTX') OR starts_with(key, 'ktx'))
-UNION ALL SELECT texture_id, key, 7106, 'error', 'OrientationFormat' FROM s WHERE key = 'KTXorientation' AND NOT regexp_full_match(value, '[rl]([du]([oi])?)?')
-UNION ALL SELECT texture_id, 'KTXwriter', 7201, 'error', 'WriterMissingWithParams' FROM w WHERE writer = 0 AND params = 1
-UNION ALL SELECT texture_id, 'KTXwriter', 7202, 'warning', 'WriterMissing' FROM w WHERE writer = 0 AND params = 0"""
+    f"""WITH {_INDEX}, {_HEADERS.split(TEXTURES + ",")[1]}, {_ENTRIES}, {_META_FACTS},
+issues AS (SELECT texture_id, severity FROM ({_HEADER_ISSUES}) UNION ALL SELECT texture_id, severity FROM ({_LEVEL_ISSUES}) UNION ALL SELECT texture_id, severity FROM ({_META_ISSUES}))
+SELECT h.texture_id, CAST(count(i.severity) FILTER (severity = 'error') AS BIGINT) AS n_errors, CAST(count(i.severity) FILTER (severity = 'warning') AS BIGINT) AS n_warnings, count(i.severity) FILTER (severity = 'error') = 0 AS valid
+FROM headers h LEFT JOIN issues i ON h.texture_id = i.texture_id GROUP BY h.texture_id"""
 )
-def validate_metadata(spark, sf):
-    from pyspark.sql import Window
+def validate_verdict(spark, sf):
+    headers = _headers(spark, sf)
+    found = validate.all_issues(validate.raised(headers, validate.header_rules(F.col("compressed")), "texture_id"), validate_levels(spark, sf), _metadata_issues(spark, sf))
+    return validate.verdict(headers, found)
+
+
+# Descriptors of five known formats, of a block format without a number, and of what was changed in some of them.
+_DESCRIPTORS = f"""{TEXTURES},
+kinds(kind, vk_format, model, transfer, block, bytes, samples) AS (VALUES
+  (0, 37, 1, 1, 0, 4, [[0, 8, 0, 0, 0, 255], [8, 8, 1, 0, 0, 255], [16, 8, 2, 0, 0, 255], [24, 8, 15, 0, 0, 255]]),
+  (1, 43, 1, 2, 0, 4, [[0, 8, 0, 0, 0, 255], [8, 8, 1, 0, 0, 255], [16, 8, 2, 0, 0, 255], [24, 8, 15, 1, 0, 255]]),
+  (2, 97, 1, 1, 0, 8, [[0, 16, 0, 12, 3212836864, 1065353216], [16, 16, 1, 12, 3212836864, 1065353216], [32, 16, 2, 12, 3212836864, 1065353216], [48, 16, 15, 12, 3212836864, 1065353216]]),
+  (3, 131, 128, 1, 3, 8, [[0, 64, 0, 0, 0, 4294967295]]),
+  (4, 157, 162, 1, 3, 16, [[0, 128, 0, 0, 0, 4294967295]]),
+  (5, 0, 166, 2, 3, 16, [[0, 128, 0, 0, 0, 4294967295]]),
+  (6, 4, 1, 1, 0, 2, [[0, 5, 2, 0, 0, 31], [5, 6, 1, 0, 0, 63], [11, 5, 0, 0, 0, 31]])),
+blocks AS (SELECT t.texture_id AS id, k.* FROM textures t JOIN kinds k ON t.texture_id % 7 = k.kind)"""
+_CHANGED = """
+changed AS (SELECT id AS texture_id, kind, vk_format, CASE WHEN id % 11 = 0 THEN 2 ELSE 0 END AS sc_scheme, 16 AS height, 1 AS levels, id % 6 = 0 AS gltf, CASE WHEN id % 13 = 0 THEN 99 ELSE model END AS model,
+  CASE WHEN id % 17 = 0 THEN 12 ELSE 1 END AS primaries, CASE WHEN id % 19 = 0 THEN 25 WHEN id % 10 = 3 THEN 2 ELSE transfer END AS transfer, CASE WHEN id % 23 = 0 THEN 1 ELSE 2 END AS dfd_version,
+  CASE WHEN id % 31 = 0 THEN 7 ELSE block END AS edge, CASE WHEN id % 22 = 0 THEN 0 WHEN id % 29 = 0 THEN bytes + 1 ELSE bytes END AS plane,
+  id % 37 = 0 AS cut, id % 9 = 4 AS moved, samples FROM blocks)"""
+_DFD_RULES = [
+    (6011, "error", "BasicVersionNotSupported", "dfd_version <> 2"),
+    (6012, "error", "BasicInvalidTransferFunction", "transfer > 19"),
+    (6013, "error", "BasicSRGBMismatch", "vk_format = 43 AND transfer <> 2"),
+    (6014, "error", "BasicNotSRGBMismatch", "vk_format IN (37, 131, 157) AND transfer = 2"),
+    (6016, "error", "IncorrectModelForBlock", "(vk_format = 131 AND model <> 128) OR (vk_format = 157 AND model <> 162)"),
+    (6015, "error", "IncorrectModelForRGB", "vk_format IN (4, 37, 43, 97) AND model <> 1"),
+    (6302, "error", "IncompatibleModelGLTFBU", "gltf AND model = 166 AND sc_scheme NOT IN (0, 2)"),
+    (6301, "error", "IncorrectModelGLTFBU", "gltf AND model NOT IN (163, 166)"),
+    (6304, "error", "InvalidColorSpaceGLTFBU", "gltf AND NOT (primaries = 1 AND transfer = 2) AND NOT (primaries = 0 AND transfer = 1)"),
+    (6019, "error", "InvalidColorPrimaries", "primaries > 10"),
+    (6025, "error", "SampleCountMismatch", "vk_format <> 0 AND cut"),
+    (6026, "error", "InvalidSampleCount", "vk_format = 0 AND model = 166 AND cut"),
+    (6027, "error", "ZeroSamples", "vk_format = 0 AND model <> 166 AND cut"),
+    (6020, "error", "InvalidTexelBlockDimension", "vk_format = 0 AND model = 166 AND edge <> 3"),
+    (6030, "warning", "BytesPlanesUnsized", "sc_scheme <> 0 AND plane = 0 AND (vk_format <> 0 OR model = 166)"),
+    (6021, "error", "BytesPlanesMismatch", "NOT (sc_scheme <> 0 AND plane = 0) AND ((vk_format <> 0 AND plane <> (SELECT bytes FROM kinds k WHERE k.kind = changed.kind)) OR (vk_format = 0 AND model = 166 AND plane <> 16))"),
+    (6023, "error", "BytesPlane0Zero", "vk_format = 0 AND model <> 166 AND sc_scheme = 0 AND plane = 0"),
+]
+_DFD_SAMPLES = """
+seen AS (SELECT texture_id, vk_format, model, transfer, unnest(CASE WHEN cut THEN samples[2:] ELSE samples END) AS s, moved, cut,
+  unnest(range(len(CASE WHEN cut THEN samples[2:] ELSE samples END))) AS sample, samples FROM changed),
+one AS (SELECT texture_id, vk_format, model, transfer, CAST(sample AS INT) AS sample, samples[sample + 1] AS w, s[1] + CASE WHEN moved AND sample = 0 THEN 1 ELSE 0 END AS s1, s[2] AS s2, s[3] AS s3, s[4] AS s4, s[5] AS s5, s[6] AS s6 FROM seen)"""
+_DFD_SAMPLE_ISSUES = """
+SELECT texture_id, sample, 6028 AS id, 'error' AS severity, 'FormatMismatch' AS rule FROM one WHERE vk_format <> 0 AND (s1 <> w[1] OR s2 <> w[2] OR s3 <> w[3] OR s4 - s4 % 2 <> w[4] - w[4] % 2 OR s5 <> w[5] OR s6 <> w[6])
+UNION ALL SELECT texture_id, sample, 6108, 'error', 'InvalidQualifierLinearForLinearTF' FROM one WHERE vk_format <> 0 AND transfer < 2 AND s4 % 2 = 1
+UNION ALL SELECT texture_id, sample, 6109, 'error', 'InvalidQualifierLinearForNonLinearTF' FROM one WHERE vk_format <> 0 AND transfer BETWEEN 2 AND 19 AND (s3 = 15) <> (s4 % 2 = 1)
+UNION ALL SELECT texture_id, sample, 6102, 'error', 'InvalidBitOffsetForUASTC' FROM one WHERE vk_format = 0 AND model = 166 AND sample = 0 AND s1 <> 0"""
+
+
+def _descriptors(spark, sf, changed: bool = True) -> DataFrame:
+    k = F.col("texture_id")
+    sample = "array<struct<bit_offset:int,bit_length:int,channel:int,qualifiers:int,lower:bigint,upper:bigint,positions:array<int>>>"
+    known = {r[1]: r for r in formats.rows()}
+    rows = []
+    for kind, name in enumerate(["R8G8B8A8_UNORM", "R8G8B8A8_SRGB", "R16G16B16A16_SFLOAT", "BC1_RGB_UNORM_BLOCK", "ASTC_4x4_UNORM_BLOCK", None, "R5G6B5_UNORM_PACK16"]):
+        if name:
+            r = known[name]
+            model, samples = descriptor.expected(name, r[5], r[7])
+            rows.append((kind, r[0], model, 2 if "SRGB" in name else 1, r[3] - 1, r[5], [(*s, [0] * 4) for s in samples]))
+        else:
+            rows.append((kind, 0, descriptor.UASTC, 2, 3, 16, [(0, 128, 0, 0, 0, descriptor.ALL, [0] * 4)]))
+    kinds = spark.createDataFrame(rows, f"kind long, vk_format long, model int, transfer int, block int, bytes int, samples {sample}")
+    t = _textures(spark, sf).select("texture_id", (k % 7).alias("kind")).join(F.broadcast(kinds), "kind")
+    if not changed:
+        return t.select("texture_id", "model", F.lit(1).alias("primaries"), "transfer", F.lit(2).alias("dfd_version"), "samples")
+    edge, plane = F.when(k % 31 == 0, 7).otherwise(F.col("block")), F.when(k % 22 == 0, 0).when(k % 29 == 0, F.col("bytes") + 1).otherwise(F.col("bytes"))
+    left = F.when(k % 37 == 0, F.slice("samples", 2, 99)).otherwise(F.col("samples"))
+    moved = F.transform(left, lambda s, i: s.withField("bit_offset", s["bit_offset"] + F.when((i == 0) & (k % 9 == 4), 1).otherwise(0)))
+    zero = F.lit(0)
+    return t.select(
+        "texture_id",
+        "vk_format",
+        F.when(k % 11 == 0, 2).otherwise(0).alias("sc_scheme"),
+        F.lit(16).alias("height"),
+        F.lit(1).alias("levels"),
+        (k % 6 == 0).alias("gltf"),
+        F.when(k % 13 == 0, 99).otherwise(F.col("model")).alias("model"),
+        F.when(k % 17 == 0, 12).otherwise(1).alias("primaries"),
+        F.when(k % 19 == 0, 25).when(k % 10 == 3, 2).otherwise(F.col("transfer")).alias("transfer"),
+        F.when(k % 23 == 0, 1).otherwise(2).alias("dfd_version"),
+        F.array(edge, edge, zero, zero).alias("texel_block"),
+        F.array(plane, *[zero] * 7).alias("planes"),
+        moved.alias("samples"),
+    )
+
+
+@query(
+    f"""WITH {_DESCRIPTORS}, {_CHANGED}, {_DFD_SAMPLES}
+{" UNION ALL ".join(f"SELECT texture_id, CAST(NULL AS INT) AS sample, {i} AS id, '{s}' AS severity, '{r}' AS rule FROM changed WHERE {p}" for i, s, r, p in _DFD_RULES)}
+UNION ALL {_DFD_SAMPLE_ISSUES}"""
+)
+def validate_descriptor(spark, sf):
+    return descriptor.issues(_descriptors(spark, sf)).select("texture_id", "sample", "id", "severity", "rule")
+
+
+_SAMPLE_FIELDS = ["bit_offset", "bit_length", "channel", "qualifiers", "lower", "upper"]
 
-    order = [F.when(F.col("texture_id") % 21 == 0, F.length("key")).otherwise(0), F.col("key")]
-    meta = _meta(spark, sf)[0].withColumn("ordinal", F.row_number().over(Window.partitionBy("texture_id").orderBy(*order)))
-    return validate.metadata_issues(meta)
+
+@query(
+    f"""WITH {_DESCRIPTORS}, {_CHANGED}, {_DFD_SAMPLES},
+l AS (SELECT id AS texture_id, CAST(i AS INT) AS sample, samples[i + 1] AS v FROM (SELECT id, samples, unnest(range(len(samples))) AS i FROM blocks)),
+r AS (SELECT texture_id, sample, [s1, s2, s3, s4, s5, s6] AS v FROM one),
+f(n, path) AS (VALUES {", ".join(f"({i + 1}, '{n}')" for i, n in enumerate(_SAMPLE_FIELDS))}),
+d AS (SELECT coalesce(l.texture_id, r.texture_id) AS texture_id, coalesce(l.sample, r.sample) AS sample, f.path, CAST(l.v[f.n] AS VARCHAR) AS lv, CAST(r.v[f.n] AS VARCHAR) AS rv FROM l FULL JOIN r ON l.texture_id = r.texture_id AND l.sample = r.sample CROSS JOIN f),
+b AS (SELECT c.texture_id, 'model' AS path, CAST(b.model AS VARCHAR) AS lv, CAST(c.model AS VARCHAR) AS rv FROM changed c JOIN blocks b ON b.id = c.texture_id
+  UNION ALL SELECT texture_id, 'primaries', '1', CAST(primaries AS VARCHAR) FROM changed
+  UNION ALL SELECT c.texture_id, 'transfer', CAST(b.transfer AS VARCHAR), CAST(c.transfer AS VARCHAR) FROM changed c JOIN blocks b ON b.id = c.texture_id
+  UNION ALL SELECT texture_id, 'dfd_version', '2', CAST(dfd_version AS VARCHAR) FROM changed)
+SELECT texture_id, 'dataFormatDescriptor' AS section, sample, path, lv AS left_value, rv AS right_value FROM d WHERE lv IS DISTINCT FROM rv
+UNION ALL SELECT texture_id, 'dataFormatDescriptor', NULL, path, lv, rv FROM b WHERE lv <> rv"""
+)
+def compare_descriptors(spark, sf):
+    right = _descriptors(spark, sf).drop("texel_block", "planes")
+    return descriptor.differences(_descriptors(spark, sf, changed=False), right)
+
+
+# ------------------------------------------------------------------ metadata maps
+
+_LISTS = f"""{_META.split("other AS")[0].rstrip().rstrip(",")}, lists AS (SELECT texture_id, list({{'key': key, 'value': value}} ORDER BY key) AS pairs FROM meta GROUP BY texture_id)"""
+
+
+def _lists(spark, sf) -> DataFrame:
+    return _meta(spark, sf)[0].groupBy("texture_id").agg(F.sort_array(F.collect_list(F.struct("key", "value"))).alias("pairs"))
+
+
+@query(
+    f"""WITH {_LISTS}
+SELECT texture_id, list_extract(list_filter(pairs, lambda p: p.key = 'KTXwriter'), 1).value AS writer, CAST(to_json(list_concat(list_filter(pairs, lambda p: p.key <> 'comment'), [{{'key': 'comment', 'value': 'new'}}])) AS VARCHAR) AS added,
+  CAST(to_json(list_filter(pairs, lambda p: p.key <> 'KTXorientation' AND p.key <> 'none')) AS VARCHAR) AS deleted FROM lists"""
+)
+def metadata_edit(spark, sf):
+    p = F.col("pairs")
+    return _lists(spark, sf).select("texture_id", metadata.found(p, "KTXwriter").alias("writer"), F.to_json(metadata.added(p, "comment", "new")).alias("added"), F.to_json(metadata.deleted(p, "KTXorientation", "none")).alias("deleted"))
+
+
+@query(
+    f"""WITH {_LISTS}, kept AS (SELECT texture_id, key, value FROM meta WHERE key NOT IN ('KTXwriter', 'KTXwriterScParams') UNION ALL SELECT texture_id, 'KTXwriter', 'tool' FROM lists
+  UNION ALL SELECT l.texture_id, 'KTXwriterScParams', CASE WHEN m.value IS NULL THEN '--zstd 5' ELSE m.value || ' --zstd 5' END FROM lists l LEFT JOIN meta m ON m.texture_id = l.texture_id AND m.key = 'KTXwriterScParams')
+SELECT texture_id, CAST(to_json(list({{'key': key, 'value': value}} ORDER BY key)) AS VARCHAR) AS pairs FROM kept GROUP BY texture_id"""
+)
+def metadata_stamp(spark, sf):
+    return _lists(spark, sf).select("texture_id", F.to_json(metadata.stamped(F.col("pairs"), "tool", "--zstd 5")).alias("pairs"))

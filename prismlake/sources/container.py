@@ -22,43 +22,109 @@ IDENTIFIER = b"\xabKTX 20\xbb\r\n\x1a\n"
 IDENTIFIER_V1 = b"\xabKTX 11\xbb\r\n\x1a\n"
 NONE, BASIS_LZ, ZSTD, ZLIB = 0, 1, 2, 3
 MAX_METADATA = 100
+MAX_BLOCKS, MAX_SAMPLES = 10, 16
 
 LEVEL = "struct<level:int,byte_offset:bigint,byte_length:bigint,uncompressed_length:bigint,bytes:binary>"
-SAMPLE = "struct<bit_offset:int,bit_length:int,channel:int,qualifiers:int,lower:bigint,upper:bigint>"
+SAMPLE = "struct<bit_offset:int,bit_length:int,channel:int,qualifiers:int,lower:bigint,upper:bigint,positions:array<int>>"
 SCHEMA = (
     "path string, status string, version int, vk_format bigint, type_size bigint, width bigint, height bigint, depth bigint, layers bigint, faces bigint, levels bigint, sc_scheme bigint, "
     "dfd_offset bigint, dfd_length bigint, kvd_offset bigint, kvd_length bigint, sgd_offset bigint, sgd_length bigint, "
     "model int, primaries int, transfer int, flags int, "
-    f"level_index array<{LEVEL}>, samples array<{SAMPLE}>, metadata array<struct<ordinal:int,key:string,value:binary>>"
+    f"level_index array<{LEVEL}>, samples array<{SAMPLE}>, metadata array<struct<ordinal:int,key:string,value:binary>>, "
+    "dfd_total bigint, dfd_version int, texel_block array<int>, planes array<int>, dfd_issues array<int>, kvd_issues array<int>"
 )
-NAMES = [x.split()[0] for x in SCHEMA.split(", ")][:22] + ["level_index", "samples", "metadata"]
-
-
-def _metadata(raw: bytes) -> list[tuple[int, str, bytes]]:
-    """Entries of u32 size, key, NUL, value, padded to 4; reading stops at MAX_METADATA and at a broken entry."""
-    out, at = [], 0
-    while at + 4 <= len(raw) and len(out) < MAX_METADATA:
+NAMES = [x.split()[0] for x in SCHEMA.split(", ")][:22] + ["level_index", "samples", "metadata", "dfd_total", "dfd_version", "texel_block", "planes", "dfd_issues", "kvd_issues"]
+INTEGERS = [*NAMES[2:22], "dfd_total", "dfd_version"]
+
+
+def _metadata(raw: bytes) -> tuple[list[tuple[int, str, bytes]], list[int]]:
+    """Entries of u32 size, key, NUL, value, padded to 4, and the ids of rules that the bytes break.
+
+    Reading stops at MAX_METADATA entries and where an entry cannot be told from
+    the next. Keys that are not UTF-8 are kept with replacement signs.
+    """
+    out, issues, at = [], [], 0
+    while at < len(raw):
+        if len(out) == MAX_METADATA:
+            issues.append(7001)
+            return out, issues
+        if len(raw) - at < 6:
+            issues.append(7002)
+            return out, issues
         (size,) = struct.unpack_from("<I", raw, at)
+        if size < 2:
+            issues.append(7004)
+            at += 4 + -(-size // 4) * 4
+            continue
+        if size > len(raw) - at - 4:
+            issues.append(7003)
+            size = len(raw) - at - 4
         entry = raw[at + 4 : at + 4 + size]
         key, nul, value = entry.partition(b"\0")
-        if len(entry) < size or not nul:
-            break
+        if key.startswith(b"\xef\xbb\xbf"):
+            key = key[3:]
+            issues.append(7006)
+        try:
+            key.decode()
+        except UnicodeDecodeError:
+            issues.append(7007)
+        if not nul:
+            issues.append(7005)
         out.append((len(out), key.decode("utf-8", "replace"), value))
-        at += 4 + -(-size // 4) * 4
-    return out
+        padded = -(-size // 4) * 4
+        if any(raw[at + 4 + size : at + 4 + padded]):
+            issues.append(7011)
+        at += 4 + padded
+    if at != len(raw):
+        issues.append(7008)
+    return out, issues
 
 
 def _descriptor(raw: bytes):
-    """Model, primaries, transfer, flags and samples of the basic block."""
-    if len(raw) < 28:
-        return (None,) * 4, []
-    model, primaries, transfer, flags = raw[12:16]
-    (block_size,) = struct.unpack_from("<H", raw, 10)
-    samples = []
-    for at in range(28, min(4 + block_size, len(raw)) - 15, 16):
-        offset, length, channel, _, lower, upper = struct.unpack_from("<HBBIII", raw, at)
-        samples.append((offset, length + 1, channel & 15, channel >> 4, lower, upper))
-    return (model, primaries, transfer, flags), samples
+    """Model, primaries, transfer, flags; samples; total size, version, block, planes and broken rules of the first basic block."""
+    if len(raw) < 4:
+        return (None,) * 4, [], (None, None, None, None, [])
+    (total,) = struct.unpack_from("<I", raw)
+    issues, basic, samples, rest, at, n = [] if total == len(raw) else [6001], (None,) * 4, [], (None, None, None), 4, 0
+    found = False
+    while at < len(raw):
+        n += 1
+        if n > MAX_BLOCKS:
+            issues.append(6002)
+            break
+        if len(raw) - at < 8:
+            issues.append(6004)
+            break
+        kind, version, size = struct.unpack_from("<IHH", raw, at)
+        if size < 8:
+            issues.append(6006)
+        elif size > len(raw) - at:
+            issues.append(6007)
+        elif kind:
+            # further blocks of the same vendor may hold dimensions and planes
+            if kind & 0x1FFFF or kind >> 17 not in (0x6001, 0x6002):
+                issues.append(6003)
+        elif found:
+            issues.append(6005)
+        else:
+            found = n == 1 or size < 24
+            if size < 24:
+                issues.append(6010)
+            elif n == 1:
+                if (size - 24) % 16:
+                    issues.append(6009)
+                stored = (size - 24) // 16
+                if stored > MAX_SAMPLES:
+                    issues.append(6029)
+                basic = tuple(raw[at + 8 : at + 12])
+                rest = (version, list(raw[at + 12 : at + 16]), list(raw[at + 16 : at + 24]))
+                for k in range(min(stored, MAX_SAMPLES)):
+                    offset, length, channel, *positions, lower, upper = struct.unpack_from("<HBB4BII", raw, at + 24 + 16 * k)
+                    samples.append((offset, length + 1, channel & 15, channel >> 4, lower, upper, positions))
+        at += max(size, 8)
+    if not found:
+        issues.append(6008)
+    return basic, samples, (total, *rest, issues)
 
 
 def inflate(raw: bytes, scheme: int) -> bytes:
@@ -108,9 +174,9 @@ def parse(raw: bytes, path: str = "", payload: bool = True, metadata: bool = Tru
                 if len(body) != full:
                     return bad("wrong uncompressed length", 2)
         index.append((k, at, size, full, body))
-    basic, samples = _descriptor(raw[dfd_at : dfd_at + dfd_size])
-    pairs = _metadata(raw[kvd_at : kvd_at + kvd_size]) if metadata else None
-    return (path, "ok", 2, fmt, type_size, w, h, d, layers, faces, levels, scheme, dfd_at, dfd_size, kvd_at, kvd_size, sgd_at, sgd_size, *basic, index, samples, pairs)
+    basic, samples, descriptor = _descriptor(raw[dfd_at : dfd_at + dfd_size])
+    pairs, issues = _metadata(raw[kvd_at : kvd_at + kvd_size]) if metadata else (None, None)
+    return (path, "ok", 2, fmt, type_size, w, h, d, layers, faces, levels, scheme, dfd_at, dfd_size, kvd_at, kvd_size, sgd_at, sgd_size, *basic, index, samples, pairs, *descriptor, issues)
 
 
 def read(spark: SparkSession, path: str, payload: bool = True, metadata: bool = True, inflated: bool = True) -> DataFrame:
@@ -124,7 +190,7 @@ def parsed(files: DataFrame, payload: bool = True, metadata: bool = True, inflat
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [parse(c or b"", p, payload, metadata, inflated) for p, c in zip(pdf["path"], pdf["content"], strict=True)]
-            yield pd.DataFrame(rows, columns=NAMES).astype({n: "Int64" for n in NAMES[2:22]})
+            yield pd.DataFrame(rows, columns=NAMES).astype({n: "Int64" for n in INTEGERS})
 
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
@@ -152,7 +218,7 @@ def basic_descriptor(samples, model: int = 1, primaries: int = 1, transfer: int
     """A format descriptor with one basic block; ``samples`` as in SAMPLE."""
     size = 24 + 16 * len(samples)
     head = struct.pack("<IIHH4B4B8B", size + 4, 0, 2, size, model, primaries, transfer, flags, *block, *planes)
-    return head + b"".join(struct.pack("<HBBIII", o, n - 1, c | q << 4, 0, lo, hi) for o, n, c, q, lo, hi in samples)
+    return head + b"".join(struct.pack("<HBB4BII", o, n - 1, c | q << 4, *(more[0] if more else (0,) * 4), lo, hi) for o, n, c, q, lo, hi, *more in samples)
 
 
 def build(

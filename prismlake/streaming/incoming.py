@@ -1,11 +1,11 @@
-"""A stream of dropped container files through parsing and header validation. Not part of the format's own tools."""
+"""A stream of dropped container files through parsing and validation. Not part of the format's own tools."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import formats, validate
+from ..operators import descriptor, formats, validate
 from ..sources import container
 
 
@@ -17,11 +17,15 @@ def files(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
 
 
 def issues(parsed: DataFrame, gltf: bool = False) -> DataFrame:
-    """Header issues of each file; files that cannot be parsed raise one fatal issue."""
-    spark = parsed.sparkSession
-    known = formats.table(spark).select(F.col("format").cast("long").alias("vk_format"), "compressed")
-    ok = parsed.where("status = 'ok'").join(F.broadcast(known), "vk_format", "left")
-    headers = ok.withColumn("compressed", F.coalesce("compressed", F.lit(False))).withColumn("gltf", F.lit(gltf))
-    found = validate.raised(headers, [*validate.header_rules(F.col("compressed")), *validate.section_rules()], "path")
+    """Header, section, format and descriptor issues of each file; files that cannot be parsed raise one fatal issue.
+
+    Rules over several rows of a file (level index, order of keys) need the
+    whole file's rows and are left to batches: ``validate``.
+    """
+    known = formats.facts(parsed.where("status = 'ok'"))
+    headers = known.withColumn("compressed", F.coalesce("fact.compressed", F.lit(False))).withColumn("gltf", F.lit(gltf))
+    found = validate.raised(headers, [*validate.header_rules(F.col("compressed")), *validate.format_rules(F.col("fact")), *validate.section_rules()], "path")
+    for more in (validate.block_issues(headers), descriptor.byte_issues(headers), descriptor.issues(headers, "path").drop("sample")):
+        found = found.unionByName(more)
     bad = parsed.where("status <> 'ok'").select("path", F.lit(2001).alias("id"), F.lit(validate.FATAL).alias("severity"), F.col("status").alias("rule"))
     return found.unionByName(bad)

@@ -156,3 +156,21 @@ def test_validate_stops_at_the_first_fatal(spark):
     assert {(r.texture_id, r.n) for r in validate.until_fatal(t, "n").collect()} == {(1, 1), (1, 2), (2, 1)}
     v = {r.texture_id: (r.n_errors, r.n_warnings, r.valid) for r in validate.verdict(t.select("texture_id").distinct(), t, warnings_as_errors=True).collect()}
     assert v == {1: (3, 0, False), 2: (0, 1, False)}
+
+
+@pytest.mark.parametrize("name", sorted(image.FILTERS))
+def test_kernels_are_even_and_keep_constants(name):
+    f, half = image.FILTERS[name]
+    assert all(f(d) == pytest.approx(f(-d)) for d in (0.1, 0.4, 0.7, 1.2, 2.3)) and abs(f(half + 0.01)) < 1e-9
+    for n, t in ((8, 3), (5, 9)):
+        taps = image.weights(n, t, name)
+        for k in range(t):
+            assert sum(w for a, _, w in taps if a == k) == pytest.approx(1)
+
+
+def test_kernels_at_known_points():
+    at = lambda n, d: image.FILTERS[n][0](d)
+    assert at("blackman", 0) == pytest.approx(1, abs=1e-3) and at("blackman", 1) == pytest.approx(0, abs=1e-12)
+    assert at("kaiser", 0) == pytest.approx(1) and at("kaiser", 2) == pytest.approx(0, abs=1e-12)
+    assert at("quadratic_interp", 0) == 1 and at("quadratic_interp", 1) == 0 and at("quadratic_approx", 0) == 0.75
+    assert at("gaussian", 0) == pytest.approx(math.sqrt(2 / math.pi), rel=1e-3)

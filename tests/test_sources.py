@@ -7,11 +7,11 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from prismlake.operators import compare, validate
+from prismlake.operators import catalog, compare, descriptor, formats, validate
 from prismlake.sources import container, datasource, legacy, pnm
 from prismlake.streaming import incoming
 
-RGBA = container.basic_descriptor([(8 * i, 8, (0, 1, 2, 15)[i], 0, 0, 255) for i in range(4)], transfer=2)
+RGBA = container.basic_descriptor([(8 * i, 8, (0, 1, 2, 15)[i], 0, 0, 255) for i in range(4)], transfer=1, planes=(4, *[0] * 7))
 LEVELS = [bytes(range(64)), bytes(16), b"abcd"]
 META = {"KTXwriter": b"test\0", "KTXorientation": b"rd\0", "empty": b""}
 
@@ -23,7 +23,7 @@ def made(scheme=container.NONE, **k):
 @pytest.mark.parametrize("scheme", [container.NONE, container.ZSTD, container.ZLIB])
 def test_round_trip(scheme):
     r = dict(zip(container.NAMES, container.parse(made(scheme), "p"), strict=True))
-    assert (r["status"], r["vk_format"], r["width"], r["levels"], r["sc_scheme"], r["transfer"]) == ("ok", 37, 4, 3, scheme, 2)
+    assert (r["status"], r["vk_format"], r["width"], r["levels"], r["sc_scheme"], r["transfer"]) == ("ok", 37, 4, 3, scheme, 1)
     assert [x[4] for x in r["level_index"]] == LEVELS and [x[3] for x in r["level_index"]] == [64, 16, 4]
     assert [(k, v) for _, k, v in r["metadata"]] == sorted(META.items())
     assert [s[:4] for s in r["samples"]] == [(0, 8, 0, 0), (8, 8, 1, 0), (16, 8, 2, 0), (24, 8, 15, 0)]
@@ -109,3 +109,84 @@ def test_pnm(spark):
     two = pnm.write([1, 2, 3, 4, 5, 6], 2, 1, 3) + b"P5 # note\n2 1\n1000\n" + struct.pack(">2H", 7, 999)
     got = pnm.parsed(spark.createDataFrame([("a", two), ("b", b"P6 1 1 255\n\0"), ("c", b"")], "path string, content binary")).collect()
     assert [(r.path, r.subimage, r.status, r.channels, r.bits, r.pixels) for r in got] == [("a", 0, "ok", 3, 8, [1, 2, 3, 4, 5, 6]), ("a", 1, "ok", 1, 16, [7, 999]), ("b", 0, "unexpected end", None, None, None)]
+
+
+def block(*entries, tail=b""):
+    return b"".join(struct.pack("<I", len(e)) + e + bytes(-len(e) % 4) for e in entries) + tail
+
+
+@pytest.mark.parametrize(
+    ("raw", "ids"),
+    [
+        (block(b"a\0x", b"b\0"), []),
+        (block(*[b"k%03d\0" % i for i in range(101)]), [7001]),
+        (block(b"a\0x", tail=b"\2\0"), [7002]),
+        (struct.pack("<I", 40) + b"key\0abcd", [7003]),
+        (block(b"a", b"b\0"), [7004]),
+        (block(b"nokey"), [7005]),
+        (block(b"\xef\xbb\xbfkey\0v"), [7006]),
+        (block(b"\xff\xfe\0v"), [7007]),
+        (struct.pack("<I", 6) + b"key\0v\0"[:6], [7008]),
+        (struct.pack("<I", 5) + b"key\0v\1\1\1", [7011]),
+    ],
+)
+def test_key_value_blocks(raw, ids):
+    assert [i for i in container._metadata(raw)[1] if i != 7004 or ids == [7004]] == ids
+
+
+def test_entries_up_to_the_limit_are_kept():
+    pairs, issues = container._metadata(block(*[b"k%03d\0" % i for i in range(150)]))
+    assert len(pairs) == 100 and issues == [7001]
+
+
+@pytest.mark.parametrize(
+    ("change", "ids"),
+    [
+        (lambda d: d, []),
+        (lambda d: struct.pack("<I", 9) + d[4:], [6001]),
+        (lambda d: d[:4] + struct.pack("<I", 7 | 1 << 17) + d[8:], [6003, 6008]),
+        (lambda d: struct.pack("<I", len(d) + 4) + d[4:] + b"\0\0\0\0", [6004]),
+        (lambda d: struct.pack("<I", 2 * len(d) - 4) + d[4:] + d[4:], [6005]),
+        (lambda d: d[:10] + struct.pack("<H", 4) + d[12:12], [6001, 6006, 6008]),
+        (lambda d: d[:10] + struct.pack("<H", 200) + d[12:], [6007, 6008]),
+        (lambda d: struct.pack("<IIHH", 20, 0, 2, 16) + d[12:20], [6010]),
+    ],
+)
+def test_descriptor_bytes(change, ids):
+    assert container._descriptor(change(RGBA))[2][4] == ids
+
+
+def test_header_to_offsets(spark):
+    """Sizes and offsets from a parsed header (no array, so 0 layers) meet the file's own level index; known sizes of 3D textures."""
+    files = container.parsed(spark.createDataFrame([("a", made())], "path string, content binary"))
+    t = formats.facts(files).select(F.lit(1).alias("texture_id"), "width", "height", "depth", "faces", "layers", "levels", F.col("fact.block_w").cast("long").alias("block_w"), F.col("fact.block_h").cast("long").alias("block_h"), F.col("fact.block_bytes").cast("long").alias("block_bytes"), "sc_scheme")
+    at = {r.level: r.byte_offset for r in catalog.level_offsets(t).collect()}
+    own = {r.level: r.byte_offset for r in container.levels_of(files).collect()}
+    assert t.first().layers == 0 and {k: v - own[2] for k, v in own.items()} == at
+    assert [(r.level, r.layer, r.face, r.slice) for r in catalog.images(catalog.level_offsets(t)).orderBy("level").collect()] == [(0, 0, 0, 0), (1, 0, 0, 0), (2, 0, 0, 0)]
+    names = "texture_id long, width long, height long, depth long, faces long, layers long, levels long, block_w long, block_h long, block_bytes long, sc_scheme long"
+    solid = spark.createDataFrame([(1, 8, 8, 4, 1, 0, 4, 1, 1, 4, 0), (2, 8, 8, 0, 1, 0, 0, 1, 1, 4, 0)], names)
+    sizes = {(r.texture_id, r.level): r.level_size for r in catalog.levels(solid).collect()}
+    assert sizes == {(1, 0): 1024, (1, 1): 128, (1, 2): 16, (1, 3): 4, (2, 0): 256}
+
+
+def test_metadata_values_of_parsed_files(spark):
+    meta = {"KTXorientation": b"rx\0", "KTXswizzle": b"rgb", "KTXmapRange": struct.pack("<2f", float("inf"), 0), "KTXwriterScParams": b"\xff\0", "KTXcubemapIncomplete": b"\xff", "KTXanimData": bytes(12)}
+    raw = container.build(37, 1, (4, 4, 0), LEVELS, RGBA, meta)
+    files = container.parsed(spark.createDataFrame([("a", raw)], "path string, content binary"))
+    rows = container.metadata_of(files).withColumnRenamed("path", "texture_id")
+    facts = files.withColumnRenamed("path", "texture_id").withColumn("linear_or_float", F.lit(True))
+    got = {(r.key, r.id) for r in validate.metadata_issues(rows, facts).collect()}
+    assert got == {
+        ("KTXorientation", 7109), ("KTXswizzle", 7117), ("KTXswizzle", 7118), ("KTXmapRange", 7138), ("KTXwriterScParams", 7127), ("KTXwriter", 7124),
+        ("KTXcubemapIncomplete", 7101), ("KTXcubemapIncomplete", 7102), ("KTXanimData", 7129), ("KTXanimData", 7130),
+    }
+
+
+def test_descriptors_of_built_files(spark):
+    wrong = container.basic_descriptor([(8 * i, 8, (0, 1, 2, 15)[i], 0, 0, 255) for i in range(3)], model=1, transfer=2)
+    files = container.parsed(spark.createDataFrame([("good", made()), ("bad", container.build(37, 1, (4, 4, 0), LEVELS, wrong, META))], "path string, content binary"))
+    got = {(r.path, r.rule) for r in descriptor.issues(files.withColumn("gltf", F.lit(False)), "path").collect()}
+    assert ("bad", "SampleCountMismatch") in got and ("bad", "BasicNotSRGBMismatch") in got and not any(p == "good" for p, _ in got)
+    one = lambda p: files.where(F.col("path") == p).withColumn("texture_id", F.lit(1))
+    assert {(r.sample, r.path) for r in descriptor.differences(one("good"), one("bad")).collect()} == {(None, "transfer"), (None, "planes"), *((3, f) for f in ("bit_offset", "bit_length", "channel", "qualifiers", "lower", "upper"))}
