@@ -58,38 +58,21 @@ FROM d LEFT JOIN p ON d.source = p.source AND d.lang = p.lang AND d.topic = p.to
 
 def licence_scan() -> str:
     quote = lambda s: "'" + s + "'"
-    vocabulary = sorted({w for _, notice, _ in licenses.TEMPLATES for w in notice.split()})
-    postings = ", ".join(f"({quote(w)}, {t}, {i})" for t, (_, notice, _) in enumerate(licenses.TEMPLATES) for i, w in enumerate(notice.split()))
-    needs = []
-    for t, (label, notice, keys) in enumerate(licenses.TEMPLATES):
-        own = notice.split()
-        for k in (k.split() for k in keys):
-            at = next(i for i in range(len(own)) if own[i : i + len(k)] == k)
-            needs += [f"({t}, {quote(label)}, {i})" for i in range(at, at + len(k))]
+    templates = ", ".join(f"({t}, {quote(label)}, [{', '.join(map(quote, notice.split()))}], [{', '.join(map(str, licenses.needed_places(notice, keys)))}])" for t, (label, notice, keys) in enumerate(licenses.TEMPLATES))
     base = ", ".join(f"([{', '.join(map(quote, p.split()))}], {quote(label)})" for p, label in licenses.BASE.items())
     return f"""
 WITH w AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-posting(word, template, tpos) AS (VALUES {postings}),
-need(template, label, tpos) AS (SELECT DISTINCT * FROM (VALUES {", ".join(needs)}) v),
+template(template, label, words, need) AS (VALUES {templates}),
+posting AS (SELECT template, unnest(words) AS word, unnest(range(len(words))) AS at FROM template),
 phrase(words, label) AS (VALUES {base}),
-spot AS (SELECT doc_id, word, CAST(place AS BIGINT) AS place FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS place FROM w) WHERE word IN ({", ".join(map(quote, vocabulary))})),
+spot AS (SELECT doc_id, word, CAST(place AS BIGINT) AS place FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS place FROM w) WHERE word IN (SELECT word FROM posting)),
 hit AS (SELECT s.doc_id, s.place, p.label FROM phrase p JOIN spot s ON s.word = p.words[1] JOIN w ON w.doc_id = s.doc_id WHERE w.w[s.place + 1:s.place + len(p.words)] = p.words),
 base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list_distinct(list(label))) AS base_labels FROM hit GROUP BY doc_id),
-v AS (SELECT DISTINCT word FROM posting),
-df AS (SELECT v.word, count(DISTINCT s.doc_id) AS df FROM v LEFT JOIN spot s ON s.word = v.word GROUP BY v.word),
-idf AS (SELECT word, df, ln((1 + (SELECT count(*) FROM w)) / (1 + df)) + 0.01 AS idf FROM df),
-present AS (SELECT DISTINCT s.doc_id, s.word, i.idf FROM spot s JOIN idf i ON i.word = s.word WHERE i.df <= {licenses.MAX_SHARE} * (SELECT count(*) FROM w)),
-rare AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, word) AS r FROM present) WHERE r <= {licenses.RARE}),
-seed AS (SELECT doc_id FROM rare GROUP BY doc_id HAVING count(*) >= 2),
-size AS (SELECT p.template, sum(i.idf) AS total FROM posting p JOIN idf i ON i.word = p.word GROUP BY p.template),
-aligned AS (
-  SELECT s.doc_id, p.template, s.place - p.tpos AS shift, list(DISTINCT p.tpos) AS got, sum(i.idf) AS weight, count(rare.word) AS rare_hits
-  FROM spot s JOIN seed ON seed.doc_id = s.doc_id JOIN posting p ON p.word = s.word JOIN idf i ON i.word = s.word LEFT JOIN rare ON rare.doc_id = s.doc_id AND rare.word = s.word GROUP BY ALL),
-needed AS (SELECT template, any_value(label) AS label, list(tpos) AS need FROM need GROUP BY template),
+aligned AS (SELECT s.doc_id, p.template, s.place - p.at AS shift, list(DISTINCT p.at) AS got FROM spot s JOIN posting p ON p.word = s.word GROUP BY ALL),
 found AS (
-  SELECT a.doc_id, list_distinct(list(n.label)) AS more, max(round(a.weight / z.total, 6)) AS score FROM aligned a JOIN needed n ON n.template = a.template JOIN size z ON z.template = a.template
-  WHERE a.rare_hits >= 2 AND a.weight >= {licenses.LEAST} * z.total AND list_has_all(a.got, n.need) GROUP BY a.doc_id)
+  SELECT a.doc_id, list_distinct(list(t.label)) AS more, max(round(len(a.got) / len(t.words), 6)) AS score FROM aligned a JOIN template t ON t.template = a.template
+  WHERE len(a.got) >= {licenses.LEAST} * len(t.words) AND list_has_all(a.got, t.need) GROUP BY a.doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(base_labels, ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base_labels, []), coalesce(more, [])))), ','), '') AS labels,
-  CASE WHEN n_base > 0 THEN 1.0 ELSE least(coalesce(score, 0.0), 1.0) END AS score
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(score, 0.0) END AS score
 FROM w LEFT JOIN base ON base.doc_id = w.doc_id LEFT JOIN found ON found.doc_id = w.doc_id"""
