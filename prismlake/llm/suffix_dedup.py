@@ -5,8 +5,8 @@
 1. Winnowing: every LENGTH-byte window of a document selects one GRAM-byte
    anchor that depends on the window's bytes alone. Equal windows thus select
    equal anchors; anchors seen once in the corpus need no further look. A
-   filter of fixed size (FILTER_BITS) thins anchors out before the shuffle; its
-   false positives only cost time.
+   filter thins anchors out before the shuffle: eight bits or more for each
+   shared anchor, 2 ** MOST_BITS at most; its false positives only cost time.
 2. The stretch of bytes whose windows select one anchor is a segment. Equal
    segments are counted once, with their smallest document.
 3. The distinct segments of an anchor are sorted in shards by induced sorting:
@@ -38,7 +38,7 @@ from .linking import BROADCAST_ROWS, with_ids
 LENGTH = 50
 GRAM = 20
 REACH = LENGTH - GRAM + 1  # grams in a window
-FILTER_BITS = 27
+LEAST_BITS, MOST_BITS = 20, 30
 #: Part of the filter that one row holds, as a power of two of bits.
 CHUNK_BITS = 19
 HOT = 20_000
@@ -324,16 +324,16 @@ def _given(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _with_copies(given: DataFrame) -> DataFrame:
-    """Adds ``copy``: whether an earlier document has the same whole text (equal hash and size), long enough to go."""
-    sized = given.withColumn("size", F.octet_length("text"))
-    equal = materialise(sized.groupBy("version", "size").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where((F.col("least") < F.col("most")) & (F.col("size") >= LENGTH)).drop("most"), "equal-texts")
+    """Adds ``copy``: whether an earlier document has the same whole text (two equal hashes and equal size), long enough to go."""
+    sized = given.withColumn("size", F.octet_length("text")).withColumn("second", F.xxhash64(F.lit("second"), "text"))
+    equal = materialise(sized.groupBy("version", "second", "size").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where((F.col("least") < F.col("most")) & (F.col("size") >= LENGTH)).drop("most"), "equal-texts")
     n = equal.count()
-    marked = sized.join(F.broadcast(equal) if n <= BROADCAST_ROWS // 2 else equal, ["version", "size"], "left")
+    marked = sized.join(F.broadcast(equal) if n <= BROADCAST_ROWS // 2 else equal, ["version", "second", "size"], "left")
     return marked.select("doc", "version", "text", F.coalesce(F.col("least") < F.col("doc"), F.lit(False)).alias("copy"))
 
 
 def _shared_filter(given: DataFrame):
-    """A bitmap of FILTER_BITS bits that has the anchors found in two or more rows."""
+    """A bitmap, and its size as a power of two, that has the anchors found in two or more rows."""
 
     def anchors(batches):
         for pdf in batches:
@@ -353,37 +353,40 @@ def _shared_filter(given: DataFrame):
     def chunks(batches):
         have: dict[int, np.ndarray] = {}
         for pdf in batches:
-            bit = pdf["key"].to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            bit = pdf["key"].to_numpy().view(np.uint64) >> np.uint64(64 - bits)
             at = (bit >> np.uint64(CHUNK_BITS)).astype(np.int64)
             for c in np.unique(at):
-                bits = have.setdefault(int(c), np.zeros(1 << (CHUNK_BITS - 3), np.uint8))
+                part = have.setdefault(int(c), np.zeros(1 << (CHUNK_BITS - 3), np.uint8))
                 b = bit[at == c] & np.uint64((1 << CHUNK_BITS) - 1)
-                np.bitwise_or.at(bits, (b >> np.uint64(3)).astype(np.int64), np.left_shift(1, (b & np.uint64(7)).astype(np.int64)).astype(np.uint8))
+                np.bitwise_or.at(part, (b >> np.uint64(3)).astype(np.int64), np.left_shift(1, (b & np.uint64(7)).astype(np.int64)).astype(np.uint8))
         if have:
             yield pd.DataFrame({"chunk": list(have), "bits": [b.tobytes() for b in have.values()]})
 
     keys = given.select("text").mapInPandas(anchors, "key long, n byte")
-    shared = keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-    dealt = shared.repartition(F.shiftrightunsigned("key", 64 - FILTER_BITS + CHUNK_BITS))
-    bitmap = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    shared = materialise(keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "shared-anchors")
+    bits = int(np.clip(np.ceil(np.log2(8 * max(shared.count(), 1))), LEAST_BITS, MOST_BITS))
+    dealt = shared.repartition(F.shiftrightunsigned("key", 64 - bits + CHUNK_BITS))
+    bitmap = np.zeros(1 << (bits - 3), np.uint8)
     for r in dealt.mapInPandas(chunks, "chunk int, bits binary").toLocalIterator():
         bitmap[r["chunk"] << (CHUNK_BITS - 3) : (r["chunk"] + 1) << (CHUNK_BITS - 3)] |= np.frombuffer(r["bits"], np.uint8)
-    return given.sparkSession.sparkContext.broadcast(bitmap)
+    discard(shared)
+    return given.sparkSession.sparkContext.broadcast(bitmap), bits
 
 
 def _content_key(content: bytes) -> int:
     return xxhash.xxh3_64_intdigest(content) - (1 << 63)
 
 
-def _occurrences(given: DataFrame, shared) -> DataFrame:
+def _occurrences(given: DataFrame, shared, bits: int) -> DataFrame:
     """Segments of shared anchors: chash (of their bytes), doc, version, start, size, anchor; bytes for the first of a batch only.
 
-    A segment's bytes determine its anchor, so their hash names it alone.
+    A segment's bytes determine its anchor; anchor and hash of the bytes, 128
+    bits, name it.
     """
 
     def run(batches):
         bitmap = shared.value
-        shift, three, seven = np.uint64(64 - FILTER_BITS), np.uint64(3), np.uint64(7)
+        shift, three, seven = np.uint64(64 - bits), np.uint64(3), np.uint64(7)
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -400,11 +403,11 @@ def _occurrences(given: DataFrame, shared) -> DataFrame:
                 start = lo - np.concatenate([[0], ends[:-1]])[doc]
                 contents = [raw[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
                 hashes = [_content_key(c) for c in contents]
-                for i, c in enumerate(hashes):
-                    if c in sent:
+                for i, name in enumerate(zip(key.tolist(), hashes, strict=True)):
+                    if name in sent:
                         contents[i] = None
                     else:
-                        sent.add(c)
+                        sent.add(name)
                 yield pd.DataFrame({"chash": hashes, "doc": ids[doc + at], "version": versions[doc + at], "start": start, "size": hi - lo, "anchor": key, "content": contents})
 
     return given.select("doc", "version", "text").mapInPandas(run, "chash long, doc long, version long, start long, size long, anchor long, content binary")
@@ -414,15 +417,15 @@ def _sorted_shards(mixed: DataFrame) -> DataFrame:
     """Runs of windows with their smallest documents, by induced sorting of shards that hold whole anchors."""
 
     def run(batches):
-        have: dict[str, list] = {"chash": [], "content": [], "doc": []}
+        have: dict[str, list] = {"anchor": [], "chash": [], "content": [], "doc": []}
         size, last = 0, None
 
         def flush():
             least = least_documents(have["content"], np.array(have["doc"], np.int64))
-            rows = [(c, x, y, m) for c, v in zip(have["chash"], least, strict=True) for x, y, m in zip(*map(np.ndarray.tolist, _runs(v)), strict=True)]
+            rows = [(a, c, x, y, m) for a, c, v in zip(have["anchor"], have["chash"], least, strict=True) for x, y, m in zip(*map(np.ndarray.tolist, _runs(v)), strict=True)]
             for x in have.values():
                 x.clear()
-            return pd.DataFrame(rows, columns=["chash", "first", "last", "least"])
+            return pd.DataFrame(rows, columns=["anchor", "chash", "first", "last", "least"])
 
         for pdf in batches:
             for a, c, content, d in zip(pdf["anchor"], pdf["chash"], pdf["content"], pdf["doc"], strict=True):
@@ -432,6 +435,7 @@ def _sorted_shards(mixed: DataFrame) -> DataFrame:
                     yield flush()
                     size = 0
                 last = a
+                have["anchor"].append(a)
                 have["chash"].append(c)
                 have["content"].append(content)
                 have["doc"].append(d)
@@ -442,7 +446,7 @@ def _sorted_shards(mixed: DataFrame) -> DataFrame:
     return mixed.select("anchor", "chash", "content", "doc").repartition("anchor").sortWithinPartitions("anchor", "chash", "doc").mapInPandas(run, RUNS)
 
 
-RUNS = "chash long, first long, last long, least long"
+RUNS = "anchor long, chash long, first long, last long, least long"
 
 
 def _by_window(hot: DataFrame) -> DataFrame:
@@ -450,33 +454,33 @@ def _by_window(hot: DataFrame) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            rows = [(_content_key(c[i : i + LENGTH]), h, i, d) for h, c, d in zip(pdf["chash"], pdf["content"], pdf["doc"], strict=True) for i in range(len(c) - LENGTH + 1)]
-            yield pd.DataFrame(rows, columns=["window", "chash", "first", "doc"]).astype("int64")
+            rows = [(a, _content_key(c[i : i + LENGTH]), h, i, d) for a, h, c, d in zip(pdf["anchor"], pdf["chash"], pdf["content"], pdf["doc"], strict=True) for i in range(len(c) - LENGTH + 1)]
+            yield pd.DataFrame(rows, columns=["anchor", "window", "chash", "first", "doc"]).astype("int64")
 
-    once = hot.groupBy("chash").agg(F.min("doc").alias("doc"), F.first("content").alias("content"))
-    windows = materialise(once.select("chash", "content", "doc").mapInPandas(run, "window long, chash long, first long, doc long"), "windows")
-    least = materialise(windows.groupBy("window").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "least-windows")
-    shared = windows.join(least, "window").select("chash", "first", F.col("first").alias("last"), "least")
+    once = hot.groupBy("anchor", "chash").agg(F.min("doc").alias("doc"), F.first("content").alias("content"))
+    windows = materialise(once.select("anchor", "chash", "content", "doc").mapInPandas(run, "anchor long, window long, chash long, first long, doc long"), "windows")
+    least = materialise(windows.groupBy("anchor", "window").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "least-windows")
+    shared = windows.join(least, ["anchor", "window"]).select("anchor", "chash", "first", F.col("first").alias("last"), "least")
     # a window of one segment may still stand in several documents of that segment
-    single = windows.join(least, "window", "left_anti").select("chash", "first", F.col("first").alias("last"), F.col("doc").alias("least"))
+    single = windows.join(least, ["anchor", "window"], "left_anti").select("anchor", "chash", "first", F.col("first").alias("last"), F.col("doc").alias("least"))
     return shared.unionByName(single)
 
 
 def removals(given: DataFrame) -> DataFrame:
     """Per document (doc, version, text) with removed bytes: doc, version and spans, stretches (start, stop) that may overlap."""
-    found = materialise(_occurrences(given, _shared_filter(given)), "occurrences", "zstd")
-    kinds = found.groupBy("chash").agg(F.min("doc").alias("doc"), F.first("anchor").alias("anchor"), F.first("size").alias("size"), F.count("*").alias("n"))
+    found = materialise(_occurrences(given, *_shared_filter(given)), "occurrences", "zstd")
+    kinds = found.groupBy("anchor", "chash").agg(F.min("doc").alias("doc"), F.first("size").alias("size"), F.count("*").alias("n"))
     kinds = materialise(kinds, "segments")
     per = materialise(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("rows")).where("rows > 1").drop("rows"), "anchors")
     # a segment alone with its anchor is equal in all its documents
-    alone = kinds.join(per.where("kinds = 1").select("anchor"), "anchor", "left_semi").select("chash", F.lit(0).cast("long").alias("first"), (F.col("size") - LENGTH).alias("last"), F.col("doc").alias("least"))
+    alone = kinds.join(per.where("kinds = 1").select("anchor"), "anchor", "left_semi").select("anchor", "chash", F.lit(0).cast("long").alias("first"), (F.col("size") - LENGTH).alias("last"), F.col("doc").alias("least"))
     contents = found.where("content is not null").select("anchor", "chash", "content", "doc")
     runs = _sorted_shards(with_ids(contents, per.where((F.col("kinds") > 1) & (F.col("kinds") <= HOT)).select("anchor"), "anchor")).unionByName(alone)
     hot = per.where(F.col("kinds") > HOT).select("anchor")
     if not hot.isEmpty():
         runs = runs.unionByName(_by_window(with_ids(contents, hot, "anchor")))
     runs = materialise(runs, "runs")
-    hit = found.select("chash", "doc", "version", "start").join(runs, "chash").where("least < doc")
+    hit = found.select("anchor", "chash", "doc", "version", "start").join(runs, ["anchor", "chash"]).where("least < doc")
     spans = hit.select("doc", "version", F.struct((F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("last") + LENGTH).alias("stop")).alias("span"))
     out = materialise(spans.groupBy("doc", "version").agg(F.collect_list("span").alias("spans")), "removals")
     for t in (found, kinds, per, runs):
