@@ -6,18 +6,24 @@ merge), whose values agree with a probability near the Jaccard similarity.
 Bands of register values give candidates; similarity is estimated jointly by
 likelihood from the registers that are larger, smaller and equal; what the
 estimate leaves is verified on the full sets (as 64-bit hashes of shingles).
-The pairs of a bucket are never made: each member is compared with the
-bucket's pivot, and only members that the pivot is not linked with are
-compared further, by the few shingles in which they differ from the pivot. Documents of equal sets form a
-class, of which only the smallest id takes part in the search.
+The pairs of a bucket are never made: each member is compared with one pivot
+first, with the pivots of its other buckets only where these are not in its
+component yet, and members that a pivot is not linked with are compared
+further by the few shingles in which they differ from it, in blocks (a family
+of size g with u of them takes u * g / BLOCK comparisons of one row with a
+block). Documents of equal sets form a class, of which one takes part in the
+search.
 
 BANDS x ROWS registers miss a pair of similarity 0.8 with a probability of
 (1 - 0.8**ROWS)**BANDS = 3e-6; a pivot's pair whose estimate lies below the
 threshold less MARGIN (six standard errors) is not linked.
 
 Defined results: documents without words have an empty set and stay alone;
-rows that repeat are in one class; an empty table gives an empty result. Only
-the id and text columns are read, so extra columns cannot clash.
+rows that repeat are in one class; rows of one id and several texts are
+documents of their own; a row with a null id is linked like any other, but its
+id is never the smallest of a component (null if all are null); an empty table
+gives an empty result. Only the id and text columns are read, so extra columns
+cannot clash.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linking
-from .common import discard, materialise
+from .common import discard, fresh, materialise
 
 BANDS = 32
 ROWS = 5
@@ -121,24 +127,31 @@ def estimate(larger: np.ndarray, smaller: np.ndarray, na: np.ndarray, nb: np.nda
     return j[np.arange(len(j)), score.argmax(1)]
 
 
+def _given(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("version")).alias("at"), text.alias("text"))
+
+
 def sketched(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n (set size), class (two longs; null for an empty set) and registers."""
+    """Per row: at (id, version), n (set size), class (two longs; null for an empty set) and registers."""
 
     def run(batches):
         hasher = Hasher(width)
         for pdf in batches:
             out = []
-            for key, text in zip(pdf["id"], pdf["text"], strict=True):
+            for key, unknown, version, text in zip(pdf["id"], pdf["unknown"], pdf["version"], pdf["text"], strict=True):
                 h = hasher(text)
                 if len(h):
                     d = xxhash.xxh3_128_digest(h.tobytes())
-                    out.append((key, len(h), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), sketch(h).tobytes()))
+                    out.append((key, unknown, version, len(h), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), sketch(h).tobytes()))
                 else:
-                    out.append((key, 0, None, None, None))
-            yield pd.DataFrame(out, columns=["id", "n", "c1", "c2", "registers"]).astype({"id": "int64", "n": "int64", "c1": "Int64", "c2": "Int64", "registers": object})
+                    out.append((key, unknown, version, 0, None, None, None))
+            yield pd.DataFrame(out, columns=["id", "unknown", "version", "n", "c1", "c2", "registers"]).astype({"id": "int64", "unknown": bool, "version": "int64", "n": "int64", "c1": "Int64", "c2": "Int64", "registers": object})
 
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInPandas(run, "id long, n long, c1 long, c2 long, registers binary")
+    # ids travel without nulls, which would make them floating-point numbers
+    given = _given(docs, id_col, text_col).select(F.coalesce("at.id", F.lit(0).cast("long")).alias("id"), F.col("at.id").isNull().alias("unknown"), "at.version", "text")
+    found = given.mapInPandas(run, "id long, unknown boolean, version long, n long, c1 long, c2 long, registers binary")
+    return found.select(F.struct(F.when(~F.col("unknown"), F.col("id")).alias("id"), "version").alias("at"), "n", "c1", "c2", "registers")
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -262,40 +275,61 @@ def _compared(members: DataFrame, percent: int) -> DataFrame:
     return dealt.sortWithinPartitions("pivot", "block", "outer", "id").mapInPandas(run, "a long, b long")
 
 
-def components(docs: DataFrame, width: int = 5, percent: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_shingles, component_id (smallest id reachable)."""
+def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row: at (id, version), n and label, that of its component (null for an empty set)."""
     rows = materialise(sketched(docs, width, id_col, text_col), "sketches")
-    # one row for each class of equal sets: its smallest id
-    classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("registers").alias("registers"))
+    # one row for each class of equal sets, named by its hash: the smallest of its documents
+    classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("registers").alias("registers")).withColumn("id", F.col("c1"))
     classes = materialise(classes, "classes")
-    # the smallest id of each bucket is its pivot; whoever shares a bucket is in one family with its pivot
+    # the smallest name of each bucket is its pivot; whoever shares a bucket is in one family with its pivot
     bands = materialise(banded(classes), "bands")
     pivots = materialise(bands.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "pivots")
     family = materialise(bands.join(pivots, "key").where("id <> pivot").select("pivot", "id").distinct(), "family")
     ids = materialise(family.select("id").union(family.select("pivot")).distinct(), "ids")
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     n = ids.count()
-    involved = materialise(linking.with_ids(given, ids, "id", rows=n).dropDuplicates(["id"]).join(linking.with_ids(classes, ids, "id", rows=n), "id"), "involved")
+    known = linking.with_ids(classes, ids, "id", rows=n)
+    spots = known.select("at", "id")
+    text = _given(docs, id_col, text_col).join(F.broadcast(spots) if n <= linking.BROADCAST_ROWS // 3 else spots, "at").dropDuplicates(["id"]).select("id", "text")
+    involved = materialise(text.join(known.select("id", "n", "registers"), "id"), "involved")
     side = lambda c, k: involved.select(F.col("id").alias(k), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"), F.col("text").alias(f"t{c}"))
-    members = materialise(_starred(family.join(side("x", "id"), "id").join(side("p", "pivot"), "pivot"), width, percent), "members")
-    links = materialise(members.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b")).union(_compared(members, percent)), "near-links")
-    for t in (bands, pivots, family, ids, involved, members):
+    star = lambda pairs: _starred(pairs.join(side("x", "id"), "id").join(side("p", "pivot"), "pivot"), width, percent)
+    # each member with one pivot first; then only families that are not in one component
+    first = materialise(star(family.groupBy("id").agg(F.min("pivot").alias("pivot"))), "members")
+    joined = lambda df: df.where("linked").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    labels = materialise(linking.connected_components(joined(first)), "near-labels")
+    name = lambda k: labels.select(F.col("id").alias(k), F.col("component").alias(f"c{k}"))
+    parts = family.join(name("id"), "id", "left").join(name("pivot"), "pivot", "left").where(F.coalesce("cid", "id") != F.coalesce("cpivot", "pivot"))
+    open_ = materialise(parts.select("pivot").distinct(), "open-families")
+    left = family.join(open_, "pivot", "left_semi").join(first.select("pivot", "id"), ["pivot", "id"], "left_anti")
+    members = materialise(star(left).unionByName(first.join(open_, "pivot", "left_semi")), "members")
+    links = materialise(joined(first).union(joined(members)).union(_compared(members, percent)).distinct(), "near-links")
+    names = materialise(linking.connected_components(links), "near-components")
+    labelled = rows.select("at", "n", F.col("c1").alias("id")).join(names, "id", "left").select("at", "n", F.coalesce("component", "id").alias("label"))
+    labelled = materialise(labelled, "labelled")
+    for t in (rows, classes, bands, pivots, family, ids, involved, first, labels, open_, members, links, names):
         discard(t)
-    found = classes.select("c1", "c2", F.col("id").alias("rep"))
-    if links.isEmpty():
-        found = found.withColumnRenamed("rep", "component")
-    else:
-        labels = linking.connected_components(links).select(F.col("id").alias("rep"), "component")
-        found = found.join(labels, "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
-    found = materialise(found, "class-components")
-    return rows.select("id", "n", "c1", "c2").join(found, ["c1", "c2"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return labelled
+
+
+def components(docs: DataFrame, width: int = 5, percent: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_shingles, component_id (smallest id reachable)."""
+    rows = _labelled(docs, width, percent, id_col, text_col)
+    least = materialise(rows.where("label is not null").groupBy("label").agg(F.min("at.id").alias("least"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "near-least")
+    n = least.count()
+    found = rows.join(F.broadcast(least) if n <= linking.BROADCAST_ROWS // 3 else least, "label", "left")
+    return found.select("at.id", F.col("n").alias("n_shingles"), F.coalesce("least", "at.id").alias("component_id"))
 
 
 def filter_documents(docs: DataFrame, width: int = 5, percent: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, that of the smallest id, with all its columns."""
-    gone = materialise(components(docs, width, percent, id_col, text_col).where("id <> component_id").select(F.col("id").alias(id_col)).distinct(), "near-copies")
-    kept = linking.with_ids(docs, gone, id_col, "left_anti")
-    again = materialise(docs.groupBy(id_col).agg(F.count("*").alias("rows")).where("rows > 1").select(id_col), "repeated-ids")
+    """One document of each group, that of the smallest id (a null id is the least), with all its columns; of rows that repeat, one."""
+    rows = _labelled(docs, width, percent, id_col, text_col)
+    stays = rows.where("label is not null").groupBy("label").agg(F.min("at").alias("stays"), F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    gone = materialise(rows.join(stays, "label").where("at <> stays").select("at").distinct(), "near-copies")
+    again = materialise(rows.groupBy("at").agg(F.count("*").alias("rows")).where("rows > 1").select("at"), "repeated-rows")
+    key = fresh(docs, "at")
+    keyed = docs.withColumn(key, F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("version")))
+    name = lambda df: df.withColumnRenamed("at", key)
+    kept = linking.with_ids(keyed, name(gone), key, "left_anti")
     if again.isEmpty():
-        return kept
-    return linking.with_ids(kept, again, id_col, "left_anti").unionByName(linking.with_ids(kept, again, id_col).dropDuplicates([id_col]))
+        return kept.drop(key)
+    return linking.with_ids(kept, name(again), key, "left_anti").unionByName(linking.with_ids(kept, name(again), key).dropDuplicates([key])).drop(key)
