@@ -42,6 +42,8 @@ AS_LETTER, INSERTED, REPEATED = -1.0, -6.0, -0.5
 DIGIT_INSERTED = -14.0
 #: Two separators where a word goes on; between words, one or two are free.
 WIDE_GAP = -4.0
+#: Signs that hide a letter, any of them, up to HIDDEN in a row.
+MASKS, MASKED, HIDDEN = "*#%", -2.0, 3
 
 SYMBOLS = 28  # 0: boundary, 1-26: a-z, 27: any other letter
 _CLASS = np.zeros(256, np.uint8)
@@ -50,10 +52,19 @@ _CLASS[65:91] = np.arange(1, 27)
 _CLASS[128:256] = 27
 
 
+def text_trigrams(texts: list[bytes]) -> np.ndarray:
+    """Counts of the letter trigrams of each text with its edges, by code; bytes of one character beyond ASCII count as other letters."""
+    raw = b"".join(b"  " + t + b" " for t in texts)
+    c = _CLASS[np.frombuffer(raw, np.uint8)].astype(np.int32)
+    codes = c[:-2] * (SYMBOLS * SYMBOLS) + c[1:-1] * SYMBOLS + c[2:]
+    ends = np.cumsum([len(t) + 3 for t in texts])[:-1]
+    own = np.ones(len(codes), bool)
+    own[np.concatenate([ends - 2, ends - 1])] = False  # windows over two texts
+    return np.bincount(codes[own], minlength=SYMBOLS**3)
+
+
 def trigram_counts(raw: bytes) -> np.ndarray:
-    """Counts of letter trigrams, by code; bytes of one character beyond ASCII count as other letters."""
-    c = _CLASS[np.frombuffer(b"  " + raw + b" ", np.uint8)].astype(np.int32)
-    return np.bincount(c[:-2] * (SYMBOLS * SYMBOLS) + c[1:-1] * SYMBOLS + c[2:], minlength=SYMBOLS**3)
+    return text_trigrams([raw])
 
 
 def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -62,9 +73,16 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     def count(batches):
         total = np.zeros(SYMBOLS**3, np.int64)
         for pdf in batches:
-            joined = "  ".join(t for t in pdf["text"] if t).encode()
-            for at in range(0, len(joined), 1 << 22):
-                total += trigram_counts(joined[at : at + (1 << 22)])
+            some, size = [], 0
+            for t in pdf["text"]:
+                if t:
+                    some.append(t.encode())
+                    size += len(some[-1])
+                if size > 1 << 22:
+                    total += text_trigrams(some)
+                    some, size = [], 0
+            if some:
+                total += text_trigrams(some)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"gram": at, "n": total[at]})
 
@@ -99,10 +117,10 @@ def _options(ch: str, n: int) -> list[tuple[str, float]]:
     return options
 
 
-def _search(lattice: list[list[tuple[str, float]]], model: np.ndarray) -> str:
+def _search(options_of: list[list[tuple[str, float]]], model: np.ndarray) -> str:
     """The likeliest way through a lattice; a space in it is the end of a word."""
     best = {(0, 0): (0.0, "")}
-    for options in lattice:
+    for options in options_of:
         new: dict = {}
         for (a, b), (cost, text) in best.items():
             for letters, price in options:
@@ -118,25 +136,41 @@ def _search(lattice: list[list[tuple[str, float]]], model: np.ndarray) -> str:
     return end[1]
 
 
+def lattice(token: str) -> list[list[tuple[str, float]]]:
+    """What each run of equal signs in a lower-case token may stand for."""
+    out = []
+    for run, ch in re.findall(r"((.)\2*)", token, re.S):
+        if ch in MASKS and len(run) <= HIDDEN:
+            out += [[("", INSERTED), *((c, MASKED) for c in "abcdefghijklmnopqrstuvwxyz")]] * len(run)
+        else:
+            out.append(_options(ch, len(run)))
+    return out
+
+
 def decode(token: str, model: np.ndarray) -> str:
     """The likeliest letters behind a lower-case token.
 
     Letters stand for themselves; a run of three or more may be one or two;
-    signs stand for the letters they look like or were inserted.
+    signs stand for the letters they look like, hide one or were inserted.
     """
-    return _search([_options(ch, len(run)) for run, ch in re.findall(r"((.)\2*)", token, re.S)], model)
+    return _search(lattice(token), model)
 
 
 def segment(stretch: str, model: np.ndarray) -> list[str]:
     """The likeliest words behind lower-case signs spaced apart."""
-    lattice: list = []
+    return _search(spaced_lattice(stretch), model).split()
+
+
+def spaced_lattice(stretch: str) -> list[list[tuple[str, float]]]:
+    """The options of signs spaced apart; between two of them a word may end."""
+    out: list = []
     for run, _, _ in re.findall(r"((?:[ .\-_*]*([^ .\-_*]))(?:[ .\-_*]\2){2,}|[ .\-_*]*([^ .\-_*]))", stretch):
         gap = len(run) - len(run.lstrip(" .-_*"))
         signs = re.sub(r"[ .\-_*]", "", run)
-        if lattice:
-            lattice.append([(" ", 0.0), ("", WIDE_GAP if gap > 1 else 0.0)])
-        lattice.append(_options(signs[0], len(signs)))
-    return _search(lattice, model).split()
+        if out:
+            out.append([(" ", 0.0), ("", WIDE_GAP if gap > 1 else 0.0)])
+        out.append(_options(signs[0], len(signs)))
+    return out
 
 
 _STRIP = "\"'.,;:?()[]{}<>#*%&_-~^/\\"
@@ -145,6 +179,7 @@ _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])(?:[ .\-_*]{1,2}(?:[^\W_]|[@
 _ODD = re.compile(r"[^\W\d_]")
 _RUN = re.compile(r"(.)\1\1")
 _RUNS = re.compile(r"(.)\1{2,}")
+_SIGNS = LOOKS.keys() | set(MASKS)
 #: Once their runs are cut short, longer tokens are looked at as identifiers.
 LONG_TOKEN = 24
 
@@ -168,7 +203,7 @@ class Restorer:
         if w.isalpha() and not _RUN.search(w):
             return w
         # without a letter it is a number or a mark
-        if identifier(w) or len(_ODD.findall(w)) < 1 or not (set(w) & LOOKS.keys() or _RUN.search(w)):
+        if identifier(w) or len(_ODD.findall(w)) < 1 or not (set(w) & _SIGNS or _RUN.search(w)):
             return "".join(c for c in w if c.isalpha())
         return decode(w, self.model)
 
