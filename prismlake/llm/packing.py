@@ -6,7 +6,8 @@ are placed longest first and packing-pattern counts are updated. Patterns are
 then joined back to the pieces by their rank within their length.
 
 Defined results: a null or empty text is the end token alone; rows that repeat
-are packed each on their own; an empty table gives no piece. Only the id and
+are packed each on their own, also those with a null id, which stays null; an
+empty table gives no piece. Only the id and
 text columns are read, so extra columns cannot clash.
 """
 
@@ -86,13 +87,15 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
         enc = encoder(folder)
         for pdf in batches:
             out = []
-            for key, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for key, known, text in zip(pdf["doc_id"], pdf["known"], pdf["text"], strict=True):
                 ids = enc.ids(text or "")
-                out += [(key, s, len(p), zlib.crc32(p.tobytes()), len(ids)) for s in range(0, len(ids), size) for p in (ids[s : s + size],)]
-            yield pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype("int64")
+                out += [(key, known, s, len(p), zlib.crc32(p.tobytes()), len(ids)) for s in range(0, len(ids), size) for p in (ids[s : s + size],)]
+            yield pd.DataFrame(out, columns=["doc_id", "known", "start", "length", "ids_crc32", "doc_tokens"]).astype("int64")
 
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return given.mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    # ids travel without nulls, which would make them floating-point numbers
+    key = F.col(id_col).cast("long")
+    given = docs.select(F.coalesce(key, F.lit(0).cast("long")).alias("doc_id"), key.isNotNull().alias("known"), F.col(text_col).cast("string").alias("text"))
+    return given.mapInPandas(cut, "doc_id long, known long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
@@ -152,7 +155,7 @@ def ranked(cut: DataFrame) -> DataFrame:
     """Ranks within each length, counted in blocks so that one frequent length is no single task."""
     n = cut.count()
     blocks = max(partitions(cut.sparkSession), n // BLOCK_ROWS)
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "start"), F.lit(blocks)).cast("int"))
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)).cast("int"))
     counts = cut.groupBy("length", "block").agg(F.count("*").alias("rows"))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
@@ -174,9 +177,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
             for n, rows in pdf.groupby("length").indices.items():
                 a, b = np.searchsorted(length, [n, n + 1])
                 at[rows] = a + np.searchsorted(low[a:b], pdf["rank"].to_numpy()[rows], "right") - 1
-            yield pdf.assign(sequence_id=first[at] + pdf["rank"].to_numpy() - low[at], offset=offset[at])[OUT]
+            yield pdf.assign(sequence_id=first[at] + pdf["rank"].to_numpy() - low[at], offset=offset[at])[[*OUT, "known"]]
 
-    return ranked(cut).mapInPandas(place, ", ".join(f"{c} long" for c in OUT))
+    placed = ranked(cut).mapInPandas(place, ", ".join(f"{c} long" for c in [*OUT, "known"]))
+    return placed.withColumn("doc_id", F.when(F.col("known") == 1, F.col("doc_id"))).select(*OUT)
 
 
 OUT = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
