@@ -112,5 +112,6 @@ def probabilities(docs: DataFrame, targets: dict | None = None, keep: float = KE
 
 def sample(docs: DataFrame, targets: dict | None = None, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The sampled documents with all their columns."""
-    given = described(docs, id_col, text_col)
+    # whole texts are tokenised once: their rows go on with tokens and cell
+    given = materialise(described(docs, id_col, text_col), "mix-rows", "zstd")
     return weighted(given, given.drop("row"), targets, keep).where("kept").select("row.*")
