@@ -120,8 +120,9 @@ def held_out(id_col: Column) -> Column:
 def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
     """(text, target) of at most ``rows`` labelled rows outside the held-out fold, drawn by hash from all of them."""
     given = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    drawn = given.select(F.col(id_col).alias("key"), F.col(label_col).cast("double").alias("target")).orderBy(F.xxhash64("key"), "key").limit(rows)
-    drawn = materialise(drawn.dropDuplicates(["key"]), "drawn")  # at most `rows` ids
+    # of several labels of one id the greatest counts
+    each = given.groupBy(F.col(id_col).alias("key")).agg(F.max(F.col(label_col).cast("double")).alias("target"))
+    drawn = materialise(each.orderBy(F.xxhash64("key"), "key").limit(rows), "drawn")  # at most `rows` ids
     return docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "key")
 
 
