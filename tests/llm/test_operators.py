@@ -88,6 +88,37 @@ def test_forest_isolates_outliers():
     assert s[:20].min() > np.quantile(s[20:], 0.99)
 
 
+def test_path_lengths_by_hand():
+    """Each point walked down each tree on its own."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (700, 3)).round(1)
+    forest = quality_rules.grow(x, trees=20, subsample=64)
+
+    def expected(n):
+        return 0 if n < 2 else 1 if n == 2 else 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n
+
+    def walk(points, at, depth):
+        """Leaf lengths by splitting the tree's own points again."""
+        f = forest.feature[at]
+        if f < 0:
+            assert forest.length[at] == pytest.approx(depth + expected(len(points)))
+            return 1
+        go = points[:, f] >= forest.value[at]
+        assert go.any() and not go.all()
+        return walk(points[~go], forest.left[at], depth + 1) + walk(points[go], forest.left[at] + 1, depth + 1)
+
+    for t, root in enumerate(forest.roots):
+        assert walk(x[t::20][:64], root, 0) > 1
+    for p in x[:40]:
+        total = 0
+        for root in forest.roots:
+            at = root
+            while forest.feature[at] >= 0:
+                at = forest.left[at] + int(p[forest.feature[at]] >= forest.value[at])
+            total += forest.length[at]
+        assert forest.score(p[None])[0] == pytest.approx(2 ** (-total / len(forest.roots) / max(expected(35), 1)))
+
+
 # ------------------------------------------------------------- 2
 
 
@@ -135,6 +166,17 @@ def test_near_dedup(docs, texts, clashing, empty, width):
         assert near_dedup.components(empty).count() == 0
 
 
+def test_near_dedup_of_null_and_repeated_ids(spark):
+    same, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"x{i}" for i in range(60))
+    near = same.replace("w30", "new")
+    df = spark.createDataFrame([(None, same, 1), (5, same, 2), (5, other, 3), (7, near, 4), (8, None, 5), (None, "", 6), (9, other, 7), (9, other, 8), (2**60 + 1, "no copy of this one here", 9)], "doc_id long, text string, at long")
+    kept = sorted(near_dedup.filter_documents(df).collect(), key=lambda r: r.at)
+    assert [r.at for r in kept if r.at not in (7, 8)] == [1, 3, 5, 6, 9] and not any(r.at in (7, 8) for r in kept)
+    assert kept[-1].doc_id == 2**60 + 1
+    got = near_dedup.components(df).collect()
+    assert Counter((r.id, r.component_id) for r in got) == Counter([(None, 5), (5, 5), (5, 5), (7, 5), (8, 8), (None, None), (9, 5), (9, 5), (2**60 + 1, 2**60 + 1)])
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(3)
     hasher = near_dedup.Hasher(1)
@@ -225,14 +267,14 @@ def test_lines_of_null_and_short(spark):
 def test_simhash_is_the_majority_of_bits(spark):
     rng = np.random.default_rng(5)
     given = [rng.integers(-(2**63), 2**63, n).tolist() for n in (1, 2, 7, 127, 128, 1000)]
-    got = spark.createDataFrame(list(enumerate(given)), "i int, h array<bigint>").select("i", line_dedup.simhash(F.col("h")).alias("s")).collect()
-    for r in got:
+    got = spark.createDataFrame(list(enumerate(given)), "i int, h array<bigint>")
+    for r in line_dedup.with_simhash(got, "h", "s").collect():
         h = np.array(given[r.i])
         want = sum(1 << k for k in range(64) if 2 * int(((h >> k) & 1).sum()) > len(h))
         assert r.s & (2**64 - 1) == want
 
 
-@pytest.mark.parametrize("fan", [16, 2])
+@pytest.mark.parametrize("fan", [2])
 def test_large_blocks_of_strangers(spark, monkeypatch, fan):
     """Lines that share a template of half their words, and pairs of them that are alike."""
     monkeypatch.setattr(line_dedup, "FAN", fan)
@@ -269,7 +311,7 @@ def test_fuzzy_lines_are_linked(spark):
     assert {r.doc_id: r._lines_removed for r in line_dedup.dedup(df).collect()} == {1: 0, 2: 1, 3: 0}
 
 
-@pytest.mark.parametrize("length", [(5, 6, 7), (8, 10, 13), (16, 20, 30), (40, 100)])
+@pytest.mark.parametrize("length", [(5, 6, 7, 8, 10, 13), (16, 20, 30, 40, 100)])
 def test_recall_with_a_fifth_of_the_words_replaced(spark, length):
     rng = np.random.default_rng(11)
     make = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10)))
@@ -384,6 +426,13 @@ def test_added_tokens_get_their_ids(spark):
     assert got[1].doc_tokens == 5 and got[1].ids_crc32 == zlib.crc32(np.array([64, 220, 50256, 275, 1], "<u4").tobytes())
 
 
+def test_packing_of_null_and_large_ids(spark):
+    df = spark.createDataFrame([(None, "a b"), (None, "a b"), (2**60 + 1, "a b"), (3, None)], "doc_id long, text string")
+    got = packing.pack(df).collect()
+    assert Counter(r.doc_id for r in got) == Counter([None, None, 2**60 + 1, 3])
+    assert len({(r.sequence_id, r.offset) for r in got}) == 4
+
+
 def test_shortest_pack_first():
     rng = np.random.default_rng(4)
     histogram = {int(n): int(rng.integers(1, 400)) for n in rng.choice(np.arange(1, 2049), 300, replace=False)}
@@ -445,12 +494,42 @@ def test_deobfuscation():
     for _ in range(30):
         n += toxicity.trigram_counts(b"the idiot said that the moron and the loser are stupid people in this house of worthless trash")
     r = toxicity.Restorer(toxicity.smoothed(n))
-    for obfuscated, plain in {"1d10t": "idiot", "m0r0n!!": "moron", "idiiiiot": "idiot", "st*pid": "stpid", "tr@sh.": "trash", "the###": "the", "l0ser": "loser"}.items():
+    for obfuscated, plain in {"1d10t": "idiot", "m0r0n!!": "moron", "idiiiiot": "idiot", "st*pid": "stupid", "i##ot": "idiot", "tr@sh.": "trash", "the###": "the", "l0ser": "loser"}.items():
         assert r.token(obfuscated) == plain
     assert "stupid" in r.words("s t u p i d people") and "idiot" in r.words("i.d.i.o.t")
     assert r.words(None) == set() and r.words("") == set()
 
 
+def test_decoding_finds_the_best_of_all_paths():
+    from itertools import product
+
+    n = toxicity.trigram_counts(b"the idiot said that you are the moron and the loser are stupid people in this house of worthless trash") * 30.0
+    model = toxicity.smoothed(n)
+
+    def cost(way):
+        x = y = 0
+        total = sum(price for _, price in way)
+        for c in "".join(letters for letters, _ in way):
+            k = toxicity._code(c)
+            total += model[x, y, k]
+            x, y = y, k
+        return total + model[x, y, 0]
+
+    lattices = [toxicity.lattice(t) for t in ("1d10t", "m0r0n", "tr@5h", "l0$er", "iiidiot", "7h3", "st*pid", "a", "|d|0t", "you!!!1")] + [toxicity.spaced_lattice(t) for t in ("y o u", "i.d.1.o", "a r e  y o u", "7 h e")]
+    for ways in lattices:
+        every = sorted(((cost(w), "".join(x for x, _ in w)) for w in product(*ways)), reverse=True)
+        found = toxicity._search(ways, model)
+        assert any(text == found and c == pytest.approx(every[0][0]) for c, text in every)
+
+
+def test_trigrams_do_not_depend_on_the_batches(spark):
+    given = ["ab  c", "x", "", "déjà vu", None, "a" * 500]
+    one = spark.createDataFrame([(t,) for t in given], "text string")
+    want = sum(toxicity.trigram_counts(t.encode()) for t in given if t)
+    for parts in (1, 5):
+        assert np.allclose(toxicity.language_model(one.repartition(parts)), toxicity.smoothed(want.astype(float)))
+
+
 def test_long_and_spaced_tokens():
     n = np.zeros(toxicity.SYMBOLS**3)
     for _ in range(30):
@@ -524,6 +603,56 @@ def test_licences_of_frequent_words(spark):
     assert set(rows(licenses.scan(df))[0].labels.split(",")) == {k for k, _, _ in licenses.TEMPLATES}
 
 
+def brute_licences(text):
+    """Every template at every place of the text."""
+    import re
+
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+    found, best = set(), 0
+    for label, notice, keys in licenses.TEMPLATES:
+        own, need = notice.split(), licenses.needed_places(notice, keys)
+        for at in range(-len(own), len(w)):
+            got = {i for i, x in enumerate(own) if 0 <= at + i < len(w) and w[at + i] == x}
+            if set(need) <= got and len(got) >= licenses.LEAST * len(own):
+                found.add(label)
+                best = max(best, round(len(got) / len(own), 6))
+    return found, best
+
+
+def test_licence_places_against_every_place(spark):
+    rng = np.random.default_rng(12)
+    given = []
+    for _, notice, _ in licenses.TEMPLATES:
+        for lost in (0, 1, 3, 6):
+            w = notice.split()
+            for _ in range(lost):
+                if len(w) > 1:
+                    w[rng.integers(len(w))] = "other"
+            given.append("before it " + " ".join(w) + " after it")
+            given.append(" ".join(w[: len(w) // 2] + ["inserted"] + w[len(w) // 2 :]))
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    got = rows(licenses.scan(df))
+    for i, t in enumerate(given):
+        found, best = brute_licences(t)
+        base = set(filter(None, got[i].base_labels.split(",")))
+        assert set(filter(None, got[i].labels.split(","))) == found | base, t
+        assert got[i].score == (1.0 if base else best)
+
+
+def test_licences_by_sql(spark, texts, tmp_path):
+    import duckdb
+
+    from prismlake.llm import oracles
+
+    given = [*texts, *(f"x {n} y" for _, n, _ in licenses.TEMPLATES), "all all rights reserved rights reserved", "cc by by cc by"]
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    want = {r[0]: r[1:] for r in con.sql(f"SELECT doc_id, n_words, n_base, first_word, last_word, base_labels, labels, round(score, 6) FROM ({oracles.licence_scan()})").fetchall()}
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, round(r.score, 6)) for r in licenses.scan(df).collect()}
+    assert got == want
+
+
 # ------------------------------------------------------------- 10
 
 
