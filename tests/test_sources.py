@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismlake.operators import catalog, compare, descriptor, formats, validate
-from prismlake.sources import container, datasource, legacy, pnm
+from prismlake.sources import container, datasource, either, legacy, pnm
 from prismlake.streaming import incoming
 
 RGBA = container.basic_descriptor([(8 * i, 8, (0, 1, 2, 15)[i], 0, 0, 255) for i in range(4)], transfer=1, planes=(4, *[0] * 7))
@@ -190,3 +190,17 @@ def test_descriptors_of_built_files(spark):
     assert ("bad", "SampleCountMismatch") in got and ("bad", "BasicNotSRGBMismatch") in got and not any(p == "good" for p, _ in got)
     one = lambda p: files.where(F.col("path") == p).withColumn("texture_id", F.lit(1))
     assert {(r.sample, r.path) for r in descriptor.differences(one("good"), one("bad")).collect()} == {(None, "transfer"), (None, "planes"), *((3, f) for f in ("bit_offset", "bit_length", "channel", "qualifiers", "lower", "upper"))}
+
+
+def test_both_versions_and_rewriting(spark):
+    files = spark.createDataFrame([("two", made(container.ZSTD)), ("one", version1()), ("none", b"x"), ("short", container.IDENTIFIER_V1), ("nothing", None)], "path string, content binary")
+    rows = {r.path: r for r in either.parsed(files).collect()}
+    assert {k: (r.status, r.version) for k, r in rows.items() if k in ("one", "two")} == {"one": ("ok", 1), "two": ("ok", 2)}
+    assert all(rows[k].status != "ok" for k in ("none", "short", "nothing"))
+    assert [bytes(b) for b in rows["two"].level_bytes] == LEVELS and rows["one"].vk_format == 37
+    again = container.parsed(either.rewritten(either.parsed(files), container.ZLIB))
+    back = {r.path: r for r in again.collect()}
+    assert {k: r.status for k, r in back.items()} == {"one": "ok", "two": "ok"}
+    assert [bytes(x.bytes) for x in back["two"].level_index] == LEVELS and [bytes(x.bytes) for x in back["one"].level_index] == [bytes(range(16))]
+    assert {m.key: bytes(m.value) for m in back["two"].metadata} == META
+    assert descriptor.issues(again.withColumn("gltf", F.lit(False)), "path").count() == 0
