@@ -5,8 +5,9 @@
 1. Winnowing: every LENGTH-byte window of a document selects one GRAM-byte
    anchor that depends on the window's bytes alone. Equal windows thus select
    equal anchors; anchors seen once in the corpus need no further look. A
-   filter thins anchors out before the shuffle: eight bits or more for each
-   shared anchor, 2 ** MOST_BITS at most; its false positives only cost time.
+   filter of eight bits or more for each shared anchor thins segments out
+   before the shuffle (its false positives only cost time); where it would have
+   more than 2 ** MOST_BITS bits, a shuffled semi-join does.
 2. The stretch of bytes whose windows select one anchor is a segment. Equal
    segments are counted once, with their smallest document.
 3. The distinct segments of an anchor are sorted in shards by induced sorting:
@@ -18,7 +19,8 @@
    holds it whole.
 4. What lies in windows of smaller documents is joined back and removed.
 
-Defined results: null and empty texts have no bytes and lose none; texts of
+Defined results: a document with a null id neither loses bytes nor takes any
+from others; null and empty texts have no bytes and lose none; texts of
 fewer than LENGTH bytes lose none; rows that repeat with one id do not take
 from each other; equal texts of larger ids go whole if long enough; an empty
 table gives an empty result. Only id and text are read.
@@ -332,8 +334,8 @@ def _with_copies(given: DataFrame) -> DataFrame:
     return marked.select("doc", "version", "text", F.coalesce(F.col("least") < F.col("doc"), F.lit(False)).alias("copy"))
 
 
-def _shared_filter(given: DataFrame):
-    """A bitmap, and its size as a power of two, that has the anchors found in two or more rows."""
+def _shared_anchors(given: DataFrame) -> DataFrame:
+    """Keys of the anchors found in two or more rows."""
 
     def anchors(batches):
         for pdf in batches:
@@ -350,6 +352,19 @@ def _shared_filter(given: DataFrame):
                 key, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pd.DataFrame({"key": key.view(np.int64), "n": np.minimum(n, 2).astype(np.int8)})
 
+    keys = given.select("text").mapInPandas(anchors, "key long, n byte")
+    return keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+
+
+def _filter_bits(given: DataFrame) -> int:
+    """Size of the filter as a power of two; an anchor comes about every REACH / 2 bytes, and a shared one twice or more."""
+    size = given.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    return max(int(np.ceil(np.log2(8 * (size / REACH + 1)))), LEAST_BITS)
+
+
+def _filter(shared: DataFrame, bits: int):
+    """A broadcast bitmap of the keys."""
+
     def chunks(batches):
         have: dict[int, np.ndarray] = {}
         for pdf in batches:
@@ -362,31 +377,29 @@ def _shared_filter(given: DataFrame):
         if have:
             yield pd.DataFrame({"chunk": list(have), "bits": [b.tobytes() for b in have.values()]})
 
-    keys = given.select("text").mapInPandas(anchors, "key long, n byte")
-    shared = materialise(keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "shared-anchors")
-    bits = int(np.clip(np.ceil(np.log2(8 * max(shared.count(), 1))), LEAST_BITS, MOST_BITS))
     dealt = shared.repartition(F.shiftrightunsigned("key", 64 - bits + CHUNK_BITS))
     bitmap = np.zeros(1 << (bits - 3), np.uint8)
     for r in dealt.mapInPandas(chunks, "chunk int, bits binary").toLocalIterator():
         bitmap[r["chunk"] << (CHUNK_BITS - 3) : (r["chunk"] + 1) << (CHUNK_BITS - 3)] |= np.frombuffer(r["bits"], np.uint8)
-    discard(shared)
-    return given.sparkSession.sparkContext.broadcast(bitmap), bits
+    return shared.sparkSession.sparkContext.broadcast(bitmap)
 
 
 def _content_key(content: bytes) -> int:
     return xxhash.xxh3_64_intdigest(content) - (1 << 63)
 
 
-def _occurrences(given: DataFrame, shared, bits: int) -> DataFrame:
+def _occurrences(given: DataFrame, shared=None, bits: int = 0) -> DataFrame:
     """Segments of shared anchors: chash (of their bytes), doc, version, start, size, anchor; bytes for the first of a batch only.
 
+    Without a filter all segments, without their bytes.
+
     A segment's bytes determine its anchor; anchor and hash of the bytes, 128
     bits, name it.
     """
 
     def run(batches):
-        bitmap = shared.value
-        shift, three, seven = np.uint64(64 - bits), np.uint64(3), np.uint64(7)
+        bitmap = shared.value if shared else None
+        shift, three, seven = np.uint64(64 - bits if bits else 0), np.uint64(3), np.uint64(7)
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -394,8 +407,10 @@ def _occurrences(given: DataFrame, shared, bits: int) -> DataFrame:
             ids, versions, sent = pdf["doc"].to_numpy(), pdf["version"].to_numpy(), set()
             for at, raw, ends in _joined(_encode(pdf["text"])):
                 key, lo, hi = segments(raw, ends)
-                bit = key >> shift
-                hit = (bitmap[bit >> three] >> (bit & seven).astype(np.uint8)) & 1 > 0
+                hit = np.ones(len(key), bool)
+                if bitmap is not None:
+                    bit = key >> shift
+                    hit = (bitmap[bit >> three] >> (bit & seven).astype(np.uint8)) & 1 > 0
                 key, lo, hi = key[hit].view(np.int64), lo[hit], hi[hit] + LENGTH
                 if not len(key):
                     continue
@@ -404,7 +419,7 @@ def _occurrences(given: DataFrame, shared, bits: int) -> DataFrame:
                 contents = [raw[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
                 hashes = [_content_key(c) for c in contents]
                 for i, name in enumerate(zip(key.tolist(), hashes, strict=True)):
-                    if name in sent:
+                    if name in sent or bitmap is None:
                         contents[i] = None
                     else:
                         sent.add(name)
@@ -413,6 +428,21 @@ def _occurrences(given: DataFrame, shared, bits: int) -> DataFrame:
     return given.select("doc", "version", "text").mapInPandas(run, "chash long, doc long, version long, start long, size long, anchor long, content binary")
 
 
+def _contents(given: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The bytes of each segment, from its first document: anchor, chash, content, doc."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for doc, text, spots in zip(pdf["doc"], pdf["text"], pdf["spots"], strict=True):
+                raw = text.encode()
+                rows += [(s["anchor"], s["chash"], raw[s["start"] : s["start"] + s["size"]], doc) for s in spots]
+            yield pd.DataFrame(rows, columns=["anchor", "chash", "content", "doc"])
+
+    spots = kinds.groupBy("at.doc", "at.version").agg(F.collect_list(F.struct("anchor", "chash", "at.start", "size")).alias("spots"))
+    return given.join(spots, ["doc", "version"]).select("doc", "text", "spots").mapInPandas(run, "anchor long, chash long, content binary, doc long")
+
+
 def _sorted_shards(mixed: DataFrame) -> DataFrame:
     """Runs of windows with their smallest documents, by induced sorting of shards that hold whole anchors."""
 
@@ -468,13 +498,23 @@ def _by_window(hot: DataFrame) -> DataFrame:
 
 def removals(given: DataFrame) -> DataFrame:
     """Per document (doc, version, text) with removed bytes: doc, version and spans, stretches (start, stop) that may overlap."""
-    found = materialise(_occurrences(given, *_shared_filter(given)), "occurrences", "zstd")
-    kinds = found.groupBy("anchor", "chash").agg(F.min("doc").alias("doc"), F.first("size").alias("size"), F.count("*").alias("n"))
+    shared, bits = _shared_anchors(given), _filter_bits(given)
+    if bits <= MOST_BITS:
+        found = _occurrences(given, _filter(shared, bits), bits)
+    else:
+        # too many for a filter: all segments meet the shared anchors in a shuffle, and their bytes are fetched later
+        found = _occurrences(given).join(shared.withColumnRenamed("key", "anchor"), "anchor", "left_semi")
+    found = materialise(found, "occurrences", "zstd")
+    first = F.min(F.struct("doc", "version", "start")).alias("at")
+    kinds = found.groupBy("anchor", "chash").agg(F.min("doc").alias("doc"), *([first] if bits > MOST_BITS else []), F.first("size").alias("size"), F.count("*").alias("n"))
     kinds = materialise(kinds, "segments")
     per = materialise(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("rows")).where("rows > 1").drop("rows"), "anchors")
     # a segment alone with its anchor is equal in all its documents
     alone = kinds.join(per.where("kinds = 1").select("anchor"), "anchor", "left_semi").select("anchor", "chash", F.lit(0).cast("long").alias("first"), (F.col("size") - LENGTH).alias("last"), F.col("doc").alias("least"))
-    contents = found.where("content is not null").select("anchor", "chash", "content", "doc")
+    if bits <= MOST_BITS:
+        contents = found.where("content is not null").select("anchor", "chash", "content", "doc")
+    else:
+        contents = _contents(given, with_ids(kinds, per.where("kinds > 1").select("anchor"), "anchor"))
     runs = _sorted_shards(with_ids(contents, per.where((F.col("kinds") > 1) & (F.col("kinds") <= HOT)).select("anchor"), "anchor")).unionByName(alone)
     hot = per.where(F.col("kinds") > HOT).select("anchor")
     if not hot.isEmpty():
@@ -515,7 +555,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 out.append((doc, len(raw), len(raw) - len(left), len(merged), left))
             yield pd.DataFrame(out, columns=[id_col, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    given = _with_copies(_given(docs, id_col, text_col))
+    every = _given(docs, id_col, text_col)
+    given = _with_copies(every.where("doc is not null"))
     once = given.where("not copy").select("doc", "version", "text")
     gone = removals(once)
     rows = gone.count()
@@ -524,6 +565,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rest = with_ids(keyed, gone.select(F.struct("doc", "version").alias("r")), "r", "left_anti", rows).drop("r")
     changed = hit.join(gone, ["doc", "version"]).select("doc", "text", "spans").mapInPandas(cut, f"{id_col} long, n_bytes long, n_removed long, n_spans long, kept binary")
     size, none = F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long")
+    rest = rest.select("doc", "text").unionByName(every.where("doc is null").select("doc", "text"))
     same = rest.select(F.col("doc").alias(id_col), size, none.alias("n_removed"), none.alias("n_spans"), F.col("text").cast("binary").alias("kept"))
     copies = given.where("copy").select(F.col("doc").alias(id_col), size, F.octet_length("text").cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit("").cast("binary").alias("kept"))
     return changed.unionByName(same).unionByName(copies)

@@ -671,9 +671,17 @@ def brute_removed(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 3])
-def test_suffix_dedup(monkeypatch, docs, texts, clashing, empty, hot):
+def test_suffix_dedup_of_null_ids(spark):
+    text = "a passage of well over fifty bytes that stands in each of these documents"
+    df = spark.createDataFrame([(None, text), (None, text), (2**60 + 1, text), (2**60 + 3, f"{text} and more")], "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_removed) for r in suffix_dedup.dedup(df).collect())
+    assert got == Counter([(None, 0), (None, 0), (2**60 + 1, 0), (2**60 + 3, len(text))])
+
+
+@pytest.mark.parametrize(("hot", "most_bits"), [(2000, 30), (3, 30), (2000, 1)])
+def test_suffix_dedup(monkeypatch, docs, texts, clashing, empty, hot, most_bits):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "MOST_BITS", most_bits)
     got = rows(suffix_dedup.dedup(clashing))
     assert len(got) == len(texts)
     for i, (t, m) in enumerate(zip(texts, brute_removed(texts), strict=True)):
