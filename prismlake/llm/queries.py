@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import factorisation, licenses, line_dedup, mixing, near_dedup, oracles, packing, quality_rules, spotsigs, suffix_dedup, toxicity
+from . import factorisation, licenses, line_dedup, mixing, near_dedup, oracles, packing, quality_rules, spherical, spotsigs, suffix_dedup, toxicity
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_spherical_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spherical.components(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -72,6 +76,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_licenses,
         op9_noisy_channel,
         op10_suffix_array,
+        op12_spherical_kmeans,
     )
 }
-ORACLES: dict[str, str] = {"op3_near_dedup": oracles.near_dedup(), "op5_raking": oracles.raking(), "op8_licenses": oracles.licence_scan()}
+ORACLES: dict[str, str] = {
+    "op3_near_dedup": oracles.near_dedup(),
+    "op5_raking": oracles.raking(),
+    "op8_licenses": oracles.licence_scan(),
+    "op12_spherical_kmeans": oracles.near_vectors(),
+}
