@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import factorisation, licenses, line_dedup, mixing, near_dedup, oracles, packing, quality_rules, spherical, spotsigs, suffix_dedup, toxicity
+from . import factorisation, licenses, line_dedup, mixing, near_dedup, oracles, packing, quality_rules, resampling, spherical, spotsigs, suffix_dedup, toxicity, variants
 from .common import table
 
 
@@ -59,10 +59,19 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_anagram_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(table(spark, sf_dir, "documents"))
+
+
 def op12_spherical_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spherical.components(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,12 +85,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_licenses,
         op9_noisy_channel,
         op10_suffix_array,
+        op11_anagram_hashing,
         op12_spherical_kmeans,
+        op13_importance_resampling,
     )
 }
 ORACLES: dict[str, str] = {
     "op3_near_dedup": oracles.near_dedup(),
     "op5_raking": oracles.raking(),
     "op8_licenses": oracles.licence_scan(),
+    "op11_anagram_hashing": oracles.spelling_variants(),
     "op12_spherical_kmeans": oracles.near_vectors(),
+    "op13_importance_resampling": oracles.importance_draw(),
 }
