@@ -55,6 +55,19 @@ def field(v: Column, offset: int, bits: int) -> Column:
     return F.shiftrightunsigned(v.cast("long"), offset).bitwiseAND(F.lit(top(bits)))
 
 
+def little_endian(raw: Column, at: Column, size: int) -> Column:
+    """The unsigned number of ``size`` bytes (7 at most) at a place of a binary column; null where it ends before."""
+    text = F.hex(raw.substr((at + 1).cast("int"), F.lit(size)))
+    turned = F.concat(*[F.substring(text, 2 * i + 1, 2) for i in reversed(range(size))])
+    return F.when(at + size <= F.length(raw), F.conv(turned, 16, 10).cast("long"))
+
+
+def little_endian_hex(v: Column, size: int) -> Column:
+    """The reverse as hexadecimal text: a number's lowest ``size`` bytes, lowest first."""
+    text = F.lpad(F.hex(v.cast("long")), 16, "0")
+    return F.concat(*[F.substring(text, 15 - 2 * i, 2) for i in range(size)])
+
+
 def sign_extend(v: Column, bits: int) -> Column:
     v = v.cast("long")
     return F.shiftright(F.shiftleft(v, 64 - bits), 64 - bits)

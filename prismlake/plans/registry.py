@@ -888,3 +888,6 @@ SELECT texture_id, CAST(to_json(list({{'key': key, 'value': value}} ORDER BY key
 )
 def metadata_stamp(spark, sf):
     return _lists(spark, sf).select("texture_id", F.to_json(metadata.stamped(F.col("pairs"), "tool", "--zstd 5")).alias("pairs"))
+
+
+from . import global_queries  # noqa: E402, F401  # further queries, registered by their import
