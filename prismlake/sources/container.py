@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -145,27 +145,33 @@ def deflate(raw: bytes, scheme: int, level: int | None = None) -> bytes:
 
 def parse(raw: bytes, path: str = "", payload: bool = True, metadata: bool = True, inflated: bool = True) -> tuple:
     """One file to one row of SCHEMA; ``status`` names what is wrong, the fields after it are then null."""
+    return parse_ranges(lambda at, n: raw[at : at + n], len(raw), path, payload, metadata, inflated)
+
+
+def parse_ranges(fetch: Callable[[int, int], bytes], size: int, path: str = "", payload: bool = True, metadata: bool = True, inflated: bool = True) -> tuple:
+    """The same by ranges of a file of ``size`` bytes; only what is asked for is fetched."""
     bad = lambda status, version=None: (path, status, version, *[None] * (len(NAMES) - 3))
-    if raw[:12] == IDENTIFIER_V1:
+    head = fetch(0, 80)
+    if head[:12] == IDENTIFIER_V1:
         return bad("version 1 file", 1)
-    if raw[:12] != IDENTIFIER:
+    if head[:12] != IDENTIFIER:
         return bad("unknown identifier")
-    if len(raw) < 80:
+    if len(head) < 80:
         return bad("unexpected end", 2)
-    fmt, type_size, w, h, d, layers, faces, levels, scheme = struct.unpack_from("<9I", raw, 12)
-    dfd_at, dfd_size, kvd_at, kvd_size = struct.unpack_from("<4I", raw, 48)
-    sgd_at, sgd_size = struct.unpack_from("<2Q", raw, 64)
+    fmt, type_size, w, h, d, layers, faces, levels, scheme = struct.unpack_from("<9I", head, 12)
+    dfd_at, dfd_size, kvd_at, kvd_size = struct.unpack_from("<4I", head, 48)
+    sgd_at, sgd_size = struct.unpack_from("<2Q", head, 64)
     shown = max(levels, 1)
-    if shown > 32 or len(raw) < 80 + 24 * shown:
+    if shown > 32 or size < 80 + 24 * shown:
         return bad("unexpected end", 2)
-    index = []
+    places, index = fetch(80, 24 * shown), []
     for k in range(shown):
-        at, size, full = struct.unpack_from("<3Q", raw, 80 + 24 * k)
-        if at + size > len(raw):
+        at, length, full = struct.unpack_from("<3Q", places, 24 * k)
+        if at + length > size:
             return bad("unexpected end", 2)
         body = None
         if payload:
-            body = raw[at : at + size]
+            body = fetch(at, length)
             if inflated and scheme in (ZSTD, ZLIB):
                 try:
                     body = inflate(body, scheme)
@@ -173,9 +179,9 @@ def parse(raw: bytes, path: str = "", payload: bool = True, metadata: bool = Tru
                     return bad("damaged payload", 2)
                 if len(body) != full:
                     return bad("wrong uncompressed length", 2)
-        index.append((k, at, size, full, body))
-    basic, samples, descriptor = _descriptor(raw[dfd_at : dfd_at + dfd_size])
-    pairs, issues = _metadata(raw[kvd_at : kvd_at + kvd_size]) if metadata else (None, None)
+        index.append((k, at, length, full, body))
+    basic, samples, descriptor = _descriptor(fetch(dfd_at, dfd_size))
+    pairs, issues = _metadata(fetch(kvd_at, kvd_size)) if metadata else (None, None)
     return (path, "ok", 2, fmt, type_size, w, h, d, layers, faces, levels, scheme, dfd_at, dfd_size, kvd_at, kvd_size, sgd_at, sgd_size, *basic, index, samples, pairs, *descriptor, issues)
 
 

@@ -204,3 +204,44 @@ def test_both_versions_and_rewriting(spark):
     assert [bytes(x.bytes) for x in back["two"].level_index] == LEVELS and [bytes(x.bytes) for x in back["one"].level_index] == [bytes(range(16))]
     assert {m.key: bytes(m.value) for m in back["two"].metadata} == META
     assert descriptor.issues(again.withColumn("gltf", F.lit(False)), "path").count() == 0
+
+
+def test_ranged_reads_of_levels(spark, tmp_path):
+    """Filters reach the source: only the bytes of asked levels are fetched, and names decide before a file is opened."""
+    datasource.register(spark)
+    big = [bytes([k]) * (400_000 >> k) for k in range(4)]
+    out = tmp_path / "levels"
+    (out / "sub").mkdir(parents=True)
+    for n, scheme in (("a.tex", container.NONE), ("sub/b.tex", container.ZLIB)):
+        (out / n).write_bytes(container.build(37, 1, (8, 8, 0), big, RGBA, META, scheme=scheme))
+    (out / "c.bin").write_bytes(b"no")
+    (out / "v1.tex").write_bytes(version1())
+    read = lambda **o: spark.read.format("texture_levels").options(**o).load(f"file://{out}")
+    every = {(os.path.basename(r.path), r.level): r for r in read().collect()}
+    assert len(every) == 10 and every["c.bin", None].status == "unknown identifier" and every["v1.tex", None].status == "version 1 file"
+    assert all(bytes(every[f, k].bytes) == big[k] for f in ("a.tex", "b.tex") for k in range(4))
+    taken = lambda df: df.selectExpr("sum(bytes_read)").first()[0]
+    size = (out / "a.tex").stat().st_size
+    assert size < taken(read().where("path LIKE '%a.tex'")) < size + 5000
+    small = read().where("level = 3 AND path LIKE '%a.tex'")
+    assert [bytes(r.bytes) for r in small.collect()] == [big[3]] and taken(small) <= 50_000 + 4096
+    assert taken(read().where("level >= 2 AND sc_scheme = 0 AND width = 8")) <= 150_000 + 4096
+    assert read().where("level IN (1, 2) AND NOT (sc_scheme <=> 2)").count() == 4 and read().where("width > 100").count() == 0 and read().where("level IS NULL").count() == 2
+    lean = spark.read.format("texture_levels").schema("path string, level int, bytes_read bigint").load(str(out))
+    assert lean.where("level = 0").count() == 2 and taken(lean) <= 4 * 4096
+    assert taken(read(payload="false")) <= 4 * 4096
+    # what could not be pushed is still judged
+    assert read().where("length(bytes) = 200000").count() == 2 and read(inflate="false").where("level = 1 AND length(bytes) = 200000").count() == 1
+
+
+def test_lazy_files_take_ranges(tmp_path):
+    from prismlake.sources import ranged
+
+    path = tmp_path / "x.tex"
+    path.write_bytes(container.build(37, 1, (8, 8, 0), [bytes(10**6)], RGBA, META))
+    with ranged.Ranged(str(path)) as r:
+        row = container.parse_ranges(r, r.size, payload=False)
+        assert row[1] == "ok" and r.taken == ranged.HEAD
+    assert row[:22] == container.parse(path.read_bytes(), payload=False)[:22]
+    with pytest.raises(FileNotFoundError):
+        ranged.listed(str(tmp_path / "none"))
