@@ -265,8 +265,13 @@ def _sound(v: Column, label: Column) -> Column:
     return F.coalesce(label.isNotNull() & finite & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def components(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """Per row: id, n_links (other vectors linked directly), component_id (smallest id reachable), kept."""
+def _version() -> Column:
+    """Tells rows of one id apart by their label and vector."""
+    return F.xxhash64("label", "v").alias("version")
+
+
+def _grouped(vectors: DataFrame, threshold: float, id_col: str, vector_col: str, label_col: str) -> DataFrame:
+    """Per row: id, version, n_links, component_id."""
     v = F.col(vector_col).cast("array<double>")
     given = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), v.alias("v")).withColumn("sound", _sound(F.col("v"), F.col("label")))
     rows = given.where("sound").drop("sound")
@@ -280,25 +285,30 @@ def components(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     n = least.count()
     named = part.join(F.broadcast(least) if n <= linking.BROADCAST_ROWS // 3 else least, "component", "left").withColumn("component_id", F.coalesce("lowest", "least"))
     named = materialise(named.select("label", "v", "least", "w", "n_links", "component_id"), "vector-names")
-    single = named.where("w = 1").select(F.col("least").alias("id"), "n_links", "component_id")
+    single = named.where("w = 1").select(F.col("least").alias("id"), _version(), "n_links", "component_id")
     copied = named.where("w > 1").drop("least")
     width = 8 * (copied.agg(F.max(F.size("v"))).first()[0] or 0) + 100
-    several = _with_small(rows, copied, ["label", "v"], "w", width).select("id", "n_links", "component_id")
-    apart = given.where("not sound").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    several = _with_small(rows, copied, ["label", "v"], "w", width).select("id", _version(), "n_links", "component_id")
+    apart = given.where("not sound").select("id", _version(), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     for t in (found, names, part, least):
         discard(t)
-    return single.unionByName(several).unionByName(apart).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    return single.unionByName(several).unionByName(apart)
+
+
+def components(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    """Per row: id, n_links (other vectors linked directly), component_id (smallest id reachable), kept."""
+    found = _grouped(vectors, threshold, id_col, vector_col, label_col)
+    return found.select("id", "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def representatives(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """One row of each group, that of the smallest id, with all its columns; rows without a group stay, rows of one id and vector become one."""
-    found = materialise(components(vectors, threshold, id_col, vector_col, label_col), "vector-groups")
-    gone = found.where("not kept").select("id").distinct()
-    again = found.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1 and id is not null").select("id")
-    key, at = fresh(vectors, "id"), fresh(vectors, "at")
-    keyed = vectors.withColumn(key, F.col(id_col).cast("long"))
-    gone, again = gone.withColumnRenamed("id", key), again.withColumnRenamed("id", key)
-    kept = linking.with_ids(keyed, gone, key, "left_anti")
-    first = Window.partitionBy(key).orderBy(F.xxhash64(F.col(vector_col)))
-    one = linking.with_ids(kept, again, key).withColumn(at, F.row_number().over(first)).where(F.col(at) == 1).drop(at)
-    return linking.with_ids(kept, again, key, "left_anti").unionByName(one).drop(key)
+    """One row of each group, that of the smallest id, with all its columns; rows without a group stay. Of rows with one id, if they stay, one does."""
+    found = materialise(_grouped(vectors, threshold, id_col, vector_col, label_col), "vector-groups")
+    at, rank = fresh(vectors, "at"), fresh(vectors, "rank")
+    gone = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.struct("id", "version").alias(at)).distinct()
+    again = found.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1 and id is not null").select(F.col("id").alias(f"{at}_id"))
+    version = F.xxhash64(F.col(label_col), F.col(vector_col).cast("array<double>")).alias("version")
+    kept = linking.with_ids(vectors.withColumn(at, F.struct(F.col(id_col).cast("long").alias("id"), version)), gone, at, "left_anti").withColumn(f"{at}_id", F.col(f"{at}.id"))
+    first = Window.partitionBy(f"{at}_id").orderBy(f"{at}.version")
+    one = linking.with_ids(kept, again, f"{at}_id").withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).drop(rank)
+    return linking.with_ids(kept, again, f"{at}_id", "left_anti").unionByName(one).select(*vectors.columns)

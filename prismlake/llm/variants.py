@@ -77,7 +77,8 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if len(total) > KEEP:
                     yield frame()
                     total.clear()
-        yield frame()
+        if total:
+            yield frame()
 
     prefix = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"))
     given = docs.select(prefix.alias("prefix"), F.col(text_col).cast("string").alias("text")).where("text is not null")
