@@ -9,6 +9,7 @@ numbers of models, channels and qualifiers are fixed values of the format.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,26 @@ VERSION, LAST_TRANSFER, LAST_PRIMARIES = 2, 19, 10
 SRGB = 2
 ETC1S_RGB, ETC1S_RRR, ETC1S_GGG, ETC1S_AAA = 0, 3, 4, 15
 UASTC_CHANNELS = (0, 3, 4, 5)
+PVRTC1, PVRTC2, ETC1 = 164, 165, 160
+#: Channels that a model has; models that are not listed have no rule.
+MODEL_CHANNELS = {
+    RGBSDA: (0, 1, 2, 13, 14, 15),
+    YUVSDA: (0, 1, 2, 13, 14, 15),
+    BC1A: (0, 1),
+    BC2: (0, 15),
+    BC3: (0, 15),
+    BC4: (0,),
+    BC5: (0, 1),
+    BC6H: (0,),
+    BC7: (0,),
+    ETC1: (0,),
+    ETC2: (0, 1, 2, 15),
+    ASTC: (0,),
+    ETC1S: (0, 3, 4, 15),
+    PVRTC1: (0,),
+    PVRTC2: (0,),
+    UASTC: (0, 3, 4, 5, 6),
+}
 
 
 def _bounds(kind: str, bits: int) -> tuple[int, int, int]:
@@ -110,7 +131,9 @@ def _sample_rules() -> list[tuple[int, str, str, Column]]:
     straight = c("transfer").isin(0, 1)
     uastc = (c("vk_format") == 0) & (c("model") == UASTC) & c("sc_scheme").isin(0, 2, 3) & (c("sample") == 0)
     lz = (c("sc_scheme") == 1) & (c("sample") < 2)
+    odd = reduce(lambda a, b: a | b, [(c("model") == m) & ~s["channel"].isin(*has) for m, has in MODEL_CHANNELS.items()])
     return [
+        (6101, ERROR, "InvalidChannelForModel", odd),
         (6028, ERROR, "FormatMismatch", listed & (differs("bit_offset") | differs("bit_length") | differs("channel") | (rest(s) != rest(w)) | differs("lower") | differs("upper") | placed)),
         (6108, ERROR, "InvalidQualifierLinearForLinearTF", listed & straight & linear),
         (6109, ERROR, "InvalidQualifierLinearForNonLinearTF", listed & ~straight & (c("transfer") <= LAST_TRANSFER) & (alpha != linear)),
@@ -140,12 +163,21 @@ def _block_rules() -> list[tuple[int, str, str, Column]]:
     etc1s = g & (model == ETC1S) & (n > 0)
     wrong_second = (n > 1) & (((first == ETC1S_RGB) & (second != ETC1S_AAA)) | ((first == ETC1S_RRR) & (second != ETC1S_GGG)))
     block_model = (model >= BC1A) & undefined & ~c("sc_scheme").isin(1, 4)
+    half = formats.half_chroma(c("vk_format"))
+    # formats of single texels that are read sample by sample
+    read = plain & ~undefined & fact.isNotNull() & ~compressed & ~F.coalesce(fact["prohibited"], F.lit(False))
+    placed = F.exists("samples", lambda s: F.exists(F.coalesce(s["positions"], F.array()), lambda p: p != 0))
+    kind = lambda s: s["qualifiers"].bitwiseAND(F.lit(SIGNED | FLOAT))
+    mixed = F.size(F.array_distinct(F.transform("samples", kind))) > 1
     return [
         (6031, ERROR, "UH4X4ModelRequiresASTC4X4FVkFormat", (model == UASTC_HDR) & (c("vk_format") != formats.ASTC_FLOAT[0])),
         (6011, ERROR, "BasicVersionNotSupported", c("dfd_version") != VERSION),
         (6012, ERROR, "BasicInvalidTransferFunction", c("transfer") > LAST_TRANSFER),
         (6013, ERROR, "BasicSRGBMismatch", fact["srgb"] & (c("transfer") != SRGB)),
         (6014, ERROR, "BasicNotSRGBMismatch", fact["srgb_twin"] & (c("transfer") == SRGB)),
+        (6017, ERROR, "IncorrectModelFor422", half & ~formats.prohibited_extension(c("vk_format")) & (model != YUVSDA)),
+        (6203, ERROR, "InterpretDFDMixedChannels", read & ~deeper & ~placed & mixed),
+        (6204, ERROR, "InterpretDFDMultisample", read & ~deeper & placed),
         (6016, ERROR, "IncorrectModelForBlock", compressed & (model != want["model"]) & (model != UASTC_HDR)),
         (6015, ERROR, "IncorrectModelForRGB", ~undefined & fact.isNotNull() & ~compressed & (model != RGBSDA)),
         (6018, ERROR, "IncorrectModelForBLZE", lz & (model != ETC1S)),
@@ -161,7 +193,7 @@ def _block_rules() -> list[tuple[int, str, str, Column]]:
         (6020, ERROR, "InvalidTexelBlockDimension", (uastc | lz) & four),
         (6027, ERROR, "ZeroSamples", other & (n == 0)),
         (6023, ERROR, "BytesPlane0Zero", other & (c("sc_scheme") == 0) & (c("planes")[0] == 0)),
-        (6024, ERROR, "MultiplaneFormatsNotSupported", other & (c("sc_scheme") == 0) & deeper),
+        (6024, ERROR, "MultiplaneFormatsNotSupported", (other & (c("sc_scheme") == 0) & deeper) | (read & deeper)),
         (3007, ERROR, "BlockCompressedNoHeight", block_model & (c("height") == 0)),
         (3017, ERROR, "BlockCompressedNoLevel", block_model & (c("levels") == 0)),
     ]

@@ -18,6 +18,8 @@ A4_PACKED = (1000340000, 1000340001)
 FIXED_16 = (1000464000, 1000464000)
 A1_A8 = (1000470000, 1000470001)
 ASTC_3D = (1000288000, 1000288029)
+#: Of YCBCR those of half horizontal chroma, in one plane or more.
+HALF_CHROMA = [0, 1, 4, 5, 10, 11, 14, 15, 20, 21, 24, 25, 27, 28, 31, 32]
 #: Of YCBCR those of one plane, which are not prohibited.
 ONE_PLANE = [0, 1, 7, 8, 9, 10, 11, 17, 18, 19, 20, 21, 27, 28]
 
@@ -36,6 +38,11 @@ def prohibited_extension(vk_format: Column) -> Column:
     return (_within(vk_format, YCBCR) & ~(vk_format - YCBCR[0]).isin(ONE_PLANE)) | _within(vk_format, YCBCR_444)
 
 
+def half_chroma(vk_format: Column) -> Column:
+    """4:2:2 formats."""
+    return _within(vk_format, YCBCR) & (vk_format - YCBCR[0]).isin(HALF_CHROMA)
+
+
 def block_3d(vk_format: Column) -> Column:
     return _within(vk_format, ASTC_3D)
 

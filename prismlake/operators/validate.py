@@ -65,21 +65,21 @@ def raised(table: DataFrame, rules: list[tuple[int, str, str, Column]], *keys: s
 
 
 def section_rules() -> list[tuple[int, str, str, Column]]:
-    """Over dfd/kvd/sgd offset and length, levels and sc_scheme: each section follows the last, aligned to 4 (global data to 8)."""
+    """Over dfd/kvd/sgd offset and length, levels and sc_scheme: each section follows where the last should end, aligned to 4 (global data to 8)."""
     c = F.col
     start = align(80 + 24 * F.greatest(c("levels"), F.lit(1)), F.lit(4))
-    after_dfd = c("dfd_offset") + c("dfd_length")
-    after_kvd = F.when(c("kvd_length") > 0, c("kvd_offset") + c("kvd_length")).otherwise(after_dfd)
+    after_dfd = start + c("dfd_length")
+    after_kvd = F.when(c("kvd_length") > 0, align(after_dfd, F.lit(4)) + c("kvd_length")).otherwise(after_dfd)
     return [
-        (3020, ERROR, "IndexDFDMissing", c("dfd_length") == 0),
+        (3020, ERROR, "IndexDFDMissing", (c("dfd_length") == 0) | (c("dfd_offset") == 0)),
         (3021, ERROR, "IndexDFDInvalidOffset", c("dfd_offset") != start),
-        (3028, ERROR, "IndexDFDInvalidLength", (c("kvd_length") > 0) & (c("dfd_length") != c("kvd_offset") - c("dfd_offset"))),
+        (3028, ERROR, "IndexDFDInvalidLength", (c("dfd_offset") != 0) & (c("dfd_length") != 0) & (c("kvd_offset") != 0) & (c("dfd_length") != c("kvd_offset") - c("dfd_offset"))),
         (3022, ERROR, "IndexKVDInvalidOffset", (c("kvd_length") > 0) & (c("kvd_offset") != align(after_dfd, F.lit(4)))),
         (3023, ERROR, "IndexKVDOffsetWithoutLength", (c("kvd_length") == 0) & (c("kvd_offset") != 0)),
         (3024, ERROR, "IndexSGDInvalidOffset", (c("sgd_length") > 0) & (c("sgd_offset") != align(after_kvd, F.lit(8)))),
         (3025, ERROR, "IndexSGDOffsetWithoutLength", (c("sgd_length") == 0) & (c("sgd_offset") != 0)),
-        (3026, ERROR, "IndexSGDMissing", c("sc_scheme").isin(1) & (c("sgd_length") == 0)),
-        (3027, ERROR, "IndexSGDNotApplicable", ~c("sc_scheme").isin(1, 4) & (c("sgd_length") != 0)),
+        (3026, ERROR, "IndexSGDMissing", c("sc_scheme").isin(1, 4) & (c("sgd_length") == 0)),
+        (3027, ERROR, "IndexSGDNotApplicable", c("sc_scheme").isin(2, 3) & (c("sgd_length") != 0)),
     ]
 
 
@@ -88,7 +88,9 @@ def level_issues(levels: DataFrame) -> DataFrame:
 
     ``expected_size`` is that of the format, ``images`` the number of faces times
     layers (1 at least), ``index_end`` the end of the last section before the
-    payload. Without a known format (vk_format 0) sizes are not compared.
+    payload. Without a known format (vk_format 0) sizes are not compared; where
+    the format gives them, offsets are those of the smaller levels' sizes, else
+    each level follows the smaller one as it is.
     """
     up = Window.partitionBy("texture_id").orderBy("level")
     down = Window.partitionBy("texture_id").orderBy(F.col("level").desc())
@@ -98,16 +100,18 @@ def level_issues(levels: DataFrame) -> DataFrame:
             "_length_before": F.lag("uncompressed_length").over(up),
             "_offset_before": F.lag("byte_offset").over(up),
             "_end": F.coalesce(F.lag(F.col("byte_offset") + F.col("byte_length")).over(down), F.col("index_end")),
+            "_smaller": F.coalesce(F.sum(align(F.col("expected_size"), F.col("alignment"))).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         }
     )
     known, plain = c("vk_format") != 0, c("sc_scheme") == 0
+    follows = F.when(known & plain, align(c("index_end"), c("alignment")) + c("_smaller")).otherwise(align(c("_end"), c("alignment")))
     lz, intermediate = c("sc_scheme") == 1, c("sc_scheme") == 4
     whole = c("uncompressed_length") % c("images") == 0
     rules = [
         (4001, ERROR, "IncorrectIndexOrder", c("uncompressed_length") > c("_length_before")),
         (4002, ERROR, "IncorrectLevelOrder", c("byte_offset") > c("_offset_before")),
         (4003, ERROR, "IncorrectByteOffsetUnaligned", c("byte_offset") % c("alignment") != 0),
-        (4004, ERROR, "IncorrectByteOffset", (c("byte_offset") % c("alignment") == 0) & (c("byte_offset") != align(c("_end"), c("alignment")))),
+        (4004, ERROR, "IncorrectByteOffset", (c("byte_offset") % c("alignment") == 0) & (c("byte_offset") != follows)),
         (4005, ERROR, "IncorrectByteLength", known & plain & (c("byte_length") != c("expected_size"))),
         (4007, ERROR, "NonZeroUBLForBLZE", lz & (c("uncompressed_length") != 0)),
         (4011, ERROR, "NonZeroUBLForUH6X6IE", intermediate & (c("uncompressed_length") != 0)),
@@ -234,10 +238,14 @@ def metadata_issues(metadata: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def verdict(textures: DataFrame, issues: DataFrame, warnings_as_errors: bool = False) -> DataFrame:
-    """texture_id, n_errors, n_warnings and valid, for textures with and without issues."""
+    """texture_id, n_errors (fatal ones too), n_warnings and valid, for textures with and without issues; with ``stage`` in the issues also stopped_at, that of a fatal one."""
     bad = F.col("severity").isin(ERROR, FATAL)
-    n = issues.groupBy("texture_id").agg(F.sum(bad.cast("int")).alias("e"), F.sum((~bad).cast("int")).alias("w"))
-    out = textures.select("texture_id").join(n, "texture_id", "left").select("texture_id", F.coalesce("e", F.lit(0)).cast("long").alias("n_errors"), F.coalesce("w", F.lit(0)).cast("long").alias("n_warnings"))
+    sums = [F.sum(bad.cast("int")).alias("e"), F.sum((~bad).cast("int")).alias("w")]
+    more = ["stopped_at"] if "stage" in issues.columns else []
+    if more:
+        sums.append(F.min(F.when(F.col("severity") == FATAL, F.col("stage"))).alias("stopped_at"))
+    n = issues.groupBy("texture_id").agg(*sums)
+    out = textures.select("texture_id").join(n, "texture_id", "left").select("texture_id", F.coalesce("e", F.lit(0)).cast("long").alias("n_errors"), F.coalesce("w", F.lit(0)).cast("long").alias("n_warnings"), *more)
     fine = F.col("n_errors") == 0
     return out.withColumn("valid", fine & (F.col("n_warnings") == 0) if warnings_as_errors else fine)
 

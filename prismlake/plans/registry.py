@@ -627,7 +627,7 @@ def validate_formats(spark, sf):
 # The payload begins after sections that end at byte 205; some payloads are shifted as a whole, some files have no known format.
 _INDEX = f"""{LOCATED},
 idx0 AS (SELECT *, CASE WHEN sc_scheme = 0 THEN lcm4 ELSE 1 END AS alignment, CASE WHEN texture_id % 47 = 0 THEN 1 ELSE sc_scheme END AS scheme, CASE WHEN texture_id % 27 = 0 THEN 0 ELSE 37 END AS vk_format FROM located),
-idx AS (SELECT texture_id, level, scheme, vk_format, alignment, faces * layers AS images, level_size AS expected_size, 205 AS index_end,
+idx AS (SELECT texture_id, level, byte_offset AS smaller, scheme, vk_format, alignment, faces * layers AS images, level_size AS expected_size, 205 AS index_end,
   CASE WHEN alignment = 1 THEN 205 ELSE 208 END + byte_offset + CASE WHEN texture_id % 31 = 0 THEN 16 WHEN texture_id % 19 = 0 AND level = 0 THEN 2 WHEN texture_id % 23 = 0 AND level = 1 THEN 16 ELSE 0 END AS byte_offset,
   level_size + CASE WHEN texture_id % 7 = 0 AND level = 2 THEN 8 ELSE 0 END AS byte_length,
   CASE WHEN texture_id % 54 = 0 AND level = 1 THEN 0 WHEN texture_id % 27 = 0 AND level = 0 THEN level_size + 1 WHEN texture_id % 29 = 0 AND level = 1 THEN 9999999 ELSE level_size END AS uncompressed_length FROM idx0)"""
@@ -636,7 +636,8 @@ SELECT a.texture_id, a.level, 4001 AS id, 'error' AS severity, 'IncorrectIndexOr
 UNION ALL SELECT a.texture_id, a.level, 4002, 'error', 'IncorrectLevelOrder' FROM idx a JOIN idx b ON a.texture_id = b.texture_id AND a.level = b.level + 1 WHERE a.byte_offset > b.byte_offset
 UNION ALL SELECT texture_id, level, 4003, 'error', 'IncorrectByteOffsetUnaligned' FROM idx WHERE byte_offset % alignment <> 0
 UNION ALL SELECT a.texture_id, a.level, 4004, 'error', 'IncorrectByteOffset' FROM idx a LEFT JOIN idx b ON a.texture_id = b.texture_id AND b.level = a.level + 1
-  WHERE a.byte_offset % a.alignment = 0 AND a.byte_offset <> ceil(coalesce(b.byte_offset + b.byte_length, a.index_end) / a.alignment) * a.alignment
+  WHERE a.byte_offset % a.alignment = 0 AND a.byte_offset <> CASE WHEN a.vk_format <> 0 AND a.scheme = 0 THEN ceil(a.index_end / a.alignment) * a.alignment + a.smaller
+    ELSE ceil(coalesce(b.byte_offset + b.byte_length, a.index_end) / a.alignment) * a.alignment END
 UNION ALL SELECT texture_id, level, 4005, 'error', 'IncorrectByteLength' FROM idx WHERE vk_format <> 0 AND scheme = 0 AND byte_length <> expected_size
 UNION ALL SELECT texture_id, level, 4006, 'error', 'IncorrectUncompressedByteLength' FROM idx WHERE vk_format <> 0 AND scheme = 0 AND uncompressed_length <> expected_size
 UNION ALL SELECT texture_id, level, 4007, 'error', 'NonZeroUBLForBLZE' FROM idx WHERE scheme = 1 AND uncompressed_length <> 0
@@ -737,18 +738,6 @@ def validate_metadata(spark, sf):
     return _metadata_issues(spark, sf)
 
 
-@query(
-    f"""WITH {_INDEX}, {_HEADERS.split(TEXTURES + ",")[1]}, {_ENTRIES}, {_META_FACTS},
-issues AS (SELECT texture_id, severity FROM ({_HEADER_ISSUES}) UNION ALL SELECT texture_id, severity FROM ({_LEVEL_ISSUES}) UNION ALL SELECT texture_id, severity FROM ({_META_ISSUES}))
-SELECT h.texture_id, CAST(count(i.severity) FILTER (severity = 'error') AS BIGINT) AS n_errors, CAST(count(i.severity) FILTER (severity = 'warning') AS BIGINT) AS n_warnings, count(i.severity) FILTER (severity = 'error') = 0 AS valid
-FROM headers h LEFT JOIN issues i ON h.texture_id = i.texture_id GROUP BY h.texture_id"""
-)
-def validate_verdict(spark, sf):
-    headers = _headers(spark, sf)
-    found = validate.all_issues(validate.raised(headers, validate.header_rules(F.col("compressed")), "texture_id"), validate_levels(spark, sf), _metadata_issues(spark, sf))
-    return validate.verdict(headers, found)
-
-
 # Descriptors of five known formats, of a block format without a number, and of what was changed in some of them.
 _DESCRIPTORS = f"""{TEXTURES},
 kinds(kind, vk_format, model, transfer, block, bytes, samples) AS (VALUES
@@ -890,4 +879,4 @@ def metadata_stamp(spark, sf):
     return _lists(spark, sf).select("texture_id", F.to_json(metadata.stamped(F.col("pairs"), "tool", "--zstd 5")).alias("pairs"))
 
 
-from . import global_queries, texel_queries  # noqa: E402, F401  # further queries, registered by their import
+from . import global_queries, report_queries, texel_queries  # noqa: E402, F401  # further queries, registered by their import

@@ -185,6 +185,84 @@ def parse_ranges(fetch: Callable[[int, int], bytes], size: int, path: str = "",
     return (path, "ok", 2, fmt, type_size, w, h, d, layers, faces, levels, scheme, dfd_at, dfd_size, kvd_at, kvd_size, sgd_at, sgd_size, *basic, index, samples, pairs, *descriptor, issues)
 
 
+# ------------------------------------------------------------------ for validation
+
+EXAMINED = (
+    "path string, file_size bigint, identified boolean, end_stage int, payload_state string, "
+    + ", ".join(x for x in SCHEMA.split(", ") if x.split()[0] in ("vk_format", "type_size", "width", "height", "depth", "layers", "faces", "levels", "sc_scheme", "dfd_offset", "dfd_length", "kvd_offset", "kvd_length", "sgd_offset", "sgd_length", "model", "primaries", "transfer", "flags"))
+    + f", level_index array<{LEVEL}>, samples array<{SAMPLE}>, metadata array<struct<ordinal:int,key:string,value:binary>>, "
+    "dfd_total bigint, dfd_version int, texel_block array<int>, planes array<int>, dfd_issues array<int>, kvd_issues array<int>, global_data binary, paddings array<struct<before:string,at:bigint>>"
+)
+EXAMINED_NAMES = [x.split()[0] for x in EXAMINED.split(", ")][:24] + ["level_index", "samples", "metadata", "dfd_total", "dfd_version", "texel_block", "planes", "dfd_issues", "kvd_issues", "global_data", "paddings"]
+#: Steps of validation, in their order; reading past the end of a file ends it at the step that reads.
+STAGES = ["header", "index", "descriptor", "levels", "metadata", "global data", "padding", "loading"]
+
+
+def gaps(blocks: list[tuple[str, int, int]], start: int) -> list[tuple[str, int, int]]:
+    """(name, offset, bytes) of the gap before each block that follows what came before it; misplaced and absent blocks have none."""
+    out, at = [], start
+    for name, offset, size in blocks:
+        if offset and size:
+            if offset >= at:
+                out.append((name, at, offset - at))
+            at = offset + size if offset >= at else max(at, offset + size)
+    return out
+
+
+def examine(fetch: Callable[[int, int], bytes], size: int, path: str = "") -> tuple:
+    """One file to one row of EXAMINED: all that validation reads, as far as the file goes. Levels keep their bytes in scheme 4 only."""
+    row = dict.fromkeys(EXAMINED_NAMES) | {"path": path, "file_size": size}
+    done = lambda **more: tuple((row | more)[c] for c in EXAMINED_NAMES)
+    head = fetch(0, 80)
+    if len(head) < 80:
+        return done(end_stage=0)
+    if head[:12] != IDENTIFIER:
+        return done(identified=False)
+    numbers = struct.unpack_from("<13I2Q", head, 12)
+    row |= dict(zip(EXAMINED_NAMES[5:20], numbers, strict=True)) | {"identified": True}
+    (dfd_at, dfd_size, kvd_at, kvd_size, sgd_at, sgd_size), scheme, shown = numbers[9:], numbers[8], max(numbers[7], 1)
+    ends = [(2, dfd_at, dfd_size), (3, 80, 24 * shown), (4, kvd_at, kvd_size), (5, sgd_at, sgd_size)]
+    row["end_stage"] = next((stage for stage, at, n in ends if at and n and at + n > size), None)
+    basic, samples, rest = _descriptor(fetch(dfd_at, dfd_size) if dfd_at else b"")
+    row |= dict(zip(("model", "primaries", "transfer", "flags"), basic, strict=True)) | {"samples": samples}
+    row |= dict(zip(("dfd_total", "dfd_version", "texel_block", "planes", "dfd_issues"), rest, strict=True))
+    row["metadata"], row["kvd_issues"] = _metadata(fetch(kvd_at, kvd_size) if kvd_at else b"")
+    row["global_data"] = fetch(sgd_at, sgd_size) if sgd_at and sgd_size else None
+    if 80 + 24 * shown > size:
+        return done(level_index=[])
+    places = fetch(80, 24 * shown)
+    index = [struct.unpack_from("<3Q", places, 24 * k) for k in range(shown)]
+    row["level_index"] = [(k, *x, fetch(x[0], x[1]) if scheme == 4 else None) for k, x in enumerate(index)]
+    blocks = [("DFD", dfd_at, dfd_size), ("KVD", kvd_at, kvd_size), ("SGD", sgd_at, sgd_size)]
+    found = gaps(blocks + [(f"image level {k}", *index[k][:2]) for k in reversed(range(shown))], 80 + 24 * shown)
+    if row["end_stage"] is None and any(at + n > size for _, at, n in found):
+        row["end_stage"] = 6
+    filled = ((name, at, fetch(at, n)) for name, at, n in found if at + n <= size)
+    row["paddings"] = [(name, at + len(raw) - len(raw.lstrip(b"\0"))) for name, at, raw in filled if raw.strip(b"\0")]
+    row["payload_state"] = "end" if any(at + n > size for at, n, _ in index) else "ok"
+    if row["payload_state"] == "ok" and scheme in (ZSTD, ZLIB):
+        for at, n, full in index:
+            try:
+                if len(inflate(fetch(at, n), scheme)) != full:
+                    row["payload_state"] = "wrong length"
+            except Exception:  # whatever the codec raises on damaged data
+                row["payload_state"] = "damaged"
+                break
+    return done()
+
+
+def examined(files: DataFrame) -> DataFrame:
+    """(path, content) rows, batch or stream, to rows of EXAMINED."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [examine(lambda at, n, c=c or b"": c[at : at + n], len(c or b""), p) for p, c in zip(pdf["path"], pdf["content"], strict=True)]
+            numbers = [x.split()[0] for x in EXAMINED.split(", ")[:24] if x.split()[1] in ("bigint", "int")]
+            yield pd.DataFrame(rows, columns=EXAMINED_NAMES).astype({n: "Int64" for n in [*numbers, "dfd_total", "dfd_version"]} | {"identified": "boolean"})
+
+    return files.select("path", "content").mapInPandas(run, EXAMINED)
+
+
 def read(spark: SparkSession, path: str, payload: bool = True, metadata: bool = True, inflated: bool = True) -> DataFrame:
     """Containers under ``path`` (any store that Spark reads), one row per file."""
     return parsed(spark.read.format("binaryFile").option("pathGlobFilter", "*").load(path), payload, metadata, inflated)
