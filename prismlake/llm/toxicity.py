@@ -1,7 +1,8 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
-Tokens with look-alike signs, long repetitions or letters spaced apart become
-character lattices; a Viterbi search decodes them under a character trigram
+Tokens with look-alike signs, hidden letters, long repetitions or letters spaced
+apart become character lattices, whatever their length; of words joined by signs
+both the whole and the parts do; a Viterbi search decodes them under a character trigram
 model whose counts come from all documents. Between letters spaced apart a word
 may end; such stretches count as one word and as the words found in them. The restored words are scored by a
 sparse logistic model (FTRL) over hashed words and word beginnings, fitted on at
@@ -42,8 +43,11 @@ AS_LETTER, INSERTED, REPEATED = -1.0, -6.0, -0.5
 DIGIT_INSERTED = -14.0
 #: Two separators where a word goes on; between words, one or two are free.
 WIDE_GAP = -4.0
-#: Signs that hide a letter, any of them, up to HIDDEN in a row.
-MASKS, MASKED, HIDDEN = "*#%", -2.0, 3
+#: Signs that hide a letter, any of them.
+MASKS, MASKED = "*#%", -2.0
+HIDDEN = [("", INSERTED), *((c, MASKED) for c in "abcdefghijklmnopqrstuvwxyz")]
+#: Columns after which the likeliest way so far is taken, in lattices with many hidden letters.
+COMMIT = 2048
 
 SYMBOLS = 28  # 0: boundary, 1-26: a-z, 27: any other letter
 _CLASS = np.zeros(256, np.uint8)
@@ -118,11 +122,13 @@ def _options(ch: str, n: int) -> list[tuple[str, float]]:
 
 
 def _search(options_of: list[list[tuple[str, float]]], model: np.ndarray) -> str:
-    """The likeliest way through a lattice; a space in it is the end of a word."""
-    best = {(0, 0): (0.0, "")}
+    """The likeliest way through a lattice; a space in it is the end of a word. Linear in its length."""
+    if sum(len(o) > 20 for o in options_of) > 1:
+        return _wide_search(options_of, model)
+    best: dict = {(0, 0): (0.0, None)}  # state to cost and way, the last letters first
     for options in options_of:
         new: dict = {}
-        for (a, b), (cost, text) in best.items():
+        for (a, b), (cost, way) in best.items():
             for letters, price in options:
                 x, y, total = a, b, cost + price
                 for c in letters:
@@ -130,18 +136,87 @@ def _search(options_of: list[list[tuple[str, float]]], model: np.ndarray) -> str
                     total += model[x, y, k]
                     x, y = y, k
                 if (x, y) not in new or new[x, y][0] < total:
-                    new[x, y] = (total, text + letters)
+                    new[x, y] = (total, (way, letters) if letters else way)
         best = new
-    end = max(((c + model[a, b, 0], t) for (a, b), (c, t) in best.items()), default=(0, ""))
-    return end[1]
+    way = max(((c + model[a, b, 0], w) for (a, b), (c, w) in best.items()), default=(0, None), key=lambda x: x[0])[1]
+    out = []
+    while way:
+        way, letters = way
+        out.append(letters)
+    return "".join(reversed(out))
+
+
+def _wide_search(options_of: list[list[tuple[str, float]]], model: np.ndarray) -> str:
+    """The same over all states at once, for columns of many options.
+
+    Only costs are kept on the way; the way itself is found from its end. Every
+    COMMIT columns the best one so far is settled.
+    """
+    cost = np.full((SYMBOLS, SYMBOLS), -np.inf)
+    cost[0, 0] = 0.0
+    turned = np.ascontiguousarray(model.transpose(1, 2, 0))  # [b, c, a]
+    kinds: dict = {}  # columns come from few lists
+    out: list[str] = []
+
+    def double(before: np.ndarray, k1: int, k2: int) -> tuple[float, int, int]:
+        first = before + model[:, :, k1]
+        then = first.max(0) + model[:, k1, k2]
+        b = int(then.argmax())
+        return then[b], int(first[:, b].argmax()), b
+
+    def forward(before: np.ndarray, options: list) -> np.ndarray:
+        if id(options) not in kinds:
+            own = [(_code(x), price) for x, price in options if len(x) == 1]
+            kinds[id(options)] = [k for k, _ in own], turned[:, [k for k, _ in own]] + np.array([p for _, p in own])[None, :, None], [(x, p) for x, p in options if len(x) != 1]
+        letter, prices, others = kinds[id(options)]
+        new = np.full_like(before, -np.inf)
+        if letter:  # state (a, b) to (b, c), for all a at once
+            new[:, letter] = (before.T[:, None, :] + prices).max(2)
+        for x, price in others:
+            if x:
+                k1, k2 = map(_code, x)
+                new[k1, k2] = max(new[k1, k2], double(before, k1, k2)[0] + price)
+            else:
+                np.maximum(new, before + price, out=new)
+        return new
+
+    def backward(before: np.ndarray, options: list, x: int, y: int) -> tuple[str, int, int]:
+        """The option that led to a state, and the state before it."""
+        tried = []
+        for letters, price in options:
+            if not letters:
+                tried.append((before[x, y] + price, letters, x, y))
+            elif len(letters) == 1 and _code(letters) == y:
+                ways = before[:, x] + model[:, x, y]
+                a = int(ways.argmax())
+                tried.append((ways[a] + price, letters, a, x))
+            elif len(letters) == 2 and tuple(map(_code, letters)) == (x, y):
+                value, a, b = double(before, x, y)
+                tried.append((value + price, letters, a, b))
+        return max(tried, key=lambda t: t[0])[1:]
+
+    for start in range(0, len(options_of), COMMIT):
+        part, costs = options_of[start : start + COMMIT], [cost]
+        for options in part:
+            costs.append(forward(costs[-1], options))
+        ends = costs[-1] + (model[:, :, 0] if start + COMMIT >= len(options_of) else 0.0)
+        x, y = settled = divmod(int(ends.argmax()), SYMBOLS)
+        way = []
+        for before, options in zip(reversed(costs[:-1]), reversed(part), strict=True):
+            letters, x, y = backward(before, options, x, y)
+            way.append(letters)
+        out += reversed(way)
+        cost = np.full_like(cost, -np.inf)
+        cost[settled] = costs[-1][settled]
+    return "".join(out)
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """What each run of equal signs in a lower-case token may stand for."""
     out = []
     for run, ch in re.findall(r"((.)\2*)", token, re.S):
-        if ch in MASKS and len(run) <= HIDDEN:
-            out += [[("", INSERTED), *((c, MASKED) for c in "abcdefghijklmnopqrstuvwxyz")]] * len(run)
+        if ch in MASKS:
+            out += [HIDDEN] * len(run)
         else:
             out.append(_options(ch, len(run)))
     return out
@@ -178,16 +253,9 @@ _JUNK_END = re.compile(r"([^\w\s])\1{2,}$|!+$")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+])(?:[ .\-_*]{1,2}(?:[^\W_]|[@$!|+])){3,}(?![^\W_])")
 _ODD = re.compile(r"[^\W\d_]")
 _RUN = re.compile(r"(.)\1\1")
-_RUNS = re.compile(r"(.)\1{2,}")
 _SIGNS = LOOKS.keys() | set(MASKS)
-#: Once their runs are cut short, longer tokens are looked at as identifiers.
-LONG_TOKEN = 24
-
-
-def identifier(w: str) -> bool:
-    """Whether a long token is a code: hexadecimal digits, or digits for a third of it."""
-    w = _RUNS.sub(r"\1\1", w)
-    return len(w) > LONG_TOKEN and (not set(w) - set("0123456789abcdefx-") or 3 * sum(c.isdigit() for c in w) >= len(w))
+#: Signs that join words to one token.
+_JOINS = re.compile(r"[-_/.,:;=~&]+")
 
 
 class Restorer:
@@ -203,10 +271,18 @@ class Restorer:
         if w.isalpha() and not _RUN.search(w):
             return w
         # without a letter it is a number or a mark
-        if identifier(w) or len(_ODD.findall(w)) < 1 or not (set(w) & _SIGNS or _RUN.search(w)):
+        if not _ODD.search(w) or not (set(w) & _SIGNS or _RUN.search(w)):
             return "".join(c for c in w if c.isalpha())
         return decode(w, self.model)
 
+    def restored(self, w: str) -> tuple[str, ...]:
+        """The word behind a token as a whole, and those behind its parts if it is several joined by signs."""
+        whole = self.token(w)
+        if w.isalpha():
+            return (whole,)
+        parts = [p for p in _JOINS.split(w.strip(_STRIP)) if p]
+        return (whole, *map(self.token, parts)) if len(parts) > 1 else (whole,)
+
     def words(self, text: str | None) -> set[str]:
         """The distinct restored words of a whole text."""
         text = (text or "").lower()
@@ -217,8 +293,8 @@ class Restorer:
             known.clear()
         tokens = set(text.split()) | joined
         for w in tokens.difference(known):
-            known[w] = self.token(w)
-        return {known[w] for w in tokens}.union(*(segment(m, self.model) for m in spaced))
+            known[w] = self.restored(w)
+        return set().union(*map(known.__getitem__, tokens), *(segment(m, self.model) for m in spaced))
 
 
 def indices(words: set[str]) -> np.ndarray:

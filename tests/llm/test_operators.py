@@ -538,11 +538,59 @@ def test_long_and_spaced_tokens():
     assert r.token("st" + "u" * 40 + "pid") == "stupid" and r.token("1d10" + "t" * 40) in ("idiot", "idiott")
     assert {"you", "idiot"} <= r.words("so y o u i d i o t") and {"you", "idiot"} <= r.words("y o u  i d i o t")
     assert {"you", "idiot"} <= r.words("y.o.u.1.d.1.0.t") and {"stupid", "people"} <= r.words("s t u u u u p i d p e o p l e")
-    code = "3f2a9c4b7d1e8056aa31c4de99b07f12"
-    assert r.token(code) == "".join(c for c in code if c.isalpha())
+    # words joined by signs, and tokens of any length
+    assert {"you", "idiot", "stupid", "loser"} <= r.words("y0u-1d10t-5tup1d-l053r") and "idiot" in r.words("1d10t/1d10t_1d10t")
+    assert r.token("1d10t" * 6) == "idiot" * 6 and r.token("ab12" * 5000).isalpha()
 
 
-def test_toxicity(spark, docs, labels, texts, empty):
+def test_hidden_letters_take_linear_time():
+    import time
+
+    n = toxicity.trigram_counts(b"the idiot said that you are the moron and the loser are stupid people in this house of worthless trash") * 30.0
+    model = toxicity.smoothed(n)
+    for t in ("i##ot", "st**id", "*d*ot", "1##0t", "a#b#c", "l##err", "##"):
+        ways = toxicity.lattice(t)
+        way = lambda text: toxicity._search([*ways, [("", 0.0)]], model) if text else None  # noqa: E731, B023
+
+        def cost(text, ways=ways):
+            """The best price of a text through the lattice."""
+            best = {(0, 0, 0): 0.0}
+            for options in ways:
+                new = {}
+                for (x, y, at), c in best.items():
+                    for letters, price in options:
+                        if text.startswith(letters, at):
+                            p, q, total = x, y, c + price
+                            for ch in letters:
+                                total += model[p, q, toxicity._code(ch)]
+                                p, q = q, toxicity._code(ch)
+                            key = (p, q, at + len(letters))
+                            new[key] = max(new.get(key, -np.inf), total)
+                best = new
+            return max(c + model[x, y, 0] for (x, y, at), c in best.items() if at == len(text))
+
+        wide = toxicity._wide_search(ways, model)
+        narrow = {(0, 0): (0.0, "")}
+        for options in ways:
+            new = {}
+            for (x, y), (c, text) in narrow.items():
+                for letters, price in options:
+                    p, q, total = x, y, c + price
+                    for ch in letters:
+                        total += model[p, q, toxicity._code(ch)]
+                        p, q = q, toxicity._code(ch)
+                    if (p, q) not in new or new[p, q][0] < total:
+                        new[p, q] = (total, text + letters)
+            narrow = new
+        assert cost(wide) == pytest.approx(max(c + model[x, y, 0] for (x, y), (c, _) in narrow.items()))
+        assert way(t) == wide
+    r = toxicity.Restorer(model)
+    took = time.process_time()
+    assert r.token("a" + "*#" * 10_000 + "b").isalpha()
+    assert time.process_time() - took < 4
+
+
+def test_toxicity(spark, docs, labels, texts, empty, clashing):
     bad = [(i, f"{t or ''} you {'1d10t' if i % 4 == 1 and i % 3 else 'idiot' if i % 4 == 1 else 'friend'}") for i, t in enumerate(texts)]
     df = spark.createDataFrame(bad, "doc_id long, text string")
     every = spark.createDataFrame([(i, int(i % 4 == 1)) for i in range(len(texts))], "doc_id long, toxic int")
@@ -551,6 +599,7 @@ def test_toxicity(spark, docs, labels, texts, empty):
     assert np.mean([r.predicted == (i % 4 == 1) for i, r in got.items()]) > 0.9
     assert toxicity.score(empty, every).count() == 0
     assert len(rows(toxicity.score(docs, labels.limit(0)))) == len(texts)
+    assert {r.doc_id: round(r.score, 9) for r in toxicity.score(clashing, labels).collect()} == {r.doc_id: round(r.score, 9) for r in toxicity.score(docs, labels).collect()}
 
 
 # ------------------------------------------------------------- 8
