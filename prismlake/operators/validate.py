@@ -103,11 +103,35 @@ def level_issues(levels: DataFrame) -> DataFrame:
             "_smaller": F.coalesce(F.sum(align(F.col("expected_size"), F.col("alignment"))).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
         }
     )
+    return raised(seen, level_rules(), "texture_id", "level")
+
+
+def level_issues_of_lists(files: DataFrame, key: str = "texture_id") -> DataFrame:
+    """The same over files with their levels in a list (``index``, sorted by level, of the other columns): no window, so for streams too."""
+    at = F.col("index")
+    size = F.size(at)
+    before = lambda i, f: F.when(i > 0, F.get(at, i - 1)[f])
+    after = lambda i, f: F.when(i + 1 < size, F.get(at, i + 1)[f])
+    rest = lambda i: F.aggregate(F.slice(at, i + 2, size), F.lit(0).cast("long"), lambda n, x: n + align(x["expected_size"], x["alignment"]).cast("long"))
+    found = F.transform(
+        at,
+        lambda x, i: F.struct(
+            x.alias("x"), before(i, "uncompressed_length").alias("_length_before"), before(i, "byte_offset").alias("_offset_before"),
+            F.coalesce(after(i, "byte_offset") + after(i, "byte_length"), x["index_end"]).alias("_end"), rest(i).alias("_smaller"),
+        ),
+    )
+    each = files.select(key, F.explode(found).alias("l")).select(key, "l.x.*", "l._length_before", "l._offset_before", "l._end", "l._smaller")
+    return raised(each, level_rules(), key, "level")
+
+
+def level_rules() -> list[tuple[int, str, str, Column]]:
+    """Over a level with its neighbours: _length_before, _offset_before (the larger level's), _end (of the smaller one), _smaller (aligned sizes of all smaller ones)."""
+    c = F.col
     known, plain = c("vk_format") != 0, c("sc_scheme") == 0
     follows = F.when(known & plain, align(c("index_end"), c("alignment")) + c("_smaller")).otherwise(align(c("_end"), c("alignment")))
     lz, intermediate = c("sc_scheme") == 1, c("sc_scheme") == 4
     whole = c("uncompressed_length") % c("images") == 0
-    rules = [
+    return [
         (4001, ERROR, "IncorrectIndexOrder", c("uncompressed_length") > c("_length_before")),
         (4002, ERROR, "IncorrectLevelOrder", c("byte_offset") > c("_offset_before")),
         (4003, ERROR, "IncorrectByteOffsetUnaligned", c("byte_offset") % c("alignment") != 0),
@@ -119,7 +143,6 @@ def level_issues(levels: DataFrame) -> DataFrame:
         (4009, ERROR, "ZeroUncompressedLength", ~known & ~lz & ~intermediate & (c("uncompressed_length") == 0)),
         (4010, ERROR, "InvalidUncompressedLength", ~known & ~lz & ~intermediate & (c("uncompressed_length") != 0) & ~whole),
     ]
-    return raised(seen, rules, "texture_id", "level")
 
 
 #: Keys that the format defines (fixed values).
