@@ -17,7 +17,7 @@ Base: places where a phrase's words stand consecutively.
 Defined results: null and empty texts have no words, labels or score; rows that
 repeat (same id and text) get the same result each; a null id is an id; an empty
 table gives an empty result. Only id and text are read, so extra columns cannot
-clash. Letters are lower-cased as Unicode has it.
+clash. Only A-Z are lower-cased.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 #: label, notice, mandatory key phrases: fixed values, the standard notices of public licences in words.
@@ -124,7 +125,7 @@ def vocabulary() -> list[str]:
 def scanned(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Per row: doc, version, n_words, the licence words here, places of base phrases, and spots (word, place) of files that may hold a template."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    given = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("version"), words(F.lower(text)).alias("words"))
+    given = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("version"), words(F.translate(text, _UPPER, _LOWER)).alias("words"))
     known = F.array(*map(F.lit, vocabulary()))
     found = given.select("doc", "version", "words", F.array_intersect("words", known).alias("here"))
     needed = {tuple(sorted({w for key in keys for w in key.split()})) for _, _, keys in TEMPLATES}
