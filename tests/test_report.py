@@ -271,3 +271,29 @@ def test_patches_against_a_plain_splice(spark):
         want[key] = bytes(body)
     got = rewrite.patched(spark.createDataFrame(rows, "texture_id int, payload binary"), spark.createDataFrame(patches, "texture_id int, seq int, at int, bytes binary"))
     assert {r.texture_id: bytes(r.payload) for r in got.collect()} == want
+
+
+# ------------------------------------------------------------------ info
+
+
+def test_documents_of_files(spark):
+    import json
+
+    from prismlake.operators import info
+
+    odd = container.build(37, 1, (4, 4, 0), LEVELS, RGBA, GOOD | {"bin": b"\xff\x00\x01"})
+    ex = container.examined(spark.createDataFrame([("a", odd), ("lz", lz_file([FINE, (2, 1, 2, 3, 4)], layers=2, anim=True)), ("none", b"x")], "path string, content binary")).coalesce(1).cache()
+    got = {r.path: r.info and json.loads(r.info) for r in info.document(ex).collect()}
+    assert got["none"] is None
+    a = got["a"]
+    assert a["header"] == {"vkFormat": "VK_FORMAT_R8G8B8A8_UNORM", "typeSize": 1, "pixelWidth": 4, "pixelHeight": 4, "pixelDepth": 0, "layerCount": 0, "faceCount": 1, "levelCount": 3, "supercompressionScheme": "KTX_SS_NONE"}
+    assert [x["byteLength"] for x in a["index"]["levels"]] == [64, 16, 4] and a["index"]["supercompressionGlobalData"] == {"byteOffset": 0, "byteLength": 0}
+    block = a["dataFormatDescriptor"]["blocks"][0]
+    assert (block["colorModel"], block["transferFunction"], block["texelBlockDimension"], block["bytesPlane"][0]) == ("KHR_DF_MODEL_RGBSDA", "KHR_DF_TRANSFER_LINEAR", [1, 1, 1, 1], 4)
+    assert [(s["channelType"], s["bitOffset"], s["bitLength"], s["qualifiers"], s["sampleUpper"]) for s in block["samples"]] == [(n, 8 * i, 8, [], 255) for i, n in enumerate(["RED", "GREEN", "BLUE", "ALPHA"])]
+    assert a["keyValueData"] == {"KTXorientation": "rd", "KTXwriter": "test", "bin": "FF0001"} and "supercompressionGlobalData" not in a
+    data = got["lz"]["supercompressionGlobalData"]
+    assert (data["type"], data["endpointCount"], data["selectorsByteLength"]) == ("KTX_SS_BASIS_LZ", 3, 4)
+    assert data["images"] == [{"imageFlags": [], "rgbSliceByteLength": 50, "rgbSliceByteOffset": 0, "alphaSliceByteLength": 50, "alphaSliceByteOffset": 50}, {"imageFlags": ["ETC1S_P_FRAME"], "rgbSliceByteLength": 2, "rgbSliceByteOffset": 1, "alphaSliceByteLength": 4, "alphaSliceByteOffset": 3}]
+    facts = ex.where("vk_format is not null").select("path", info.components().alias("n"), info.largest_channel_bits().alias("b"), info.transcodable().alias("t"), info.high_range().alias("h"), info.refused_encoding("basis").alias("r"), info.refused_encoding("uastc-hdr").alias("u")).collect()
+    assert {r.path: tuple(r)[1:] for r in facts} == {"a": (4, 8, False, False, None, "format"), "lz": (4, 64, True, False, "supercompressed", "supercompressed")}
