@@ -879,4 +879,4 @@ def metadata_stamp(spark, sf):
     return _lists(spark, sf).select("texture_id", F.to_json(metadata.stamped(F.col("pairs"), "tool", "--zstd 5")).alias("pairs"))
 
 
-from . import global_queries, info_queries, report_queries, rewrite_queries, texel_queries  # noqa: E402, F401  # further queries, registered by their import
+from . import export_queries, global_queries, info_queries, report_queries, rewrite_queries, texel_queries  # noqa: E402, F401  # further queries, registered by their import

@@ -297,3 +297,34 @@ def test_documents_of_files(spark):
     assert data["images"] == [{"imageFlags": [], "rgbSliceByteLength": 50, "rgbSliceByteOffset": 0, "alphaSliceByteLength": 50, "alphaSliceByteOffset": 50}, {"imageFlags": ["ETC1S_P_FRAME"], "rgbSliceByteLength": 2, "rgbSliceByteOffset": 1, "alphaSliceByteLength": 4, "alphaSliceByteOffset": 3}]
     facts = ex.where("vk_format is not null").select("path", info.components().alias("n"), info.largest_channel_bits().alias("b"), info.transcodable().alias("t"), info.high_range().alias("h"), info.refused_encoding("basis").alias("r"), info.refused_encoding("uastc-hdr").alias("u")).collect()
     assert {r.path: tuple(r)[1:] for r in facts} == {"a": (4, 8, False, False, None, "format"), "lz": (4, 64, True, False, "supercompressed", "supercompressed")}
+
+
+# ------------------------------------------------------------------ export
+
+
+def test_raw_images_are_written(spark, tmp_path):
+    import os
+
+    from prismlake.operators import export
+    from prismlake.sources import datasource
+
+    datasource.register(spark)
+    images = spark.createDataFrame([(1, v, a, 0, 0, 2, 1, 2, 1, a * (4 >> v), 4 >> v) for v in range(2) for a in range(2)] + [(1, 0, 9, 0, 0, 2, 1, 2, 1, 7, 4)], "texture_id int, level int, layer int, face int, slice int, levels int, faces int, layers int, depth int, offset int, size int")
+    payloads = spark.createDataFrame([(1, 0, b"abcdefgh"), (1, 1, b"wxyz")], "texture_id int, level int, bytes binary")
+    out = str(tmp_path / "out")
+    export.raw_images(images, payloads).select("name", "content").write.format("texture").mode("append").save(out)
+    assert {n: open(f"{out}/{n}", "rb").read() for n in os.listdir(out)} == {"output_level0_layer0.raw": b"abcd", "output_level0_layer1.raw": b"efgh", "output_level1_layer0.raw": b"wx", "output_level1_layer1.raw": b"yz"}
+    one = images.limit(1).selectExpr("1 AS levels", "6 AS faces", "0 AS layers", "4 AS depth", "0 AS level", "2 AS face", "0 AS layer", "3 AS slice")
+    assert one.select(export.names(one)).first()[0] == "output_face2_depth3"
+
+
+def test_chroma_blocks_by_hand(spark):
+    from prismlake.operators import export
+
+    one = spark.createDataFrame([(1, 0, 0, 10, 20, 100, 200)], "i int, y int, bx int, y0 int, y1 int, u int, v int")
+    assert [(r.x, r.r, r.g, r.b) for r in export.chroma_pixels(one, ["i"], 8).orderBy("x").collect()] == [(0, 200, 10, 100), (1, 200, 20, 100)]
+    two = one.union(spark.createDataFrame([(1, 0, 1, 30, 40, 0, 100)], one.schema))
+    # samples in the middle of their block, luma at the quarters
+    got = {r.x: (r.r, r.g, r.b) for r in export.chroma_pixels(two, ["i"], 8, u=1.0, v=1.0).collect()}
+    assert got == {0: (200, 10, 100), 1: (175, 20, 75), 2: (125, 30, 25), 3: (100, 40, 0)}
+    assert export.chroma_pixels(two.limit(0), ["i"], 8).count() == 0
