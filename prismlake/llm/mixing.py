@@ -9,7 +9,8 @@ Default targets flatten each marginal: a share grows with the TEMPER-th power
 of its tokens. Documents without a topic column get one from their layout
 (``layout_topic``).
 
-Defined results: null source, language or topic is a value of its own; null
+Defined results: null source, language or topic is a value of its own, shown as
+(none), and a value that reads so is shown with a backslash before it; null
 and empty texts have no tokens and their cell's probability (1 if the cell has
 no tokens); rows that repeat with one id share one decision; an empty table
 gives an empty result; other columns pass through ``sample``.
@@ -32,6 +33,12 @@ DIMENSIONS = ("source", "lang", "topic")
 _NONE = "(none)"
 
 
+def shown(value: Column) -> Column:
+    """A value as text: null as _NONE, and values that read so, with any backslashes before it, with one more."""
+    text = value.cast("string")
+    return F.coalesce(F.when(text.rlike(r"^\\*\(none\)$"), F.concat(F.lit("\\"), text)).otherwise(text), F.lit(_NONE))
+
+
 def token_count(text: Column) -> Column:
     return F.size(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")).cast("long")
 
@@ -57,7 +64,7 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     counted = row.withColumn("tokens", token_count(text))
     topic = F.col("row")["topic"] if "topic" in docs.columns else layout_topic(text, F.col("tokens"))
     known = {"source": F.col("row")["source"], "lang": F.col("row")["lang"], "topic": topic}
-    return counted.select("row", F.col("row")[id_col].alias("id"), *[F.coalesce(c.cast("string"), F.lit(_NONE)).alias(n) for n, c in known.items()], "tokens")
+    return counted.select("row", F.col("row")[id_col].alias("id"), *[shown(c).alias(n) for n, c in known.items()], "tokens")
 
 
 def raked(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:

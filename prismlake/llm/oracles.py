@@ -28,9 +28,10 @@ FROM n LEFT JOIN r ON n.h = r.h AND n.n > 0 LEFT JOIN c ON c.doc_id = r.doc_id""
 
 
 def raking(keep: float = mixing.KEEP, rounds: int = mixing.ROUNDS) -> str:
+    shown = lambda c: f"coalesce(CASE WHEN regexp_full_match({c}, '\\\\*\\(none\\)') THEN chr(92) || {c} ELSE {c} END, '(none)')"
     count = lambda signs: f"(length(t) - length(regexp_replace(t, '{signs}', '', 'g')))"
     sql = f"""
-WITH d0 AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS t, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS BIGINT) AS tokens FROM documents),
+WITH d0 AS (SELECT doc_id, {shown("source")} AS source, {shown("lang")} AS lang, coalesce(text, '') AS t, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS BIGINT) AS tokens FROM documents),
 d AS (SELECT doc_id, source, lang, tokens, CASE WHEN tokens = 0 THEN 'empty' WHEN {count("[|]")} * 10 > tokens THEN 'table' WHEN {count("[#*$%&]")} * 10 > tokens THEN 'symbols'
   WHEN {count("[A-Z]")} > 3 * tokens THEN 'capitals' WHEN tokens < 100 THEN 'note' WHEN tokens < 1000 THEN 'article' ELSE 'book' END AS topic FROM d0),
 cells AS (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL HAVING sum(tokens) > 0),

@@ -9,7 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from prismlake.llm import resampling, spherical, variants
+from prismlake.llm import mixing, resampling, spherical, variants
 from pyspark.sql import functions as F
 
 # ------------------------------------------------------------- 11
@@ -244,3 +244,12 @@ def test_texts_are_cut_between_words():
         own = [w for lead, part in cut for w in re.findall(r"\w+", part)[lead:]]
         assert own == re.findall(r"\w+", text) and len(cut) > 5
         assert all(lead == width - 1 for lead, _ in cut[1:])
+
+
+# ------------------------------------------------------------- 5
+
+
+def test_null_is_not_the_value_that_is_shown_for_it(spark):
+    rows = [(i, "word " * 40, None, (None, "(none)", "\\(none)", "web")[i % 4]) for i in range(80)]
+    found = mixing.probabilities(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert {(r.doc_id % 4, r.source) for r in found.collect()} == {(0, "(none)"), (1, "\\(none)"), (2, "\\\\(none)"), (3, "web")}
