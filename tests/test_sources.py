@@ -245,3 +245,16 @@ def test_lazy_files_take_ranges(tmp_path):
     assert row[:22] == container.parse(path.read_bytes(), payload=False)[:22]
     with pytest.raises(FileNotFoundError):
         ranged.listed(str(tmp_path / "none"))
+
+
+def test_raw_images(spark):
+    from prismlake.sources import raw
+
+    files = spark.createDataFrame([("a", bytes(range(64))), ("short", bytes(63)), ("none", None)], "path string, content binary")
+    rows = raw.parsed(files, 37, 4, 4)
+    assert {r.path: r.status for r in rows.collect()} == {"a": "ok", "short": "63 bytes instead of 64", "none": "0 bytes instead of 64"}
+    (back,) = container.parsed(either.rewritten(rows)).collect()
+    assert (back.path, back.status, back.vk_format, back.width) == ("a", "ok", 37, 4) and bytes(back.level_index[0].bytes) == bytes(range(64))
+    assert [r.status for r in raw.parsed(files.limit(1), 131, 8, 8, layers=2).collect()] == ["ok"]
+    with pytest.raises(ValueError):
+        raw.parsed(files, 999, 1, 1)
