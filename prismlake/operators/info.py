@@ -23,6 +23,8 @@ TRANSFERS = ["UNSPECIFIED", "LINEAR", "SRGB", "ITU", "NTSC", "SLOG", "SLOG2", "B
 CHANNEL_NAMES = {0: "RED", 1: "GREEN", 2: "BLUE", 13: "STENCIL", 14: "DEPTH", 15: "ALPHA"}
 QUALIFIERS = {1: "LINEAR", 2: "EXPONENT", 4: "SIGNED", 8: "FLOAT"}
 UASTC_HDR_4X4, UASTC_HDR_6X6 = 167, 168
+#: Endings of names of extension formats.
+SUFFIXES = {1000464000: "_NV", 1000470000: "_KHR", 1000470001: "_KHR"}
 UASTC_COMPONENTS = {4: 1, 5: 2, 0: 3, 3: 4}
 #: Formats that each codec encodes from.
 ENCODED_FROM = {
@@ -40,7 +42,7 @@ def named(number: Column, names: dict[int, str] | list[str], prefix: str = "") -
 
 def format_name(number: Column) -> Column:
     """The format's name by the public numbering, or its number."""
-    known = {r[0]: r[1] for r in formats.rows()} | {v: k for k, v in texels.EXTENSIONS.items()}
+    known = {r[0]: r[1] for r in formats.rows()} | {v: k + SUFFIXES.get(v, "") for k, v in texels.EXTENSIONS.items()}
     return named(number, known, "VK_FORMAT_")
 
 
