@@ -7,17 +7,19 @@ of WIDTH of the line's distinct words in the order of their hashes, long words
 first, RUNS runs a line. The pigeonhole holds for words: each changed word
 breaks WIDTH of the runs at most when it goes and WIDTH - 1 when it comes, and
 the rest stay equal. (Blocks of SimHash bits cannot serve here: one word in
-eight flips about 10 of 64 bits; see the README.) The 64-bit SimHash of the word
-pairs puts candidates aside that differ like strangers (DISTANCE), all others
-are verified by the edit similarity of the whole normalised lines (SIMILARITY):
-an alignment of the word runs that both have bounds the distance, and short
-lines that it does not decide are compared character by character. Of each
-connected group the first occurrence (least document, then line) stays;
-all others are cut out of their texts.
-
-No block makes all its pairs unless it has FAN lines at most. A larger one is
-compared with its least line alone and dealt out anew by the words which that
-line lacks, until it is small: the rounds end when no words are left.
+eight flips about 10 of 64 bits; see the README.) Of lines in one block those
+are candidates whose sketches share LEAST_COMMON of the smaller one. Candidates
+are linked by the edit similarity of the whole normalised lines (SIMILARITY): an
+alignment of the word runs that both have bounds the distance from above and
+proves most links; whatever it does not prove is compared character by
+character, at any length, unless other links join the two lines. Candidates
+whose 64-bit SimHashes of word pairs differ like strangers' (DISTANCE) go there
+without an alignment. Of each connected group the first occurrence (least
+document, then line) stays; all others are cut out of their texts.
+
+Lines of a block of more than FAN are compared with its least line first. Those
+that this leaves in different groups are compared each with each, in portions of
+PORTION lines: no candidate of a block is left out, whatever its size.
 
 Defined results: null and empty texts stay as they are; lines without a letter
 or digit stay; lines of fewer than MIN_WORDS words (a line in a script without
@@ -36,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import linking
-from .common import discard, fresh, materialise
+from .common import discard, fresh, materialise, partitions
 
 MIN_WORDS = 5
 #: Words of as many bytes come first: shorter ones are common to most lines and tell them apart badly.
@@ -51,21 +53,17 @@ LEAST_PAIRS = 12
 SIMILARITY = 0.8
 #: Share of the smaller sketch that the other must have; of lines at the bound about three quarters are shared.
 LEAST_COMMON = 0.5
-#: Lines of a block that are compared each with each; larger blocks are split.
+#: Lines of a block that are compared each with each at once; in larger blocks only those that their least line leaves apart.
 FAN = 16
-#: Words by which a line of a large block is dealt out anew.
-SPLIT = 3
-#: Tried first: the bound makes the cost, and most pairs pass under a small one. The result is the same.
-FEW_EDITS = (16, 64)
+#: Lines of a large block that one task holds against as many.
+PORTION = 1024
 #: Line numbers of up to this many documents, ten each, are broadcast; more are joined by a shuffle.
 BROADCAST_DOCS = 200_000
 #: Lines of about as many words or more are aligned in pieces of SEGMENT marks.
 LONG_LINE, SEGMENT = 130, 64
-#: A gap of more characters counts with its whole length.
+#: A gap of more characters counts with its whole length in the bound.
 LONG_GAP = 1000
-#: Lines whose gaps cost this much more than the edits allowed are not compared as a whole.
-FAR = 1.25
-#: Of short lines that are alike, at least a twentieth of the marks are shared.
+#: Short lines that share less than a twentieth of the marks are not aligned, but compared as a whole.
 MOST_APART = 0.95
 _MARK = "\x01"
 _SLICE = 127
@@ -153,33 +151,59 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return materialise(found, "lines").where("size > 0")
 
 
-def _pairs(members: DataFrame, known: DataFrame) -> DataFrame:
-    """Candidates (a, b, common) of blocks (key, h), with the words that their sketches share; ``known`` has size and sketch of each h."""
-    # of two lines alike, most words of the smaller sketch are in the other, and the lengths differ little
-    common = lambda ka, kb: F.size(F.array_intersect(ka, kb))
-    near = (F.least("sa", "sb") >= SIMILARITY * F.greatest("sa", "sb")) & (F.col("common") >= LEAST_COMMON * F.least(F.size("ka"), F.size("kb")))
+def _common(ka: str, kb: str) -> Column:
+    return F.size(F.array_intersect(ka, kb))
+
+
+#: Of two lines alike (sizes sa and sb, sketches ka and kb), the lengths differ little and most words of the smaller sketch are in the other.
+def _near() -> Column:
+    return (F.least("sa", "sb") >= SIMILARITY * F.greatest("sa", "sb")) & (_common("ka", "kb") >= LEAST_COMMON * F.least(F.size("ka"), F.size("kb")))
+
+
+def _side(df: DataFrame, name: str, *more: str | Column) -> DataFrame:
+    return df.select(*more, F.col("h").alias(name), F.col("size").alias(f"s{name}"), F.col("sketch").alias(f"k{name}"))
+
+
+def _pairs(members: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates (a, b, common, star) of blocks (key, h), with the words that their sketches share; and the rows of large blocks.
+
+    ``known`` has size and sketch of each h. Of large blocks (more than FAN) there are the pairs with the least line, the stars.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("pivot")).where("n > 1")
     facts = known.select("h", "size", "sketch")
-    parts, level = [], members
-    while True:
-        sizes = level.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("pivot")).where("n > 1")
-        level = materialise(level.join(sizes, "key").join(facts, "h"), "blocks")
-        small = level.where(F.col("n") <= FAN)
-        one, two = (small.select("key", F.col("h").alias(c), F.col("size").alias(f"s{c}"), F.col("sketch").alias(f"k{c}")) for c in "ab")
-        met = one.join(two, "key").where("a < b").withColumn("common", common("ka", "kb"))
-        parts.append(materialise(met.where(near).select("a", "b", "common").distinct(), "pairs"))
-        large = level.where((F.col("n") > FAN) & (F.col("h") != F.col("pivot")))
-        if large.isEmpty():
-            discard(level)
-            return reduce(DataFrame.union, parts).distinct()
-        pivots = facts.select(F.col("h").alias("pivot"), F.col("size").alias("psize"), F.col("sketch").alias("taken"))
-        # the words of a row that no pivot before has; at the first level all of its sketch
-        left = F.array_except("left" if "left" in level.columns else "sketch", "taken")
-        star = large.join(pivots, "pivot").select("key", "h", "pivot", F.col("size").alias("sa"), F.col("psize").alias("sb"), F.col("sketch").alias("ka"), F.col("taken").alias("kb"), common("sketch", "taken").alias("common"), left.alias("left"))
-        star = star.select("key", "h", "pivot", near.alias("near"), "common", "left")
-        star = materialise(star, "stars")
-        discard(level)
-        parts.append(materialise(star.where("near").select(F.least("h", "pivot").alias("a"), F.greatest("h", "pivot").alias("b"), "common").distinct(), "pairs"))
-        level = star.select("h", "left", F.explode(F.slice("left", 1, SPLIT)).alias("word"), F.col("key").alias("above")).select(F.xxhash64("above", "word").alias("key"), "h", "left")
+    level = materialise(members.join(sizes, "key").join(facts, "h"), "blocks")
+    small = level.where(F.col("n") <= FAN)
+    met = _side(small, "a", "key").join(_side(small, "b", "key"), "key").where((F.col("a") < F.col("b")) & _near())
+    large = level.where(F.col("n") > FAN)
+    star = _side(large, "b", "pivot").join(_side(facts, "a"), F.col("pivot") == F.col("a")).where((F.col("a") != F.col("b")) & _near())
+    both = [df.select("a", "b", _common("ka", "kb").alias("common"), F.lit(x).alias("star")) for df, x in ((met, False), (star, True))]
+    pairs = both[0].union(both[1]).groupBy("a", "b").agg(F.first("common").alias("common"), F.max("star").alias("star"))
+    return materialise(pairs, "pairs"), large.select("key", "h", "n", "size", "sketch")
+
+
+def _apart(large: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Candidates (a, b) of large blocks that are not in one group yet: all of them, portion by portion."""
+    group = _grouped(large, labels, "h", "g")
+    open_ = group.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("key")
+    rows = group.join(open_, "key").withColumn("portions", F.ceil(F.col("n") / PORTION).cast("int"))
+    rows = materialise(rows.withColumn("own", F.pmod(F.xxhash64("h"), F.col("portions")).cast("int")), "large-blocks")
+    # each two portions meet once
+    left = _side(rows, "a", "key", F.col("g").alias("ga"), F.col("own").alias("p"), F.explode(F.sequence("own", F.col("portions") - 1)).alias("q"))
+    right = _side(rows, "b", "key", F.col("g").alias("gb"), F.explode(F.sequence(F.lit(0), "own")).alias("p"), F.col("own").alias("q"))
+    met = left.join(right, ["key", "p", "q"]).where((F.col("ga") != F.col("gb")) & ((F.col("p") < F.col("q")) | (F.col("a") < F.col("b"))) & _near())
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _grouped(df: DataFrame, labels: DataFrame | None, on: str, name: str) -> DataFrame:
+    """Adds the group of line ``on``: its component, or itself."""
+    if labels is None:
+        return df.withColumn(name, F.col(on))
+    return df.join(labels.select(F.col("id").alias(on), F.col("component").alias("_c")), on, "left").withColumn(name, F.coalesce("_c", on)).drop("_c")
+
+
+def _across(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The pairs between groups, with these as ga and gb."""
+    return _grouped(_grouped(pairs, labels, "a", "ga"), labels, "b", "gb").where("ga <> gb")
 
 
 def _texts(docs: DataFrame, spots: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -212,22 +236,20 @@ def _unique(marks: str) -> Column:
     return F.when(F.size(marks) > 1, _bound(twice, lambda t: F.transform(marks, lambda k: F.when(~F.array_contains(t, k), k)))).otherwise(F.col(marks))
 
 
-def _alignment(df: DataFrame, keep: list[str], strangers: bool = False) -> DataFrame:
-    """``keep`` and bound (0 for pairs known to be ``close``, where ``strangers`` are put aside): the edits gap by gap between the marks (ma, mb) that words wa and wb share; null where their order differs.
+def _alignment(df: DataFrame, keep: list[str], strangers: bool = True) -> DataFrame:
+    """``keep`` and bound: the edits gap by gap between the marks (ma, mb) that words wa and wb share; null where their order differs. Without ``strangers`` rows that share next to no marks are left out.
 
     A bound on the edit distance from above, hardly ever more than it.
     """
     lone = df.select(*keep, "wa", "wb", "ma", "mb", F.array_except("ma", "mb").alias("la"), F.array_except("mb", "ma").alias("lb"))
-    # lines that share next to no marks are strangers
-    lone = lone.where(F.col("close") | (F.size("la") <= MOST_APART * F.size("ma"))) if strangers else lone
+    lone = lone if strangers else lone.where(F.size("la") <= MOST_APART * F.size("ma"))
     marked = lambda m, own: F.transform(m, lambda k: F.when(~F.array_contains(own, F.coalesce(k, F.lit(0))), k))
     kept = lone.select(*keep, "wa", "wb", marked(F.col("ma"), F.col("la")).alias("ma"), marked(F.col("mb"), F.col("lb")).alias("mb"))
     gaps = lambda w, m: F.split(F.array_join(F.zip_with(w, m, lambda x, k: F.when(k.isNotNull(), F.lit(_MARK)).otherwise(F.concat(x, F.lit(" ")))), ""), _MARK, -1)
     cut = kept.select(*keep, (F.array_compact("ma") == F.array_compact("mb")).alias("ordered"), gaps(F.col("wa"), F.col("ma")).alias("ga"), gaps(F.col("wb"), F.col("mb")).alias("gb"))
     # a long gap is not compared: its length is a bound, too
     edits = lambda x, y: F.when(x == y, 0).when((F.least(F.length(x), F.length(y)) == 0) | (F.greatest(F.length(x), F.length(y)) > LONG_GAP), F.greatest(F.length(x), F.length(y))).otherwise(F.levenshtein(x, y))
-    known = F.when(F.col("close"), 0) if strangers else F
-    return cut.select(*keep, known.when(F.col("ordered"), F.aggregate(F.zip_with("ga", "gb", edits), F.lit(0), lambda t, d: t + d)).alias("bound"), F.array_join("ga", "").alias("xa"), F.array_join("gb", "").alias("xb"))
+    return cut.select(*keep, F.when(F.col("ordered"), F.aggregate(F.zip_with("ga", "gb", edits), F.lit(0), lambda t, d: t + d)).alias("bound"), F.array_join("ga", "").alias("xa"), F.array_join("gb", "").alias("xb"))
 
 
 def _segments(long: DataFrame) -> DataFrame:
@@ -243,36 +265,47 @@ def _segments(long: DataFrame) -> DataFrame:
     return each.select("a", "b", "most", "i", part("wa", "x"), part("wb", "y"), part("ma", "x"), part("mb", "y"))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of an edit similarity of SIMILARITY or more.
+def _most(la: Column, lb: Column) -> Column:
+    """The edits allowed between lines of so many characters."""
+    return F.floor((1 - SIMILARITY) * F.greatest(la, lb) + 1e-9).cast("int")
+
+
+def _proven(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that a bound from above proves to be alike; the others are open.
 
     Runs of words that both lines have once each are marks; the edits between
-    them bound the distance from above. Short lines whose bound does not decide
-    are compared as a whole. Long lines (LONG_LINE words) are aligned in pieces,
-    and the bound alone decides.
+    them bound the distance. Long lines (LONG_LINE words) are aligned in pieces.
     """
     sides = ["h", "words", "n", "sim", "m2", "m4"]
     side = lambda c: texts.select(*[F.col(x).alias(c if x == "h" else f"{x}_{c}") for x in sides])
     alike = (F.least("n_a", "n_b") <= LEAST_PAIRS) | (F.bit_count(F.col("sim_a").bitwiseXOR(F.col("sim_b"))) <= DISTANCE)
     chars = lambda w: F.length(F.array_join(w, " "))
-    most = F.floor((1 - SIMILARITY) * F.greatest(chars("words_a"), chars("words_b")) + 1e-9).cast("int")
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(alike)
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(alike)
     # replaced words alone bound the distance, too, and decide for half of the pairs at a tenth of the cost
     replaced = F.aggregate(F.zip_with("words_a", "words_b", lambda x, y: F.when(x == y, 0).otherwise(F.greatest(F.length(x), F.length(y)))), F.lit(0), lambda t, d: t + d)
     close = F.when(F.col("n_a") == F.col("n_b"), replaced <= F.col("most")).otherwise(False)
     long = F.least("n_a", "n_b") >= LONG_LINE - 30
-    both = both.withColumn("most", most).withColumns({"close": close, "long": long})
+    both = both.withColumn("most", _most(chars("words_a"), chars("words_b"))).withColumns({"close": close, "long": long})
     marks = lambda c: F.when(F.col("close"), None).when(F.col("long"), F.col(f"m4_{c}")).otherwise(F.col(f"m2_{c}")).alias(f"m{c}")
-    both = both.select("a", "b", "most", "close", "long", F.col("words_a").alias("wa"), F.col("words_b").alias("wb"), marks("a"), marks("b"))
+    both = materialise(both.select("a", "b", "most", "close", "long", *[F.when(~F.col("close"), F.col(f"words_{c}")).alias(f"w{c}") for c in "ab"], marks("a"), marks("b")), "aligned")
     pieces = _alignment(_segments(both.where("long and not close")), ["a", "b", "most", "i"])
     # a piece whose marks come in another order costs its length
     cost = F.coalesce("bound", F.greatest(F.length("xa"), F.length("xb")))
-    in_pieces = pieces.groupBy("a", "b", "most").agg(F.sum(cost).alias("bound")).where("bound <= most").select("a", "b")
-    whole = both.where("close or not long").select("a", "b", "most", "close", F.array_join("wa", " ").alias("ta"), F.array_join("wb", " ").alias("tb"), "wa", "wb", "ma", "mb")
-    whole = _alignment(whole, ["a", "b", "most", "close", "ta", "tb"], strangers=True)
-    tried = " OR ".join([f"levenshtein(ta, tb, least(most, {FEW_EDITS[0]})) >= 0", *(f"(most > {low} AND levenshtein(ta, tb, {high}) >= 0)" for low, high in zip(FEW_EDITS, [*(f"least(most, {n})" for n in FEW_EDITS[1:]), "most"], strict=True))])
-    open_ = F.col("bound").isNull() | (F.col("bound") <= FAR * F.col("most"))
-    return whole.where((F.col("bound") <= F.col("most")) | (open_ & F.expr(tried))).select("a", "b").unionByName(in_pieces)
+    in_pieces = pieces.groupBy("a", "b", "most").agg(F.sum(cost).alias("bound"))
+    whole = _alignment(both.where("not close and not long"), ["a", "b", "most"], strangers=False)
+    found = [both.where("close"), *(df.where("bound <= most") for df in (in_pieces, whole))]
+    out = materialise(reduce(DataFrame.union, [df.select("a", "b") for df in found]), "line-links")
+    discard(both)
+    return out
+
+
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose edit similarity is SIMILARITY or more, character by character."""
+    side = lambda c: texts.select(F.col("h").alias(c), F.array_join("words", " ").alias(f"t{c}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    # few bytes, but much work: not for a handful of tasks
+    both = both.repartition(partitions(pairs.sparkSession), "a", "b").withColumn("most", _most(F.length("ta"), F.length("tb")))
+    return both.where("levenshtein(ta, tb, most) >= 0").select("a", "b")
 
 
 def groups(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
@@ -284,24 +317,38 @@ def groups(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col:
     place = F.struct("doc", "line_no")
     known = linking.with_ids(found, ids, "h").groupBy("h").agg(F.min(place).alias("place"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
     known = materialise(known, "known-lines")
-    pairs = materialise(_pairs(members, known), "pairs")
-    ends = materialise(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "line-ids")
-    spots = materialise(linking.with_ids(known, ends, "h").select("h", "place.doc", "place.line_no"), "line-spots")
-    texts = materialise(_texts(docs, spots, id_col, text_col), "line-texts", "zstd")
+    pairs, large = _pairs(members, known)
+
+    def read(pairs: DataFrame, but: DataFrame | None = None) -> DataFrame | None:
+        ends = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct()
+        ends = materialise(ends if but is None else ends.join(but.select("h"), "h", "left_anti"), "line-ids")
+        if but is not None and ends.isEmpty():
+            return None
+        spots = materialise(linking.with_ids(known, ends, "h").select("h", "place.doc", "place.line_no"), "line-spots")
+        return materialise(_texts(docs, spots, id_col, text_col), "line-texts", "zstd")
+
+    texts = read(pairs)
     # each line with its likeliest partner first; what that joins needs no further comparison
     either = pairs.select(F.col("a").alias("h"), F.struct("common", F.col("b").alias("other")).alias("p")).union(pairs.select(F.col("b").alias("h"), F.struct("common", F.col("a").alias("other")).alias("p")))
-    best = either.groupBy("h").agg(F.max("p").alias("p")).select(F.least("h", "p.other").alias("a"), F.greatest("h", "p.other").alias("b")).distinct()
-    best = materialise(best, "pairs")
-    links = materialise(_verified(best, texts), "line-links")
-    first = materialise(linking.connected_components(links), "line-labels")
-    name = lambda c: first.select(F.col("id").alias(c), F.col("component").alias(f"c{c}"))
-    rest = pairs.select("a", "b").join(best, ["a", "b"], "left_anti").join(name("a"), "a", "left").join(name("b"), "b", "left")
-    rest = materialise(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "pairs")
-    more = materialise(_verified(rest, texts), "line-links")
-    for t in (shared, members, ids, known, pairs, ends, spots, texts, best, rest):
-        discard(t)
-    both = links.union(more)
-    return None if both.isEmpty() else linking.connected_components(both)
+    best = either.groupBy("h").agg(F.max("p").alias("p")).select(F.least("h", "p.other").alias("a"), F.greatest("h", "p.other").alias("b"))
+    tried = materialise(best.union(pairs.where("star").select("a", "b")).distinct(), "pairs")
+    labels = linking.relabel(None, _proven(tried, texts))
+    # then the likeliest pair of each two groups
+    rest = materialise(_across(pairs.join(tried, ["a", "b"], "left_anti"), labels), "pairs")
+    likeliest = rest.groupBy(F.least("ga", "gb"), F.greatest("ga", "gb")).agg(F.max(F.struct("common", "a", "b")).alias("p")).select("p.a", "p.b")
+    likeliest = materialise(likeliest, "pairs")
+    labels = linking.relabel(labels, _proven(likeliest, texts))
+    # then all others between groups, with those of large blocks
+    apart = materialise(_apart(large, labels), "pairs")
+    if (more := read(apart, texts)) is not None:
+        texts = texts.union(more)
+    tried = tried.union(likeliest)
+    rest = rest.select("a", "b").union(apart).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = materialise(_across(rest, labels).select("a", "b"), "pairs")
+    labels = linking.relabel(labels, _proven(rest, texts))
+    # what no bound has proven and no other link has joined
+    open_ = materialise(_across(tried.union(rest), labels).select("a", "b"), "pairs")
+    return linking.relabel(labels, materialise(_compared(open_, texts), "line-links"))
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -352,6 +352,38 @@ def test_long_lines_keep_the_proportional_bound(spark):
     assert {r.doc_id: r._lines_removed for r in line_dedup.dedup(df).collect()} == {1: 0, 2: 1, 3: 0}
 
 
+def test_no_line_of_a_large_block_is_left_out(spark):
+    """Pairs alike in a block of 40 lines, which share no word among the first that their block's least line lacks."""
+    rng = np.random.default_rng(13)
+    made = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(8000)]
+    rank = {r.w: r.s[0] for r in spark.createDataFrame([(w,) for w in made], "w string").select("w", line_dedup.sketch(F.array("w")).alias("s")).collect()}
+    made = sorted(rank, key=rank.get)
+    # ranks rise from layer to layer: three words of all lines, then words of one line (0) or of a pair (1), then the pair's others
+    head, layers, rest = made[:3], np.array_split(made[3:1003], 7), made[1003:]
+    given = []
+    for i in range(20):
+        tail = rest[40 * i : 40 * i + 40]
+        for k in range(2):
+            own = [layers[j][2 * i + (0 if both else k)] for j, both in enumerate((0, 0, 0, 1, 0, 1, 0))]
+            given.append(" ".join([*head, *own, *tail]))
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    got = {r.doc_id: r._lines_removed for r in line_dedup.dedup(df).collect()}
+    assert 2 * 20 > line_dedup.FAN and [got[i] for i in range(40)] == [i % 2 for i in range(40)]
+
+
+def test_what_no_bound_proves_is_compared(spark):
+    """A typo in every fourth word of long lines: no run of four words is left, and few edits."""
+    rng = np.random.default_rng(17)
+    given = []
+    for n in (150, 400):
+        for _ in range(5):
+            w = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 8)) for _ in range(n)]
+            given += [" ".join(w), " ".join(x[:4] + "0" + x[5:] if i % 4 == 1 else x for i, x in enumerate(w))]
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    got = {r.doc_id: r._lines_removed for r in line_dedup.dedup(df).collect()}
+    assert [got[i] for i in range(len(given))] == [i % 2 for i in range(len(given))]
+
+
 # ------------------------------------------------------------- 5
 
 
