@@ -372,13 +372,13 @@ def test_no_line_of_a_large_block_is_left_out(spark):
 
 
 def test_what_no_bound_proves_is_compared(spark):
-    """A typo in every fourth word of long lines, a short one: no run of four words is left, and few edits."""
+    """A word more, and a typo in every fourth word of long lines, a short one: no run of four words is left, and few edits."""
     rng = np.random.default_rng(17)
     given = []
     for n in (150, 400):
         for _ in range(5):
             w = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 4 if i % 4 == 1 else 8)) for i in range(n)]
-            given += [" ".join(w), " ".join(x[:2] + "0" + x[3:] if i % 4 == 1 else x for i, x in enumerate(w))]
+            given += [" ".join(w), "more " + " ".join(x[:2] + "0" + x[3:] if i % 4 == 1 else x for i, x in enumerate(w))]
     df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
     got = {r.doc_id: r._lines_removed for r in line_dedup.dedup(df).collect()}
     assert [got[i] for i in range(len(given))] == [i % 2 for i in range(len(given))]
