@@ -17,9 +17,10 @@ whose 64-bit SimHashes of word pairs differ like strangers' (DISTANCE) go there
 without an alignment. Of each connected group the first occurrence (least
 document, then line) stays; all others are cut out of their texts.
 
-Lines of a block of more than FAN are compared with its least line first. Those
-that this leaves in different groups are compared each with each, in portions of
-PORTION lines: no candidate of a block is left out, whatever its size.
+Lines of a block of more than FAN are compared with its least line first, then
+with some PIVOTS more. Those that this leaves in different groups are compared
+each with each, portions of PORTION lines with portions, whose pairs never become
+rows: no candidate of a block is left out, whatever its size.
 
 Defined results: null and empty texts stay as they are; lines without a letter
 or digit stay; lines of fewer than MIN_WORDS words (a line in a script without
@@ -55,14 +56,16 @@ SIMILARITY = 0.8
 LEAST_COMMON = 0.5
 #: Lines of a block that are compared each with each at once; in larger blocks only those that their least line leaves apart.
 FAN = 16
-#: Lines of a large block that one task holds against as many.
-PORTION = 1024
+#: So many lines of a large block, or up to twice as many, are compared with all others there before all are.
+PIVOTS = 8
+#: Lines of a large block that one row holds against as many.
+PORTION = 128
 #: Line numbers of up to this many documents, ten each, are broadcast; more are joined by a shuffle.
 BROADCAST_DOCS = 200_000
 #: Lines of about as many words or more are aligned in pieces of SEGMENT marks.
 LONG_LINE, SEGMENT = 130, 64
-#: A gap of more characters counts with its whole length in the bound.
-LONG_GAP = 1000
+#: A gap of more characters counts with its whole length in the bound: where that proves nothing, the lines are compared as a whole.
+LONG_GAP = 64
 #: Short lines that share less than a twentieth of the marks are not aligned, but compared as a whole.
 MOST_APART = 0.95
 _MARK = "\x01"
@@ -181,19 +184,46 @@ def _pairs(members: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialise(pairs, "pairs"), large.select("key", "h", "n", "size", "sketch")
 
 
-def _apart(large: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Candidates (a, b) of large blocks that are not in one group yet: all of them, portion by portion."""
+def _open(large: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows of the large blocks that hold lines of several groups, with these as g."""
     group = _grouped(large, labels, "h", "g")
     open_ = group.groupBy("key").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("key")
-    rows = group.join(open_, "key").withColumn("portions", F.ceil(F.col("n") / PORTION).cast("int"))
-    rows = materialise(rows.withColumn("own", F.pmod(F.xxhash64("h"), F.col("portions")).cast("int")), "large-blocks")
-    # each two portions meet once
-    left = _side(rows, "a", "key", F.col("g").alias("ga"), F.col("own").alias("p"), F.explode(F.sequence("own", F.col("portions") - 1)).alias("q"))
-    right = _side(rows, "b", "key", F.col("g").alias("gb"), F.explode(F.sequence(F.lit(0), "own")).alias("p"), F.col("own").alias("q"))
-    met = left.join(right, ["key", "p", "q"]).where((F.col("ga") != F.col("gb")) & ((F.col("p") < F.col("q")) | (F.col("a") < F.col("b"))) & _near())
+    return group.join(open_, "key")
+
+
+def _pivots(rows: DataFrame) -> DataFrame:
+    """Candidates (a, b) of rows in different groups, one of which is a pivot: lines by hash, so that blocks of about the same lines have the same ones."""
+    every = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.floor(F.log2(F.col("n") / PIVOTS)), F.lit(0)).cast("int"))
+    chosen = rows.where(F.pmod(F.xxhash64("h"), every) == 0)
+    met = _side(chosen, "a", "key", F.col("g").alias("ga")).join(_side(rows, "b", "key", F.col("g").alias("gb")), "key").where((F.col("ga") != F.col("gb")) & _near())
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _met(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links (a, b) between groups in blocks (key, h, n, g, size, sketch): of each two portions all candidates are compared in one row."""
+    line = rows.groupBy("h").agg(F.first("g").alias("g"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.collect_set(F.struct("key", "n")).alias("in"))
+    told = line.join(texts.select("h", F.array_join("words", " ").alias("text")), "h")
+    cut = told.select(F.explode("in").alias("at"), F.struct("h", "g", "size", "sketch", "text", F.col("in.key").alias("keys")).alias("line"))
+    portions = F.ceil(F.col("at.n") / PORTION).cast("int")
+    held = cut.groupBy("at.key", portions.alias("portions"), F.pmod(F.xxhash64("line.h"), portions).cast("int").alias("own")).agg(F.collect_list("line").alias("lines"))
+    held = materialise(held, "large-blocks", "zstd")
+    # each two portions meet once; few rows, but much work: not for a handful of tasks
+    left = held.select("key", F.col("own").alias("p"), F.explode(F.sequence("own", F.col("portions") - 1)).alias("q"), F.col("lines").alias("these"))
+    right = held.select("key", F.explode(F.sequence(F.lit(0), "own")).alias("p"), F.col("own").alias("q"), F.col("lines").alias("those"))
+    n = partitions(rows.sparkSession)
+    both = left.repartition(n, "key", "p", "q").join(right.repartition(n, "key", "p", "q"), ["key", "p", "q"])
+
+    def linked(a: Column, b: Column) -> Column:
+        near = (F.least(a["size"], b["size"]) >= SIMILARITY * F.greatest(a["size"], b["size"])) & (F.size(F.array_intersect(a["sketch"], b["sketch"])) >= LEAST_COMMON * F.least(F.size(a["sketch"]), F.size(b["sketch"])))
+        # lines that share several blocks are compared in the least one
+        here = F.array_min(F.array_intersect(a["keys"], b["keys"])) == F.col("key")
+        alike = _alike(F.split(a["text"], " "), F.split(b["text"], " "), _most(a["size"], b["size"]))
+        return (a["g"] != b["g"]) & ((F.col("p") < F.col("q")) | (a["h"] < b["h"])) & near & here & alike
+
+    found = F.flatten(F.transform("these", lambda a: F.transform(F.filter("those", lambda b: linked(a, b)), lambda b: F.struct(a["h"].alias("a"), b["h"].alias("b")))))
+    return both.select(F.explode(found).alias("l")).select("l.a", "l.b")
+
+
 def _grouped(df: DataFrame, labels: DataFrame | None, on: str, name: str) -> DataFrame:
     """Adds the group of line ``on``: its component, or itself."""
     if labels is None:
@@ -241,10 +271,10 @@ def _alignment(df: DataFrame, keep: list[str], strangers: bool = True) -> DataFr
 
     A bound on the edit distance from above, hardly ever more than it.
     """
-    lone = df.select(*keep, "wa", "wb", "ma", "mb", F.array_except("ma", "mb").alias("la"), F.array_except("mb", "ma").alias("lb"))
-    lone = lone if strangers else lone.where(F.size("la") <= MOST_APART * F.size("ma"))
-    marked = lambda m, own: F.transform(m, lambda k: F.when(~F.array_contains(own, F.coalesce(k, F.lit(0))), k))
-    kept = lone.select(*keep, "wa", "wb", marked(F.col("ma"), F.col("la")).alias("ma"), marked(F.col("mb"), F.col("lb")).alias("mb"))
+    lone = df if strangers else df.where(F.size(F.array_except("ma", "mb")) <= MOST_APART * F.size("ma"))
+    # each list of own marks is bound, or it would be made again for each mark
+    marked = lambda m, other: _bound(F.array_except(m, other), lambda own: F.transform(m, lambda k: F.when(~F.array_contains(own, F.coalesce(k, F.lit(0))), k)))
+    kept = lone.select(*keep, "wa", "wb", marked("ma", "mb").alias("ma"), marked("mb", "ma").alias("mb"))
     gaps = lambda w, m: F.split(F.array_join(F.zip_with(w, m, lambda x, k: F.when(k.isNotNull(), F.lit(_MARK)).otherwise(F.concat(x, F.lit(" ")))), ""), _MARK, -1)
     cut = kept.select(*keep, (F.array_compact("ma") == F.array_compact("mb")).alias("ordered"), gaps(F.col("wa"), F.col("ma")).alias("ga"), gaps(F.col("wb"), F.col("mb")).alias("gb"))
     # a long gap is not compared: its length is a bound, too
@@ -299,13 +329,35 @@ def _proven(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
+def _alike(wa: Column, wb: Column, most: Column) -> Column:
+    """Whether lines of words wa and wb are no more than ``most`` edits apart, character by character.
+
+    Words with which both begin or end do not change the distance and are left out.
+    """
+    apart = lambda x, y: F.array_position(F.zip_with(x, y, lambda v, w: v.eqNullSafe(w)), False).cast("int")
+    text = lambda w: F.when(F.size(w) > 0, F.concat(F.array_join(w, " "), F.lit(" "))).otherwise("")
+    tails = _bound(apart(wa, wb), lambda i: F.struct(F.slice(wa, i, F.size(wa)).alias("x"), F.slice(wb, i, F.size(wb)).alias("y")))
+    head = lambda w, i: text(F.slice(w, 1, F.size(w) - i + 1))
+    cores = _bound(tails, lambda t: _bound(apart(F.reverse(t["x"]), F.reverse(t["y"])), lambda i: F.struct(head(t["x"], i).alias("x"), head(t["y"], i).alias("y"))))
+    within = lambda x, y, k: F.call_function("levenshtein", x, y, k) >= 0
+
+    # cut at one place, lines that are within k edits have beginnings within k and the difference of their lengths: what the cut shifts, the rest must shift back
+    def begin(c: Column, far: Column) -> Column:
+        return (far * 3 >= F.least(F.length(c["x"]), F.length(c["y"]))) | within(c["x"].substr(F.lit(1), far * 2), c["y"].substr(F.lit(1), far * 2), far)
+
+    begins = lambda c: _bound(most + F.abs(F.length(c["x"]) - F.length(c["y"])), lambda far: begin(c, far))
+    return _bound(cores, lambda c: (F.greatest(F.length(c["x"]), F.length(c["y"])) <= most) | (begins(c) & within(c["x"], c["y"], most)))
+
+
 def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose edit similarity is SIMILARITY or more, character by character."""
-    side = lambda c: texts.select(F.col("h").alias(c), F.array_join("words", " ").alias(f"t{c}"))
+    side = lambda c: texts.select(F.col("h").alias(c), F.col("words").alias(f"w{c}"))
+    chars = lambda w: F.length(F.array_join(w, " "))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    # few bytes, but much work: not for a handful of tasks
-    both = both.repartition(partitions(pairs.sparkSession), "a", "b").withColumn("most", _most(F.length("ta"), F.length("tb")))
-    return both.where("levenshtein(ta, tb, most) >= 0").select("a", "b")
+    # few bytes, but much work: not for a handful of tasks (a filter would be moved before the shuffle)
+    both = both.repartition(partitions(pairs.sparkSession), "a", "b")
+    pair = F.when(_alike(F.col("wa"), F.col("wb"), _most(chars("wa"), chars("wb"))), F.array(F.struct("a", "b")))
+    return both.select(F.explode(pair).alias("l")).select("l.a", "l.b")
 
 
 def groups(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
@@ -338,17 +390,24 @@ def groups(found: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col:
     likeliest = rest.groupBy(F.least("ga", "gb"), F.greatest("ga", "gb")).agg(F.max(F.struct("common", "a", "b")).alias("p")).select("p.a", "p.b")
     likeliest = materialise(likeliest, "pairs")
     labels = linking.relabel(labels, _proven(likeliest, texts))
-    # then all others between groups, with those of large blocks
-    apart = materialise(_apart(large, labels), "pairs")
-    if (more := read(apart, texts)) is not None:
-        texts = texts.union(more)
+    # then all others between groups, and in large blocks those with pivots
     tried = tried.union(likeliest)
-    rest = rest.select("a", "b").union(apart).distinct().join(tried, ["a", "b"], "left_anti")
+    star = materialise(_pivots(_open(large, labels)), "pairs")
+    if (more := read(star, texts)) is not None:
+        texts = texts.union(more)
+    rest = rest.select("a", "b").union(star).distinct().join(tried, ["a", "b"], "left_anti")
     rest = materialise(_across(rest, labels).select("a", "b"), "pairs")
     labels = linking.relabel(labels, _proven(rest, texts))
     # what no bound has proven and no other link has joined
     open_ = materialise(_across(tried.union(rest), labels).select("a", "b"), "pairs")
-    return linking.relabel(labels, materialise(_compared(open_, texts), "line-links"))
+    labels = linking.relabel(labels, materialise(_compared(open_, texts), "line-links"))
+    # then all that is left between groups in large blocks
+    rows = materialise(_open(large, labels), "open-blocks")
+    if rows.isEmpty():
+        return labels
+    if (more := read(rows.select(F.col("h").alias("a"), F.col("h").alias("b")), texts)) is not None:
+        texts = texts.union(more)
+    return linking.relabel(labels, materialise(_met(rows, texts), "line-links"))
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

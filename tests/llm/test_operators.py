@@ -371,6 +371,38 @@ def test_no_line_of_a_large_block_is_left_out(spark):
     assert 2 * 20 > line_dedup.FAN and [got[i] for i in range(40)] == [i % 2 for i in range(40)]
 
 
+def test_pairs_of_a_passage_in_many_lines_are_no_rows(spark, monkeypatch):
+    """Lines of one long passage and own words, each alike with one other only: all pairs are decided, few become rows."""
+    rng = np.random.default_rng(19)
+    make = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7))
+    passage, given = [make() for _ in range(30)], []
+    for i in range(100):
+        own = [make() for _ in range(14)]
+        given += [" ".join([*own, *passage]), " ".join([*own[:3], make(), *own[4:], *passage])]
+    rows = Counter()
+    for name in ("_proven", "_compared"):
+
+        def counted(pairs, texts, name=name, real=getattr(line_dedup, name)):
+            rows[name] += pairs.count()
+            return real(pairs, texts)
+
+        monkeypatch.setattr(line_dedup, name, counted)
+    # three portions
+    monkeypatch.setattr(line_dedup, "PORTION", 70)
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    got = {r.doc_id: r._lines_removed for r in line_dedup.dedup(df).collect()}
+    assert [got[i] for i in range(200)] == [i % 2 for i in range(200)]
+    assert max(rows.values()) < 200 * 199 / 2 / 4
+
+
+@pytest.mark.parametrize("a, b, edits", [("x y z", "x z", 2), ("x", "y x", 2), ("same a b", "same", 4), ("ab cd ef", "ab zd ef", 1), ("p q", "p q p q", 4), ("abc " * 40 + "q", "q " + "abc " * 39 + "abc", 4), ("kitten " * 30, "sitting " * 30, 90)])
+def test_words_of_both_ends_do_not_change_the_distance(spark, a, b, edits):
+    a, b = a.strip(), b.strip()
+    df = spark.createDataFrame([(a.split(), b.split(), k) for k in (edits - 1, edits, edits + 1)], "a array<string>, b array<string>, k int")
+    alike = [r.alike for r in df.select("k", line_dedup._alike(F.col("a"), F.col("b"), F.col("k")).alias("alike"), line_dedup._alike(F.col("b"), F.col("a"), F.col("k")).alias("back")).orderBy("k").collect() if r.alike == r.back]
+    assert alike == [df.selectExpr(f"levenshtein('{a}', '{b}') <= {k} x").first().x for k in (edits - 1, edits, edits + 1)]
+
+
 def test_what_no_bound_proves_is_compared(spark):
     """A word more, and a typo in every fourth word of long lines, a short one: no run of four words is left, and few edits."""
     rng = np.random.default_rng(17)
