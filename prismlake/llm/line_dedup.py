@@ -68,6 +68,8 @@ LONG_LINE, SEGMENT = 130, 64
 LONG_GAP = 64
 #: Short lines that share less than a twentieth of the marks are not aligned, but compared as a whole.
 MOST_APART = 0.95
+#: Lines of more characters are compared with half of the edits first.
+LONG_TEXT = 2000
 _MARK = "\x01"
 _SLICE = 127
 _LANES = 0x0101010101010101
@@ -333,20 +335,29 @@ def _alike(wa: Column, wb: Column, most: Column) -> Column:
     """Whether lines of words wa and wb are no more than ``most`` edits apart, character by character.
 
     Words with which both begin or end do not change the distance and are left out.
+    ``levenshtein`` ends where the rest cannot help any more, so lines are read from
+    the end where they have fewer words in common.
     """
     apart = lambda x, y: F.array_position(F.zip_with(x, y, lambda v, w: v.eqNullSafe(w)), False).cast("int")
     text = lambda w: F.when(F.size(w) > 0, F.concat(F.array_join(w, " "), F.lit(" "))).otherwise("")
     tails = _bound(apart(wa, wb), lambda i: F.struct(F.slice(wa, i, F.size(wa)).alias("x"), F.slice(wb, i, F.size(wb)).alias("y")))
-    head = lambda w, i: text(F.slice(w, 1, F.size(w) - i + 1))
-    cores = _bound(tails, lambda t: _bound(apart(F.reverse(t["x"]), F.reverse(t["y"])), lambda i: F.struct(head(t["x"], i).alias("x"), head(t["y"], i).alias("y"))))
+    head = lambda w, i: F.slice(w, 1, F.size(w) - i + 1)
+    words = _bound(tails, lambda t: _bound(apart(F.reverse(t["x"]), F.reverse(t["y"])), lambda i: F.struct(head(t["x"], i).alias("x"), head(t["y"], i).alias("y"))))
+    third = lambda w: (F.size(w) / 3).cast("int") + 1
+    shared = lambda x, y: F.size(F.array_intersect(x, y))
+    first, last = (lambda w: F.slice(w, 1, third(w))), (lambda w: F.slice(w, -third(w), third(w)))
+    back = lambda c: shared(first(c["x"]), first(c["y"])) > shared(last(c["x"]), last(c["y"]))
+    turned = lambda w, b: F.when(b, F.reverse(text(w))).otherwise(text(w))
+    cores = _bound(words, lambda c: _bound(back(c), lambda b: F.struct(turned(c["x"], b).alias("x"), turned(c["y"], b).alias("y"))))
     within = lambda x, y, k: F.call_function("levenshtein", x, y, k) >= 0
 
-    # cut at one place, lines that are within k edits have beginnings within k and the difference of their lengths: what the cut shifts, the rest must shift back
-    def begin(c: Column, far: Column) -> Column:
-        return (far * 3 >= F.least(F.length(c["x"]), F.length(c["y"]))) | within(c["x"].substr(F.lit(1), far * 2), c["y"].substr(F.lit(1), far * 2), far)
+    def decided(c: Column) -> Column:
+        size = F.greatest(F.length(c["x"]), F.length(c["y"]))
+        # of long lines most links need half of the edits, at half of the cost
+        half = F.when(size > LONG_TEXT, within(c["x"], c["y"], F.floor(most / 2).cast("int"))).otherwise(False)
+        return (size <= most) | half | within(c["x"], c["y"], most)
 
-    begins = lambda c: _bound(most + F.abs(F.length(c["x"]) - F.length(c["y"])), lambda far: begin(c, far))
-    return _bound(cores, lambda c: (F.greatest(F.length(c["x"]), F.length(c["y"])) <= most) | (begins(c) & within(c["x"], c["y"], most)))
+    return _bound(cores, decided)
 
 
 def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -403,6 +404,46 @@ def test_words_of_both_ends_do_not_change_the_distance(spark, a, b, edits):
     assert alike == [df.selectExpr(f"levenshtein('{a}', '{b}') <= {k} x").first().x for k in (edits - 1, edits, edits + 1)]
 
 
+def test_lines_are_compared_from_the_end_that_tells_them_apart(spark):
+    """A passage near the beginning, and other words behind it: the comparison by characters need not read the passage."""
+    rng = np.random.default_rng(23)
+    make = lambda n: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(n)]
+    rows = []
+    for _ in range(8):
+        passage = make(300)
+        rows.append((make(5) + passage + make(300), make(5) + passage + make(300)))
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>").select("a", "b", F.array_join("a", " ").alias("x"), F.array_join("b", " ").alias("y")).coalesce(1).cache()
+    most = line_dedup._most(F.length("x"), F.length("y"))
+    plain, ours = F.call_function("levenshtein", F.col("x"), F.col("y"), most) >= 0, line_dedup._alike(F.col("a"), F.col("b"), most)
+
+    def seconds(alike):
+        start = time.perf_counter()
+        assert df.where(alike).count() == 0
+        return time.perf_counter() - start
+
+    assert min(seconds(ours) for _ in range(3)) < 0.7 * min(seconds(plain) for _ in range(3))
+
+
+@pytest.mark.parametrize("where", ["begin", "end"])
+def test_both_directions_decide_alike(spark, where):
+    """Short and long lines at the very bound, with the passage at either end."""
+    rng = np.random.default_rng(29)
+    make = lambda n: ["".join(rng.choice(list("abcdéê"), rng.integers(1, 9))) for _ in range(n)]
+    rows = []
+    for n in (1, 2, 3, 8, 30, 500):
+        for _ in range(3):
+            one, two = make(n), make(n)
+            passage = make(3 * n)
+            parts = [["p", *passage, *w] if where == "begin" else [*w, *passage, "p"] for w in (one, two)]
+            parts[1][0 if where == "begin" else -1] = "q"
+            rows.append((parts[0], parts[1]))
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>").where("a <> b").select("a", "b", F.levenshtein(F.array_join("a", " "), F.array_join("b", " ")).alias("d")).cache()
+    for less in (0, 1):
+        k = F.col("d") - less
+        got = [r.alike for r in df.select(line_dedup._alike(F.col("a"), F.col("b"), k).alias("alike")).collect()]
+        assert len(got) == 18 and set(got) == {not less}
+
+
 def test_what_no_bound_proves_is_compared(spark):
     """A word more, and a typo in every fourth word of long lines, a short one: no run of four words is left, and few edits."""
     rng = np.random.default_rng(17)
