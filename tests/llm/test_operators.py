@@ -5,6 +5,7 @@ import os
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -850,6 +851,41 @@ def test_suffix_dedup(monkeypatch, docs, texts, clashing, empty, hot, most_bits)
         assert suffix_dedup.dedup(docs.union(docs)).count() == 2 * len(texts)
 
 
+@pytest.mark.parametrize("most_bits", [8, 28])
+def test_suffix_dedup_leaves_no_shuffled_texts(monkeypatch, spark, docs, texts, most_bits):
+    """Shuffles of steps that have ended would add up to several times the texts."""
+    monkeypatch.setattr(suffix_dedup, "MOST_BITS", most_bits)
+
+    def files():
+        return {p: p.stat().st_size for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for p in Path(str(d)).rglob("shuffle_*.data")}
+
+    old, most, until = files(), sum(len((t or "").encode()) for t in texts) / 10, time.time() + 20
+    out = suffix_dedup.dedup(docs)
+    while (left := sum(n for p, n in files().items() if p not in old)) > most and time.time() < until:
+        time.sleep(0.2)
+    assert left <= most
+    assert out.count() == len(texts)
+
+
+def test_suffix_dedup_tags_of_shared_anchors(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PACK_BYTES", 4000)
+    given = suffix_dedup._given(docs, "doc_id", "text")
+    packs = suffix_dedup._packs(given, 4)
+    keys, owners = [], {}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        keys.append(suffix_dedup.segments(raw, np.array([len(raw)]))[0])
+        for k in keys[-1].tolist():
+            owners.setdefault(k, set()).add(i)
+    want = {i: {int(x) & 0xFFFFFFFF for x, key in zip(suffix_dedup._tags(k, 4), k.tolist(), strict=True) if len(owners[key]) > 1} for i, k in enumerate(keys)}
+    got = {r.doc: np.frombuffer(r.tags, "<u4").tolist() for r in suffix_dedup._by_document(suffix_dedup._shared_tags(packs)).collect()}
+    assert {i: set(x) for i, x in got.items()} == {i: x for i, x in want.items() if x}
+    assert all(x == sorted(set(x)) for x in got.values())
+    sent = [r for r in packs.collect() if r.part >= 0]
+    assert sum(len(r.tags) for r in sent) == suffix_dedup.TAG_BYTES * sum(map(len, keys))
+    assert sum(len(r.owners) for r in sent) == sum(map(len, keys))
+
+
 def test_induced_sorting():
     rng = np.random.default_rng(1)
     for t in range(150):
