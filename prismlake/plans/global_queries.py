@@ -152,6 +152,13 @@ def _books_sql(files: str, seed: str) -> str:
     return " UNION ALL ".join(out)
 
 
+def _byte_sql(scheme: str, n: str) -> str:
+    """Byte b of a section of scheme 4 (descriptors of n images), 0 or 2 (one letter), with zeros after it."""
+    value = lambda name: re.sub(r"\bi\b", "(b // 12)", _VALUES[name]).replace("scheme", scheme)
+    words = " ".join(f"WHEN {at // 4} THEN {value(name)}" for name, at, _ in globaldata.DESCRIPTOR[4][0])
+    return f"(CASE WHEN b >= 12 * {n} THEN 0 WHEN {scheme} = 4 THEN ((CASE b % 12 // 4 {words} END) >> CAST(b % 4 * 8 AS INT)) & 255 ELSE 90 END)"
+
+
 @query(
     f"""WITH {TEXTURES}, {_FILES.format(**_LEFT)}, {_FILES.format(**_RIGHT)}, limages AS ({_images_sql('files')}), rimages AS ({_images_sql('others', True)}),
 lf AS ({_fields_sql('files', 'limages')}), rf AS ({_fields_sql('others', 'rimages')}), lb AS ({_books_sql('files', 'k')}), rb AS ({_books_sql('others', 'k + CASE WHEN k % 10 = 0 THEN 1 ELSE 0 END')}),
@@ -161,7 +168,7 @@ found AS (
   UNION ALL SELECT k, 'type', CAST(ls AS VARCHAR), CAST(rs AS VARCHAR) FROM pair WHERE (ls = 1 OR rs = 1) AND ls <> rs
   UNION ALL SELECT pair.k, b.path, NULL, NULL FROM pair CROSS JOIN (VALUES ('endpoints_data'), ('selectors_data'), ('tables_data'), ('extended_data')) b(path)
     LEFT JOIN lb ON lb.k = pair.k AND lb.path = b.path LEFT JOIN rb ON rb.k = pair.k AND rb.path = b.path WHERE (ls = 1 OR rs = 1) AND (lb.v IS NULL OR rb.v IS NULL OR lb.v <> rb.v)
-  UNION ALL SELECT k, 'raw_payload', NULL, NULL FROM pair WHERE ls <> 1 AND rs <> 1 AND (ln <> rn OR (ln = 30 AND li <> ri AND least(li, ri) < 3)))
+  UNION ALL SELECT k, 'raw_payload', NULL, NULL FROM pair WHERE ls <> 1 AND rs <> 1 AND (ln <> rn OR list_contains([{_byte_sql('ls', 'li')} <> {_byte_sql('rs', 'ri')} for b in range(CAST(ln AS BIGINT))], true)))
 SELECT k AS texture_id, 'supercompressionGlobalData' AS section, path, left_value, right_value FROM found"""
 )
 def compare_global_data(spark, sf):
